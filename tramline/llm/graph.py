@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back; smaller than a checkpoint.
+
+    The JVM is then asked to collect garbage, so that the files of shuffles that
+    nothing refers to any longer are removed before the next ones are written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tramline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)

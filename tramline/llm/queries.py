@@ -31,3 +31,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
+@_query()
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"), min_words=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
