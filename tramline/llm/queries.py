@@ -39,3 +39,26 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(_table(spark, sf_dir, "documents"), min_words=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@_query()
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm import bpe
+
+    path = _vocabulary("word_bpe_49k.json")
+    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query()
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm import sst
+
+    manifest = sst.write_shards(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
+    return sst.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
