@@ -7,10 +7,12 @@ value, and after as many rounds as bins each bin is offered all elements, so
 every coordinate is filled.  Bands of coordinates give candidate buckets.  Each
 link is confirmed on the full sets.
 
-Within a bucket documents are compared with the bucket's first member only;
-documents that are still apart afterwards are compared with each other where
-their sketches' bits leave the threshold possible.  A link between two documents
-of the same component says nothing new and isn't looked at.
+Within a bucket documents are first compared with one lead, the member with the
+most companions.  Documents of a bucket that are still apart afterwards are
+compared with each other, where their sizes, their sketches' bits and the number
+of their shingles that no other document has leave the threshold possible.  A
+link between two documents of the same component says nothing new and isn't
+looked at.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm import kernel as K
-from tramline.llm.graph import connected_components, cut
+from tramline.llm.graph import connected_components, cut, table
 
 _BITS = 4  # longs with one bit of each coordinate
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
@@ -97,6 +99,16 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, bins: int, rows: int)
             )
 
 
+def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct shingles, one row each."""
+    for whole in batches:
+        for batch in K.slices(whole):
+            data, offs = K.text_bytes(batch.column("text"))
+            sets = list(K.shingle_sets(K.lower_ascii(data), offs, words))
+            owner = np.repeat(np.asarray(batch.column("doc_id")), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(K.signed(np.concatenate(sets)))], names=["doc_id", "shingle"])
+
+
 def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
     ends = np.zeros(len(sizes) + 1, dtype=np.int32)
     np.cumsum(sizes, out=ends[1:])
@@ -155,7 +167,7 @@ def near_duplicates(
     percent: int = 80,
     bins: int = 256,
     rows: int = 6,
-    slack: int = 54,
+    slack: int = 50,
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent/100 or more.
 
@@ -163,7 +175,7 @@ def near_duplicates(
     other columns are ignored.  A pair at a similarity of exactly 0.8 shares
     none of the 42 bands of 6 coordinates in 3 of 10**6 cases, a pair at 0.85 in
     1 of 10**9.  slack is the number of differing bits, of 256, up to which a
-    pair can be a candidate; at 0.8 it lies six standard deviations away.
+    pair can be a candidate; at 0.8 it lies five standard deviations away.
     Null or empty texts, and texts without words, have no shingles and are
     linked with nothing.  A null id is kept and belongs to no component.
     Rows that repeat an id count as one document that is linked with itself.
@@ -171,37 +183,54 @@ def near_duplicates(
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sk = cut(docs.mapInArrow(lambda it: _sketch(it, words, bins, rows), _SKETCH))
     # Equal sets first: only one document of each goes on.
-    classes = (
+    reps = cut(
         sk.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("x"))
         .select("set_a", "set_b", "n_shingles", "x.*")
     )
-    reps = cut(classes)
-    hashed = reps.select("doc_id", "n_shingles", "bits", F.explode("bands").alias("key"))
-    lead = hashed.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "bits")).alias("l"), F.count("*").alias("n")).where("n > 1")
-    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("l.bits")[i])) for i in range(_BITS)), F.lit(0))
-    sizes = 100 * F.least("n_shingles", F.col("l.n_shingles")) >= percent * F.greatest("n_shingles", F.col("l.n_shingles"))
-    stars = cut(
-        hashed.join(lead, "key").where((F.col("doc_id") > F.col("l.doc_id")) & sizes & (apart <= slack))
-        .groupBy(F.col("doc_id").alias("member"), F.col("l.doc_id").alias("lead")).agg(F.count("*").alias("shared"))
+    info = reps.select("doc_id", "n_shingles", "bits")
+    hashed = reps.select("doc_id", F.explode("bands").alias("key"))
+    live = table(hashed.join(hashed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    # A bucket is led by its document with the most companions in all of its buckets: the middle of a group of copies.
+    middle = live.groupBy("doc_id").agg(F.sum("n").alias("near"))
+    lead = live.join(middle, "doc_id").groupBy("key").agg(F.max(F.struct("near", (-F.col("doc_id")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("lead"))
+    shared = live.join(lead, "key").where("doc_id <> lead").groupBy(F.col("doc_id").alias("member"), "lead").agg(F.count("*").alias("shared"))
+    stars = cut(_possible(shared, info, percent, slack).select("member", "lead", "shared"))
+    done, comp = None, None
+    for _ in range(2):  # each document with the lead it shares most bands with, then with the best one it is still apart from
+        open_ = stars if comp is None else _across(stars, comp).join(done, ["member", "lead"], "left_anti")
+        best = cut(
+            open_.groupBy("member").agg(F.max(F.struct("shared", (-F.col("lead")).alias("minus"))).alias("b")).select("member", (-F.col("b.minus")).alias("lead"))
+        )
+        found = _confirmed(best, docs, words, percent)
+        links = cut(found if comp is None else links.unionByName(found))
+        done = best if done is None else done.unionByName(best)
+        comp = cut(connected_components(links))
+    # What still is apart within a bucket.  A shingle of one document only is in no
+    # intersection, which leaves few of a group's outliers to be compared.
+    own = live.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest = table(own.join(mixed, "key"))
+    alone = (
+        docs.join(rest.select("doc_id").distinct(), "doc_id").mapInArrow(lambda it: _shingles(it, words), "doc_id long, shingle long")
+        .groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+        .groupBy("doc_id").agg(F.count("*").alias("alone"))
     )
-    # Each document with the lead it shares most bands with, then with its other leads.
-    best = stars.groupBy("member").agg(F.max(F.struct("shared", (-F.col("lead")).alias("minus"))).alias("b")).select("member", (-F.col("b.minus")).alias("lead"))
-    links = cut(_confirmed(best, docs, words, percent))
-    comp = cut(connected_components(links))
-    rest = _across(stars.join(best, ["member", "lead"], "left_anti").select("member", "lead"), comp)
-    links = cut(links.unionByName(_confirmed(rest, docs, words, percent)))
-    comp = cut(connected_components(links))
-    # What still is apart within a bucket, as far as the sketches leave it possible.
-    own = hashed.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2")
-    left = own.join(mixed.select("key"), "key")
-    right = left.select("key", F.col("component").alias("c"), F.struct("doc_id", "n_shingles", "bits").alias("l"))
+    sized = info.join(rest.select("doc_id").distinct(), "doc_id").join(alone, "doc_id", "left").select(
+        "doc_id", "n_shingles", "bits", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common")
+    )
+    left = rest.join(sized.where(100 * F.col("common") >= percent * F.col("n_shingles")), "doc_id")
+    left = cut(left)
+    right = left.select("key", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "component", "n_shingles", "common", "bits")))
+    both = F.least("common", "r_common")
     more = (
         left.join(right, "key")
-        .where((F.col("doc_id") > F.col("l.doc_id")) & (F.col("component") != F.col("c")) & sizes & (apart <= slack))
-        .select(F.col("doc_id").alias("member"), F.col("l.doc_id").alias("lead"))
+        .where(
+            (F.col("doc_id") > F.col("r_doc_id")) & (F.col("component") != F.col("r_component"))
+            & (100 * both >= percent * (F.col("n_shingles") + F.col("r_n_shingles") - both)) & (_differing("bits", "r_bits") <= slack)
+        )
+        .select(F.col("doc_id").alias("member"), F.col("r_doc_id").alias("lead"))
         .distinct()
-        .join(stars.select("member", "lead"), ["member", "lead"], "left_anti")
+        .join(done.select(F.greatest("member", "lead").alias("member"), F.least("member", "lead").alias("lead")), ["member", "lead"], "left_anti")
     )
     links = links.unionByName(_confirmed(more, docs, words, percent))
     comp = cut(connected_components(links))
@@ -217,6 +246,19 @@ def near_duplicates(
     )
 
 
+def _differing(a: str, b: str) -> Column:
+    """How many of the sketches' bits differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(_BITS)), F.lit(0))
+
+
+def _possible(pairs: DataFrame, info: DataFrame, percent: int, slack: int) -> DataFrame:
+    """The pairs (member, lead) that their sizes and sketches don't rule out."""
+    for end in ("member", "lead"):
+        pairs = pairs.join(info.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"{end}_size"), F.col("bits").alias(f"{end}_bits")), end)
+    near = 100 * F.least("member_size", "lead_size") >= percent * F.greatest("member_size", "lead_size")
+    return pairs.where(near & (_differing("member_bits", "lead_bits") <= slack))
+
+
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components so far."""
     a = comp.select(F.col("node").alias("member"), F.col("component").alias("ca"))
@@ -224,5 +266,5 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return (
         pairs.join(a, "member", "left").join(b, "lead", "left")
         .where(F.coalesce("ca", "member") != F.coalesce("cb", "lead"))
-        .select("member", "lead")
+        .select("member", "lead", "shared")
     )
