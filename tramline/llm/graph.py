@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,19 +24,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back; smaller than a checkpoint.
-
-    The JVM is then asked to collect garbage, so that the files of shuffles that
-    nothing refers to any longer are removed before the next ones are written.
-    """
+    """Write df as a Parquet table in the shared folder and read it back; smaller than a checkpoint."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tramline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files that nothing refers to any longer, before more are written.
+
+    Spark removes them when the JVM collects the objects that stand for them, which
+    a driver with memory to spare may not do for a long time.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
 
 
 def shared_dir(spark: SparkSession) -> str:

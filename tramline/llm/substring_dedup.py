@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm import kernel as K
-from tramline.llm.graph import table
+from tramline.llm.graph import release, table
 
 _RUN = 1 << 24  # a run of windows is kept as first * _RUN + count
 
@@ -166,6 +166,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         known.mapInArrow(lambda it: _occurrences(it, min_words, seed_words), "anchor long, span long, doc_id long, run long")
         .join(shared, "anchor").select("anchor", "span", "doc_id", "run")
     )
+    release(found.sparkSession)
     spans = found.groupBy("anchor", "span").agg(F.min("doc_id").alias("source"))
     several = spans.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor")
     placed = found.join(spans, ["anchor", "span"])
@@ -176,6 +177,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     windows = known.join(open_, "doc_id").select("doc_id", "text", "runs").mapInArrow(lambda it: _single(it, min_words), "window long, doc_id long, run long")
     windows = table(windows)
+    release(windows.sparkSession)
     first = windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
     part = windows.join(first, "window").where("doc_id > source").select("doc_id", "run")
     gone = whole.unionByName(part).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
