@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tramline.llm import kernel as K
 
@@ -308,9 +309,10 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for whole in batches:
         for batch in K.slices(whole, most=2 << 20):
             ids = encode_texts(v, [t or "" for t in batch.column("text").to_pylist()])
+            kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
+                [*map(batch.column, kept), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                names=[*kept, "n_tokens", "ids"],
             )
 
 
@@ -319,21 +321,24 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for whole in batches:
         for batch in K.slices(whole, "ids", most=4 << 20):
             texts = [decode_ids(v, np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
 
-def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) of each row; ids are little-endian unsigned 32-bit integers, no special tokens added.
+def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns to keep, n_tokens, ids) of each row.
 
+    ids are little-endian unsigned 32-bit integers; no special tokens are added.
     Null texts count as empty and have no tokens.  Ids may be null or repeated:
-    rows are encoded one by one.  Other columns are left out.
+    rows are encoded one by one.  Other columns are left out; those kept must
+    not be called text, n_tokens or ids.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(lambda it: _encode(it, path), "doc_id long, n_tokens long, ids binary")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    fields = [f for f in docs.schema.fields if f.name != "text"]
+    schema = StructType([*fields, StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
+    return docs.mapInArrow(lambda it: _encode(it, path), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encode()'s rows with the column decoded; null ids decode to the empty text."""
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(lambda it: _decode(it, path), "doc_id long, n_tokens long, ids binary, decoded string")
+    """All of encode()'s columns and decoded; null ids decode to the empty text."""
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
+    return encoded.mapInArrow(lambda it: _decode(it, path), schema)

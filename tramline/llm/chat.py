@@ -47,12 +47,13 @@ def reconstruct(events: DataFrame) -> DataFrame:
     marked = e.withColumns(
         {
             "reset": F.max(F.when(F.col("op") != "delta", F.col("seq"))).over(own),
+            "said": F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(own),
             "void": F.max(F.when(F.col("op") == "regenerate", F.col("seq"))).over(earlier),
         }
     )
     kept = marked.where((F.col("reset").isNull() | (F.col("seq") >= F.col("reset"))) & (F.col("void").isNull() | (F.col("seq") > F.col("void"))))
     return kept.groupBy("conv_id", "msg").agg(
-        F.coalesce(F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))["role"], F.lit("")).alias("role"),
+        F.coalesce(F.max("said")["role"], F.lit("")).alias("role"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"),
     )
 
