@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm import kernel as K
-from tramline.llm.graph import connected_components, cut, table
+from tramline.llm.graph import connected_components, cut, release, table
 
 _BITS = 4  # longs with one bit of each coordinate
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
@@ -116,29 +116,26 @@ def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by lead, the lead's own text first; yields the pairs that reach the threshold."""
+    """Rows come by lead, the lead's own text first; yields how far apart each pair is and whether it is linked."""
     lead, first = None, None
     for whole in batches:
         for batch in K.slices(whole):
             data, offs = K.text_bytes(batch.column("text"))
             sets = K.shingle_sets(K.lower_ascii(data), offs, words)
-            u, v = [], []
+            out: list[tuple] = []
             for key, doc, own, s in zip(batch.column("lead").to_pylist(), batch.column("member").to_pylist(), batch.column("rank").to_pylist(), sets, strict=True):
                 if own == 0:
                     lead, first = key, s
-                elif key == lead and len(s) and len(first):
-                    if 100 * min(len(s), len(first)) < percent * max(len(s), len(first)):
-                        continue
+                elif key == lead:
                     both = len(np.intersect1d(s, first, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(first) - both):
-                        u.append(doc)
-                        v.append(key)
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                    whole_ = len(s) + len(first) - both
+                    out.append((doc, key, whole_ - both, both > 0 and 100 * both >= percent * whole_))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["u", "v", "apart", "linked"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, block: int = 256) -> DataFrame:
-    """Those of the pairs (member, lead) whose full shingle sets reach the threshold.
+def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, block: int = 256) -> DataFrame:
+    """The pairs (member, lead) as u and v with the number of shingles that only one of them has, and whether they are linked.
 
     A lead with many members is given to several tasks, `block` members or so
     each, and its text goes along to all of them.
@@ -156,7 +153,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, bloc
         .sortWithinPartitions("lead", "part", "rank")
         .select("member", "lead", "rank", "text")
     )
-    return rows.mapInArrow(lambda it: _confirm(it, words, percent), "u long, v long")
+    return rows.mapInArrow(lambda it: _confirm(it, words, percent), "u long, v long, apart long, linked boolean")
 
 
 def near_duplicates(
@@ -195,45 +192,52 @@ def near_duplicates(
     lead = live.join(middle, "doc_id").groupBy("key").agg(F.max(F.struct("near", (-F.col("doc_id")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("lead"))
     shared = live.join(lead, "key").where("doc_id <> lead").groupBy(F.col("doc_id").alias("member"), "lead").agg(F.count("*").alias("shared"))
     stars = cut(_possible(shared, info, percent, slack).select("member", "lead", "shared"))
-    done, comp = None, None
+    texts = table(docs.join(live.select("doc_id").distinct(), "doc_id"))
+    release(docs.sparkSession)
+    tested = first = comp = None
     for _ in range(2):  # each document with the lead it shares most bands with, then with the best one it is still apart from
-        open_ = stars if comp is None else _across(stars, comp).join(done, ["member", "lead"], "left_anti")
-        best = cut(
-            open_.groupBy("member").agg(F.max(F.struct("shared", (-F.col("lead")).alias("minus"))).alias("b")).select("member", (-F.col("b.minus")).alias("lead"))
-        )
-        found = _confirmed(best, docs, words, percent)
-        links = cut(found if comp is None else links.unionByName(found))
-        done = best if done is None else done.unionByName(best)
-        comp = cut(connected_components(links))
+        open_ = stars if comp is None else _across(stars, comp).join(tested.select(F.col("u").alias("member"), F.col("v").alias("lead")), ["member", "lead"], "left_anti")
+        best = open_.groupBy("member").agg(F.max(F.struct("shared", (-F.col("lead")).alias("minus"))).alias("b")).select("member", (-F.col("b.minus")).alias("lead"))
+        found = cut(_compared(best, texts, words, percent))
+        first = found if first is None else first
+        tested = found if tested is None else tested.unionByName(found)
+        comp = cut(connected_components(tested.where("linked").select("u", "v")))
+        release(docs.sparkSession)
     # What still is apart within a bucket.  A shingle of one document only is in no
-    # intersection, which leaves few of a group's outliers to be compared.
+    # intersection, and documents that differ from their common lead in different
+    # shingles differ in all of these, which leaves few pairs to be compared.
     own = live.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = table(own.join(mixed, "key"))
+    some = rest.select("doc_id").distinct()
+    near = first.select(F.col("u").alias("doc_id"), F.col("v").alias("center"), "apart")
+    counted = some.unionByName(near.join(some, "doc_id").select(F.col("center").alias("doc_id"))).distinct()
     alone = (
-        docs.join(rest.select("doc_id").distinct(), "doc_id").mapInArrow(lambda it: _shingles(it, words), "doc_id long, shingle long")
+        texts.join(counted, "doc_id").mapInArrow(lambda it: _shingles(it, words), "doc_id long, shingle long")
         .groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
         .groupBy("doc_id").agg(F.count("*").alias("alone"))
     )
-    sized = info.join(rest.select("doc_id").distinct(), "doc_id").join(alone, "doc_id", "left").select(
-        "doc_id", "n_shingles", "bits", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common")
+    sized = info.join(some, "doc_id").join(alone, "doc_id", "left").join(near, "doc_id", "left").select(
+        "doc_id", "n_shingles", "bits", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("center", "doc_id").alias("center"), F.coalesce("apart", F.lit(0)).alias("apart")
     )
-    left = rest.join(sized.where(100 * F.col("common") >= percent * F.col("n_shingles")), "doc_id")
-    left = cut(left)
-    right = left.select("key", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "component", "n_shingles", "common", "bits")))
-    both = F.least("common", "r_common")
+    left = cut(rest.join(sized.where(100 * (F.col("n_shingles") - F.col("alone")) >= percent * F.col("n_shingles")), "doc_id"))
+    right = left.select("key", *(F.col(c).alias(f"r_{c}") for c in left.columns if c != "key"))
+    both = F.least(F.col("n_shingles") - F.col("alone"), F.col("r_n_shingles") - F.col("r_alone"))
+    # The least number of shingles that only one of the two has, as seen from their common lead.
+    least = F.col("apart") + F.col("r_apart") - 2 * F.least(F.col("apart") - F.col("alone"), F.col("r_apart") - F.col("r_alone"))
     more = (
         left.join(right, "key")
         .where(
             (F.col("doc_id") > F.col("r_doc_id")) & (F.col("component") != F.col("r_component"))
             & (100 * both >= percent * (F.col("n_shingles") + F.col("r_n_shingles") - both)) & (_differing("bits", "r_bits") <= slack)
+            & ((F.col("center") != F.col("r_center")) | ((100 + percent) * least <= (100 - percent) * (F.col("n_shingles") + F.col("r_n_shingles"))))
         )
         .select(F.col("doc_id").alias("member"), F.col("r_doc_id").alias("lead"))
         .distinct()
-        .join(done.select(F.greatest("member", "lead").alias("member"), F.least("member", "lead").alias("lead")), ["member", "lead"], "left_anti")
+        .join(tested.select(F.greatest("u", "v").alias("member"), F.least("u", "v").alias("lead")), ["member", "lead"], "left_anti")
     )
-    links = links.unionByName(_confirmed(more, docs, words, percent))
-    comp = cut(connected_components(links))
+    tested = tested.unionByName(_compared(more, texts, words, percent))
+    comp = cut(connected_components(tested.where("linked").select("u", "v")))
     final = (
         reps.select("set_a", "set_b", "n_shingles", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("set_a", "set_b", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
