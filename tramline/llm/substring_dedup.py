@@ -158,7 +158,9 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id IS NOT NULL")
-    shared = (
+    # What is joined below is written first: a join splits a hot key's rows over several
+    # tasks only where both of its sides come straight from a shuffle.
+    shared = table(
         known.mapInArrow(lambda it: _seeds(it, min_words, seed_words), "anchor long, lo long, hi long")
         .groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor")
     )
@@ -167,7 +169,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         .join(shared, "anchor").select("anchor", "span", "doc_id", "run")
     )
     release(found.sparkSession)
-    spans = found.groupBy("anchor", "span").agg(F.min("doc_id").alias("source"))
+    spans = table(found.groupBy("anchor", "span").agg(F.min("doc_id").alias("source")))
     several = spans.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor")
     placed = found.join(spans, ["anchor", "span"])
     whole = placed.where("doc_id > source").select("doc_id", "run")
@@ -178,7 +180,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     windows = known.join(open_, "doc_id").select("doc_id", "text", "runs").mapInArrow(lambda it: _single(it, min_words), "window long, doc_id long, run long")
     windows = table(windows)
     release(windows.sparkSession)
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
+    first = table(windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"))
     part = windows.join(first, "window").where("doc_id > source").select("doc_id", "run")
     gone = whole.unionByName(part).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     return docs.join(gone, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(
