@@ -189,15 +189,18 @@ def near_duplicates(
     live = table(hashed.join(hashed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     # A bucket is led by its document with the most companions in all of its buckets: the middle of a group of copies.
     middle = live.groupBy("doc_id").agg(F.sum("n").alias("near"))
-    lead = live.join(middle, "doc_id").groupBy("key").agg(F.max(F.struct("near", (-F.col("doc_id")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("lead"))
-    shared = live.join(lead, "key").where("doc_id <> lead").groupBy(F.col("doc_id").alias("member"), "lead").agg(F.count("*").alias("shared"))
-    stars = cut(_possible(shared, info, percent, slack).select("member", "lead", "shared"))
+    lead = live.join(middle, "doc_id").groupBy("key").agg(F.max(F.struct("near", (-F.col("doc_id")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("lead"), "x.near")
+    shared = live.join(lead, "key").where("doc_id <> lead").groupBy(F.col("doc_id").alias("member"), "lead", "near").agg(F.count("*").alias("shared"))
+    stars = cut(_possible(shared, info, percent, slack).select("member", "lead", "near", "shared"))
     texts = table(docs.join(live.select("doc_id").distinct(), "doc_id"))
     release(docs.sparkSession)
     tested = first = comp = None
-    for _ in range(2):  # each document with the lead it shares most bands with, then with the best one it is still apart from
+    # Each document is compared with its lead in the middle of the largest group, so that
+    # the documents of a group have one lead in common, then with the lead that it shares
+    # most bands with and is still apart from.
+    for order in (("near", "shared"), ("shared", "near")):
         open_ = stars if comp is None else _across(stars, comp).join(tested.select(F.col("u").alias("member"), F.col("v").alias("lead")), ["member", "lead"], "left_anti")
-        best = open_.groupBy("member").agg(F.max(F.struct("shared", (-F.col("lead")).alias("minus"))).alias("b")).select("member", (-F.col("b.minus")).alias("lead"))
+        best = open_.groupBy("member").agg(F.max(F.struct(*order, (-F.col("lead")).alias("minus"))).alias("b")).select("member", (-F.col("b.minus")).alias("lead"))
         found = cut(_compared(best, texts, words, percent))
         first = found if first is None else first
         tested = found if tested is None else tested.unionByName(found)
@@ -270,5 +273,5 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return (
         pairs.join(a, "member", "left").join(b, "lead", "left")
         .where(F.coalesce("ca", "member") != F.coalesce("cb", "lead"))
-        .select("member", "lead", "shared")
+        .select("member", "lead", "near", "shared")
     )
