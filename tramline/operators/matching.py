@@ -89,7 +89,8 @@ def nearest(points: DataFrame, places: DataFrame, lat0: float, cutoff: float, k:
 
     Both are dealt to square cells of the cutoff's size; a point looks into its
     own cell and the eight around it, so the join is an equi-join whatever the
-    number of places.  Ties go to the smaller place_id.
+    number of places.  Places that are equally far, to a micrometre, are taken
+    by place_id.
     """
     cell = lambda c, scale: F.floor(F.col(c) * scale / cutoff)
     lon_m = 111_320.0 * math.cos(math.radians(lat0))
@@ -100,9 +101,9 @@ def nearest(points: DataFrame, places: DataFrame, lat0: float, cutoff: float, k:
     have = places.select("place_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), cell("lat", LAT_M).alias("ci"), cell("lon", lon_m).alias("cj"))
     near = ask.join(have, ["ci", "cj"]).withColumn("dist_m", planar_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"), F.lit(lat0))).where(F.col("dist_m") <= cutoff)
     if k == 1:
-        best = near.groupBy("point_id").agg(F.min(F.struct("dist_m", "place_id")).alias("b"))
+        best = near.groupBy("point_id").agg(F.min(F.struct(F.round("dist_m", 6).alias("dist_m"), "place_id")).alias("b"))
         return best.select("point_id", F.col("b.place_id").alias("place_id"), F.col("b.dist_m").alias("dist_m"), F.lit(1).alias("rank"))
-    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("dist_m", "place_id"))
+    rank = F.row_number().over(Window.partitionBy("point_id").orderBy(F.round("dist_m", 6), "place_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("point_id", "place_id", "dist_m", "rank")
 
 

@@ -185,7 +185,7 @@ def snap(track: DataFrame, nodes: DataFrame, edges: DataFrame, window_s: float =
     b = nodes.select(F.col("node_id").alias("v"), F.col("lat").alias("vlat"), F.col("lon").alias("vlon"))
     full = edges.join(a, "u").join(b, "v")
     ends = full.select("*", F.explode(F.array_distinct(F.array(*(F.struct(F.floor(F.col(f"{e}lat") * LAT_M / size).alias("ci"), F.floor(F.col(f"{e}lon") * lon_m / size).alias("cj")) for e in "uv")))).alias("c"))
-    mine = cells.join(ends.select("u", "v", "ulat", "ulon", "vlat", "vlon", "c.ci", "c.cj"), ["ci", "cj"]).drop("ci", "cj").distinct()
+    mine = cells.join(ends.select("u", "v", "ulat", "ulon", "vlat", "vlon", "c.ci", "c.cj"), ["ci", "cj"]).drop("ci", "cj").distinct().withColumnRenamed("tr_id", "e_tr")
 
     def one(t: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("ts").reset_index(drop=True)
@@ -203,7 +203,7 @@ def snap(track: DataFrame, nodes: DataFrame, edges: DataFrame, window_s: float =
         i = [k for k, _, _ in got]
         return pd.DataFrame({"tr_id": t["tr_id"].iloc[i].to_numpy(), "ts": t["ts"].iloc[i].to_numpy(), "lat": [q[0] for q in places], "lon": [q[1] for q in places], "raw_lat": t["lat"].iloc[i].to_numpy(), "raw_lon": t["lon"].iloc[i].to_numpy()})
 
-    return recent.groupBy("tr_id").cogroup(mine.groupBy("tr_id")).applyInPandas(one, SNAPPED)
+    return recent.groupBy("tr_id").cogroup(mine.groupBy("e_tr")).applyInPandas(one, SNAPPED)
 
 
 def snapped_delays(snapped: DataFrame, schedule: DataFrame, radius_m: float = 90.0, window_s: float = 300.0) -> DataFrame:
