@@ -190,19 +190,17 @@ def near_duplicates(
     # A bucket is led by its document with the most companions in all of its buckets: the middle of a group of copies.
     middle = live.groupBy("doc_id").agg(F.sum("n").alias("near"))
     lead = live.join(middle, "doc_id").groupBy("key").agg(F.max(F.struct("near", (-F.col("doc_id")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("lead"), "x.near")
-    shared = live.join(lead, "key").where("doc_id <> lead").groupBy(F.col("doc_id").alias("member"), "lead", "near").agg(F.count("*").alias("shared"))
+    shared = cut(live.join(lead, "key").where("doc_id <> lead").groupBy(F.col("doc_id").alias("member"), "lead", "near").agg(F.count("*").alias("shared")))
     stars = cut(_possible(shared, info, percent, slack).select("member", "lead", "near", "shared"))
     texts = table(docs.join(live.select("doc_id").distinct(), "doc_id"))
     release(docs.sparkSession)
-    tested = first = comp = None
-    # Each document is compared with its lead in the middle of the largest group, so that
-    # the documents of a group have one lead in common, then with the lead that it shares
-    # most bands with and is still apart from.
+    tested = comp = None
+    # Each document is compared with its lead in the middle of the largest group, then with
+    # the lead that it shares most bands with and is still apart from.
     for order in (("near", "shared"), ("shared", "near")):
         open_ = stars if comp is None else _across(stars, comp).join(tested.select(F.col("u").alias("member"), F.col("v").alias("lead")), ["member", "lead"], "left_anti")
         best = open_.groupBy("member").agg(F.max(F.struct(*order, (-F.col("lead")).alias("minus"))).alias("b")).select("member", (-F.col("b.minus")).alias("lead"))
         found = cut(_compared(best, texts, words, percent))
-        first = found if first is None else first
         tested = found if tested is None else tested.unionByName(found)
         comp = cut(connected_components(tested.where("linked").select("u", "v")))
         release(docs.sparkSession)
@@ -213,7 +211,12 @@ def near_duplicates(
     mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = table(own.join(mixed, "key"))
     some = rest.select("doc_id").distinct()
-    near = first.select(F.col("u").alias("doc_id"), F.col("v").alias("center"), "apart")
+    # The documents of a group have one lead in common, the one with the most companions.
+    middle = shared.groupBy("member").agg(F.max(F.struct("near", (-F.col("lead")).alias("minus"))).alias("x")).select("member", (-F.col("x.minus")).alias("lead"))
+    middle = cut(middle.join(some.withColumnRenamed("doc_id", "member"), "member"))
+    missing = middle.join(tested.select(F.col("u").alias("member"), F.col("v").alias("lead")), ["member", "lead"], "left_anti")
+    tested = tested.unionByName(cut(_compared(missing, texts, words, percent)))
+    near = tested.select(F.col("u").alias("member"), F.col("v").alias("lead"), "apart").join(middle, ["member", "lead"]).select(F.col("member").alias("doc_id"), F.col("lead").alias("center"), "apart")
     counted = some.unionByName(near.join(some, "doc_id").select(F.col("center").alias("doc_id"))).distinct()
     alone = (
         texts.join(counted, "doc_id").mapInArrow(lambda it: _shingles(it, words), "doc_id long, shingle long")
