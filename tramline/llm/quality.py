@@ -84,7 +84,8 @@ def judged(
     lines = documents.select(
         F.col(id_col).alias("q_id"), F.col(host_col).alias("q_host"), F.xxhash64(text_col).alias("q_text"),
         F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: x.rlike(_WORD)).alias("q_lines"),
-    ).select("q_id", "q_host", "q_text", F.explode("q_lines").alias("q_line")).select("q_id", "q_host", "q_text", _line_key(F.col("q_line")).alias("q_key"), F.size(F.split(F.trim(F.regexp_replace("q_line", BLANKS, " ")), " ")).alias("q_words"))
+    ).select("q_id", "q_host", "q_text", F.posexplode("q_lines").alias("q_at", "q_line"))
+    lines = lines.select("q_id", "q_host", "q_text", "q_at", _line_key(F.col("q_line")).alias("q_key"), F.size(F.split(F.trim(F.regexp_replace("q_line", BLANKS, " ")), " ")).alias("q_words"))
     common = lines.groupBy("q_host", "q_key").agg(F.count_distinct("q_text").alias("n")).where(F.col("n") >= line_docs)
     hosts = documents.groupBy(F.col(host_col).alias("h_host")).agg(F.count_distinct(F.xxhash64(text_col)).alias("texts"))
     above = (
@@ -93,22 +94,21 @@ def judged(
     )
     hit = (
         lines.join(above, (F.col("q_key") == F.col("a_key")) & F.col("q_host").eqNullSafe(F.col("a_host")))
-        .groupBy("q_id", "q_host", "q_text").agg(F.collect_set("q_key").alias("q_keys"))
+        .groupBy("q_id", "q_host", "q_text").agg(F.collect_set(F.struct("q_at", "q_key", "q_words")).alias("q_gone"))  # a document's own lines
+        .select("q_id", "q_host", "q_text", F.transform("q_gone", lambda x: x["q_key"]).alias("q_keys"), F.aggregate("q_gone", F.lit(0), lambda acc, x: acc + x["q_words"]).alias("q_lost"))
     )
     base = measures(documents.withColumn("m_text", F.xxhash64(text_col)), text_col)
     both = base.join(
         hit, F.col(id_col).eqNullSafe(F.col("q_id")) & F.col(host_col).eqNullSafe(F.col("q_host")) & (F.col("m_text") == F.col("q_text")), "left"
     )
-    gone = F.filter("m_lines", lambda x: F.array_contains("q_keys", _line_key(x)))
-    lost = F.aggregate(gone, F.lit(0), lambda acc, x: acc + F.size(F.split(F.trim(F.regexp_replace(x, BLANKS, " ")), " ")))
     clean = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("q_keys", _line_key(x))), "\n")
     failed = (F.col("m_words") < min_words) | (100 * F.col("m_repeat_words") > max_repeat_percent * F.col("m_words"))
     return both.withColumns(
         {
             "base_failed": failed,
-            "removed_words": F.when(F.col("q_keys").isNull(), F.lit(0)).otherwise(lost).cast("long"),
+            "removed_words": F.coalesce("q_lost", F.lit(0)).cast("long"),
             "clean_text": F.when(F.col("q_keys").isNull(), F.col(text_col)).otherwise(clean),
         }
     ).withColumn("kept", ~F.col("base_failed") & (100 * (F.col("m_words") - F.col("removed_words")) >= min_left_percent * F.col("m_words"))).drop(
-        "q_id", "q_host", "q_text", "q_keys", "m_text", "m_lines"
+        "q_id", "q_host", "q_text", "q_keys", "q_lost", "m_text", "m_lines"
     )
