@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.llm import oracles
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +35,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
-@_query()
+@_query(oracles.OP7)
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.substring_dedup import remove_repeats
 
@@ -82,14 +84,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
-@_query()
+@_query(oracles.op3(_RULES))
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.url_filter import Rule, judge
 
     return judge(_table(spark, sf_dir, "pages"), tuple(Rule(*r) for r in _RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-@_query()
+@_query(oracles.OP4)
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.decontaminate import contamination
 
@@ -100,7 +102,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query()
+@_query(oracles.OP5)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.quality import judged
 
@@ -119,7 +121,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranker.score(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-@_query()
+@_query(oracles.OP10)
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 

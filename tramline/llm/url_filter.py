@@ -44,20 +44,22 @@ def path(url: Column) -> Column:
     return F.when(url.contains("://"), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)).otherwise(F.lit(""))
 
 
-def address(url: Column) -> Column:
-    """What identifies a page: host, path and query, without scheme and fragment; null without a host."""
-    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    return F.when(host(url) != "", F.concat(host(url), path(url), query))
+def _addressed(df: DataFrame, url: str, name: str) -> DataFrame:
+    """df with the address of a URL column: host, path and query, without scheme and fragment; null without a host."""
+    parts = df.withColumns({"u_h": host(F.col(url)), "u_p": path(F.col(url)), "u_q": F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)})
+    return parts.withColumn(name, F.when(F.col("u_h") != "", F.concat("u_h", "u_p", "u_q"))).drop("u_h", "u_p", "u_q")
 
 
-def _absolute(base: Column, link: Column) -> Column:
-    """A link on the page base as a full URL; null for an empty one."""
-    scheme = F.regexp_extract(base, r"(?s)^(.*?://)", 1)
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
-    return F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), link)).when(
-        link.startswith("/"), F.concat(scheme, host(base), link)
-    ).when(link != "", F.concat(scheme, host(base), F.when(folder == "", F.lit("/")).otherwise(folder), link))
+def _absolute(link: Column) -> Column:
+    """A link on a page with the columns u_scheme, host and path, as a full URL; null for an empty one."""
+    site = F.concat("u_scheme", "host")
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    return (
+        F.when(link.contains("://"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_replace("u_scheme", "//$", ""), link))
+        .when(link.startswith("/"), F.concat(site, link))
+        .when(link != "", F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+    )
 
 
 def _rule(rules: tuple[Rule, ...]) -> Column:
@@ -80,14 +82,18 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url", html_
     hundred at most.
     """
     clash = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns]
-    p = pages.drop(*clash).withColumns({"host": host(F.coalesce(F.col(url_col), F.lit(""))), "path": path(F.coalesce(F.col(url_col), F.lit(""))), "u_key": address(F.col(url_col))})
-    p = p.withColumn("u_rule", _rule(rules))
+    p = pages.drop(*clash).withColumns({"host": host(F.coalesce(F.col(url_col), F.lit(""))), "path": path(F.coalesce(F.col(url_col), F.lit("")))})
+    p = _addressed(p, url_col, "u_key").withColumn("u_rule", _rule(rules))
     edges = None
     if html_col:
-        targets = F.array(*(address(_absolute(F.col(url_col), F.regexp_extract(html_col, x, 1))) for x in (_CANONICAL, _REFRESH)))
-        edges = p.where(F.lower(html_col).contains("canonical") | F.lower(html_col).contains("refresh")).select(F.col("u_key").alias("u"), F.explode(targets).alias("v"))
+        linking = p.where(F.lower(html_col).contains("canonical") | F.lower(html_col).contains("refresh"))
+        found = linking.select(
+            "u_key", "host", "path", F.regexp_extract(url_col, r"(?s)^(.*?://)", 1).alias("u_scheme"), F.explode(F.array(*(F.regexp_extract(html_col, x, 1) for x in (_CANONICAL, _REFRESH)))).alias("u_link")
+        )
+        found = found.withColumn("u_link", F.replace("u_link", F.lit("&amp;"), F.lit("&")))
+        edges = _addressed(found.withColumn("u_target", _absolute(F.col("u_link"))), "u_target", "v").select(F.col("u_key").alias("u"), "v")
     if links is not None:
-        more = links.select(address(F.col("source")).alias("u"), address(F.col("target")).alias("v"))
+        more = _addressed(_addressed(links.select("source", "target"), "source", "u"), "target", "v").select("u", "v")
         edges = more if edges is None else edges.unionByName(more)
     if edges is None:
         alias = F.lit(None).cast("string")
