@@ -223,20 +223,23 @@ def near_duplicates(
         .groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
         .groupBy("doc_id").agg(F.count("*").alias("alone"))
     )
-    sized = info.join(some, "doc_id").join(alone, "doc_id", "left").join(near, "doc_id", "left").select(
-        "doc_id", "n_shingles", "bits", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("center", "doc_id").alias("center"), F.coalesce("apart", F.lit(0)).alias("apart")
+    sized = reps.select("doc_id", "n_shingles", "bits", "bands").join(some, "doc_id").join(alone, "doc_id", "left").join(near, "doc_id", "left").select(
+        "doc_id", "n_shingles", "bits", "bands", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("center", "doc_id").alias("center"), F.coalesce("apart", F.lit(0)).alias("apart")
     )
     left = cut(rest.join(sized.where(100 * (F.col("n_shingles") - F.col("alone")) >= percent * F.col("n_shingles")), "doc_id"))
     right = left.select("key", *(F.col(c).alias(f"r_{c}") for c in left.columns if c != "key"))
     both = F.least(F.col("n_shingles") - F.col("alone"), F.col("r_n_shingles") - F.col("r_alone"))
     # The least number of shingles that only one of the two has, as seen from their common lead.
     least = F.col("apart") + F.col("r_apart") - 2 * F.least(F.col("apart") - F.col("alone"), F.col("r_apart") - F.col("r_alone"))
+    # A pair comes from the first of the bands that it shares.
+    common = F.array_position(F.zip_with("bands", "r_bands", lambda x, y: x == y), F.lit(True))
     more = (
         left.join(right, "key")
         .where(
             (F.col("doc_id") > F.col("r_doc_id")) & (F.col("component") != F.col("r_component"))
             & (100 * both >= percent * (F.col("n_shingles") + F.col("r_n_shingles") - both)) & (_differing("bits", "r_bits") <= slack)
             & ((F.col("center") != F.col("r_center")) | ((100 + percent) * least <= (100 - percent) * (F.col("n_shingles") + F.col("r_n_shingles"))))
+            & (F.get("bands", (common - 1).cast("int")) == F.col("key"))
         )
         .select(F.col("doc_id").alias("member"), F.col("r_doc_id").alias("lead"))
         .distinct()
