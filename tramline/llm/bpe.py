@@ -215,6 +215,50 @@ def _long(v: Vocabulary, word: bytes) -> list[int]:
     return v.library().encode(word.decode(), add_special_tokens=False).ids
 
 
+class _Seen:
+    """Words that this worker has encoded lately; it starts anew when it is full."""
+
+    def __init__(self, words: int = 150_000, ids: int = 1_500_000) -> None:
+        self.most = words, ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.first, self.count, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
+        self.words = self.used = 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        for name, used, more in (("first", self.words, len(counts)), ("count", self.words, len(counts)), ("ids", self.used, len(ids))):
+            old = getattr(self, name)
+            if used + more > len(old):
+                grown = np.zeros(2 * (used + more), old.dtype)
+                grown[:used] = old[:used]
+                setattr(self, name, grown)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[self.words : self.words + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.count[self.words : self.words + len(counts)] = counts
+        self.words, self.used = self.words + len(counts), self.used + len(ids)
+
+
+@functools.cache
+def _seen(path: str) -> _Seen:
+    return _Seen()
+
+
+def _numbered(v: Vocabulary, raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[_Seen, np.ndarray]:
+    """Where the words stand among those seen; new ones are encoded."""
+    seen = _seen(v.path)
+    if seen.words > seen.most[0] or seen.used > seen.most[1]:
+        seen.clear()
+    words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    at = np.fromiter((seen.index.get(w, -1) for w in words), np.int64, len(words))
+    new = np.flatnonzero(at < 0)
+    at[new] = np.arange(seen.words, seen.words + len(new))
+    seen.index.update((words[i], j) for i, j in zip(new.tolist(), at[new].tolist(), strict=True))
+    seen.add(*encode_words(v, data, starts[new], ends[new] - starts[new]))
+    return seen, at
+
+
 def word_starts(v: Vocabulary, points: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in code points, of the words that the vocabulary's pattern finds."""
     n = len(points)
@@ -279,15 +323,16 @@ def encode_texts(v: Vocabulary, texts: list[str]) -> list[np.ndarray]:
     at = np.zeros(len(points) + 1, np.int64)
     np.cumsum(size, out=at[1:])
     del size, points
-    data = np.frombuffer(whole.encode(), np.uint8)
+    raw = whole.encode()
+    data = np.frombuffer(raw, np.uint8)
     del whole
     word = np.searchsorted(begin, offs)
     begin, end = at[begin], at[end]
     _, where, which = np.unique(K.span_hashes(data, begin, end), return_index=True, return_inverse=True)
-    ids, counts = encode_words(v, data, begin[where], end[where] - begin[where])
-    first, number = (np.cumsum(counts) - counts)[which], counts[which]
+    seen, at = _numbered(v, raw, data, begin[where], end[where])
+    first, number = seen.first[at][which], seen.count[at][which]
     total = np.cumsum(number)
-    flat = ids[np.repeat(first - (total - number), number) + np.arange(total[-1] if len(total) else 0)]
+    flat = seen.ids[np.repeat(first - (total - number), number) + np.arange(total[-1] if len(total) else 0)]
     cuts = np.concatenate([[0], total])[word]
     out = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     for i, x in aside.items():
@@ -307,7 +352,7 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     v = vocabulary(path)
     for whole in batches:
-        for batch in K.slices(whole, most=2 << 20):
+        for batch in K.slices(whole, most=1 << 20):
             ids = encode_texts(v, [t or "" for t in batch.column("text").to_pylist()])
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
@@ -319,7 +364,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     v = vocabulary(path)
     for whole in batches:
-        for batch in K.slices(whole, "ids", most=4 << 20):
+        for batch in K.slices(whole, "ids", most=1 << 20):
             texts = [decode_ids(v, np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 

@@ -193,7 +193,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     name = f"{base}/shard-{shard:05d}-{uuid.uuid4().hex}.sst"
     writer = sink = None
     for whole in batches:
-        for batch in K.slices(whole, most=4 << 20):
+        for batch in K.slices(whole, most=1 << 20):
             if writer is None:
                 store.create_dir(base, recursive=True)
                 sink = store.open_output_stream(name)
