@@ -48,9 +48,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark."""
-    found = secrets.scan(docs.select(*COLUMNS))
-    text = secrets.redacted(F.col("text"), F.col("spans"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.size("spans") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    found = secrets.scan(docs.select(*COLUMNS)).withColumn("clean_text", secrets.redacted(F.col("text"), F.col("spans")))
+    size = F.when(F.size("spans") > 0, F.char_length("clean_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
