@@ -89,6 +89,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
+        release(e.sparkSession)
     roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
 

@@ -210,6 +210,7 @@ def near_duplicates(
     own = live.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = table(own.join(mixed, "key"))
+    release(docs.sparkSession)
     some = rest.select("doc_id").distinct()
     # The documents of a group have one lead in common, the one with the most companions.
     middle = shared.groupBy("member").agg(F.max(F.struct("near", (-F.col("lead")).alias("minus"))).alias("x")).select("member", (-F.col("x.minus")).alias("lead"))
@@ -223,29 +224,32 @@ def near_duplicates(
         .groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
         .groupBy("doc_id").agg(F.count("*").alias("alone"))
     )
-    sized = reps.select("doc_id", "n_shingles", "bits", "bands").join(some, "doc_id").join(alone, "doc_id", "left").join(near, "doc_id", "left").select(
-        "doc_id", "n_shingles", "bits", "bands", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("center", "doc_id").alias("center"), F.coalesce("apart", F.lit(0)).alias("apart")
+    tags = F.transform("bands", lambda x: F.hash(x))
+    sized = reps.select("doc_id", "n_shingles", "bits", tags.alias("tags")).join(some, "doc_id").join(alone, "doc_id", "left").join(near, "doc_id", "left").select(
+        "doc_id", "n_shingles", "bits", "tags", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("center", "doc_id").alias("center"), F.coalesce("apart", F.lit(0)).alias("apart")
     )
     left = cut(rest.join(sized.where(100 * (F.col("n_shingles") - F.col("alone")) >= percent * F.col("n_shingles")), "doc_id"))
+    release(docs.sparkSession)
     right = left.select("key", *(F.col(c).alias(f"r_{c}") for c in left.columns if c != "key"))
     both = F.least(F.col("n_shingles") - F.col("alone"), F.col("r_n_shingles") - F.col("r_alone"))
     # The least number of shingles that only one of the two has, as seen from their common lead.
     least = F.col("apart") + F.col("r_apart") - 2 * F.least(F.col("apart") - F.col("alone"), F.col("r_apart") - F.col("r_alone"))
-    # A pair comes from the first of the bands that it shares.
-    common = F.array_position(F.zip_with("bands", "r_bands", lambda x, y: x == y), F.lit(True))
+    # A pair comes from the first of the bands that it shares; tags stand for the bands' keys.
+    common = F.array_position(F.zip_with("tags", "r_tags", lambda x, y: x == y), F.lit(True))
     more = (
         left.join(right, "key")
         .where(
             (F.col("doc_id") > F.col("r_doc_id")) & (F.col("component") != F.col("r_component"))
             & (100 * both >= percent * (F.col("n_shingles") + F.col("r_n_shingles") - both)) & (_differing("bits", "r_bits") <= slack)
             & ((F.col("center") != F.col("r_center")) | ((100 + percent) * least <= (100 - percent) * (F.col("n_shingles") + F.col("r_n_shingles"))))
-            & (F.get("bands", (common - 1).cast("int")) == F.col("key"))
+            & (F.get("tags", (common - 1).cast("int")) == F.hash("key"))
         )
         .select(F.col("doc_id").alias("member"), F.col("r_doc_id").alias("lead"))
         .distinct()
         .join(tested.select(F.greatest("u", "v").alias("member"), F.least("u", "v").alias("lead")), ["member", "lead"], "left_anti")
     )
-    tested = tested.unionByName(_compared(more, texts, words, percent))
+    tested = cut(tested.unionByName(_compared(more, texts, words, percent)))
+    release(docs.sparkSession)
     comp = cut(connected_components(tested.where("linked").select("u", "v")))
     final = (
         reps.select("set_a", "set_b", "n_shingles", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
