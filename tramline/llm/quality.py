@@ -52,13 +52,15 @@ def measures(documents: DataFrame, text_col: str = "text", repeat_words: int = 3
     )
     counted = words.withColumns(
         {
-            "m_words": F.size("m_list").cast("long"),
+            "m_n": F.size("m_list").cast("long"),
             "m_word_chars": F.char_length(F.array_join("m_list", "")).cast("long"),
             "m_dup_lines": (F.size("m_lines") - F.size(F.array_distinct("m_lines"))).cast("long"),
             "m_grams": grams,
         }
     ).drop("m_list")
-    return counted.withColumn("m_repeat_words", _repeated_words(F.col("m_grams"), repeat_words)).drop("m_grams")
+    # A filter on a generator's output stays above it.  Below, it would repeat the word list's expression for every window.
+    made = F.struct(F.col("m_n").alias("m_words"), _repeated_words(F.col("m_grams"), repeat_words).alias("m_repeat_words"))
+    return counted.drop("m_words", "m_repeat_words").select("*", F.inline(F.array(made))).drop("m_n", "m_grams")
 
 
 def judged(
