@@ -359,6 +359,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                 [*map(batch.column, kept), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
                 names=[*kept, "n_tokens", "ids"],
             )
+    # The worker may serve other operators next, which need the memory.
+    _seen(path).clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
