@@ -111,7 +111,7 @@ def viterbi(roads: Roads, x: np.ndarray, y: np.ndarray, radius: float = 300.0, n
     states: list[tuple[int, float, float]] = []
     score: list[float] = []
     trail: list[tuple[int, list, list]] = []  # observation, states, predecessors
-    cache: dict[tuple[int, float], dict[int, float]] = {}
+    cache: dict[int, tuple[float, dict[int, float]]] = {}  # by start: the limit searched to, distances
 
     def finish() -> None:
         if trail:
@@ -140,11 +140,11 @@ def viterbi(roads: Roads, x: np.ndarray, y: np.ndarray, radius: float = 300.0, n
                     else:
                         route = math.inf
                         for pn, pd_ in ((roads.u[pe], pt), (roads.v[pe], 1 - pt)):
-                            reach = cache.get((pn, limit))
-                            if reach is None:
-                                reach = cache[pn, limit] = roads.distances(pn, limit)
+                            far, reach = cache.get(pn, (-1.0, {}))
+                            if far < limit:
+                                far, reach = cache[pn] = (1.5 * limit, roads.distances(pn, 1.5 * limit))
                             for n, nd in ((roads.u[e], t), (roads.v[e], 1 - t)):
-                                if n in reach:
+                                if reach.get(n, math.inf) < limit + 1e-9:
                                     route = min(route, pd_ * roads.length[pe] + reach[n] + nd * roads.length[e])
                     s = score[k] - abs(route - straight) / beta
                     if s > best:
@@ -203,7 +203,10 @@ def snap(track: DataFrame, nodes: DataFrame, edges: DataFrame, window_s: float =
         i = [k for k, _, _ in got]
         return pd.DataFrame({"tr_id": t["tr_id"].iloc[i].to_numpy(), "ts": t["ts"].iloc[i].to_numpy(), "lat": [q[0] for q in places], "lon": [q[1] for q in places], "raw_lat": t["lat"].iloc[i].to_numpy(), "raw_lon": t["lon"].iloc[i].to_numpy()})
 
-    return recent.groupBy("tr_id").cogroup(mine.groupBy("e_tr")).applyInPandas(one, SNAPPED)
+    # The rows are few and the work on them is not, so adaptive execution would gather it in one task.  A number of parts
+    # of its own keeps it apart; the session's number would be taken for the partitioning that is there already.
+    parts = 2 * int(track.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return recent.repartition(parts, "tr_id").groupBy("tr_id").cogroup(mine.repartition(parts, "e_tr").groupBy("e_tr")).applyInPandas(one, SNAPPED)
 
 
 def snapped_delays(snapped: DataFrame, schedule: DataFrame, radius_m: float = 90.0, window_s: float = 300.0) -> DataFrame:

@@ -105,9 +105,9 @@ def hmm_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A drive east along the grid's rows, a fix every ten seconds, for each of the first vehicles."""
+    """A drive east along the grid's rows, a fix every ten seconds, for each vehicle."""
     jitter = ((F.xxhash64("tr_id", "k") % 9) * 1e-5).cast("double")
-    return fixtures.traffic(spark, sf_dir).select("tr_id").distinct().where("tr_id < 40").select("tr_id", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("k")).select(
+    return fixtures.traffic(spark, sf_dir).select("tr_id").distinct().select("tr_id", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("k")).select(
         "tr_id", (F.lit(1_704_067_200) + F.col("k") * 10).alias("ts"), (F.lit(55.745) + 0.0015 * (F.col("tr_id") % SIDE) + jitter).alias("lat"), (F.lit(37.594) + F.col("k") * 0.000175 + jitter).alias("lon"),
     )
 
