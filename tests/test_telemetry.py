@@ -244,6 +244,19 @@ def test_stop_delay_from_snapped_track(spark, roads):
     assert set(got) == {1} and abs(got[1]) <= 15
 
 
+def test_every_vehicle_has_its_corridor(spark):
+    from tramline.plans import roads as plans
+
+    f = fixtures.traffic(spark, SF)
+    nodes, edges, _ = plans._grid(spark)
+    got = plans.subgraph_corridors(spark, SF).collect()
+    assert len({r.tr_id for r in got}) > 1
+    third = {(r.u, r.v) for r in graph.corridor(nodes, edges, f.where("tr_id = 3"), 120.0, 55.75)[1].collect()}
+    assert {(r.u, r.v) for r in got if r.tr_id == 3} == third
+    nobody = graph.corridors(nodes, edges, f.where("tr_id = 3").withColumn("tr_id", F.lit(None).cast("long")), 120.0, 55.75)
+    assert {(r.u, r.v) for r in nobody.collect()} == third
+
+
 def test_every_vehicle_is_matched(spark):
     from tramline.plans import roads as plans
 

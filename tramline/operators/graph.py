@@ -59,6 +59,22 @@ def corridor(nodes: DataFrame, edges: DataFrame, track: DataFrame, pad_m: float,
     return close, inside.select("u", "v", "length_m")
 
 
+def corridors(nodes: DataFrame, edges: DataFrame, track: DataFrame, pad_m: float, lat0: float) -> DataFrame:
+    """corridor()'s edges for each vehicle by its own points: tr_id, u, v, length_m; the nodes are spread over the cells around them."""
+    lon_m = LON_M * math.cos(math.radians(lat0))
+    cell = lambda c, m: F.floor(F.col(c) * m / pad_m)
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    placed = nodes.select("node_id", "lat", "lon", around.alias("o"), cell("lat", LAT_M).alias("i"), cell("lon", lon_m).alias("j")).select(
+        "node_id", "lat", "lon", (F.col("i") + F.col("o.i")).alias("ci"), (F.col("j") + F.col("o.j")).alias("cj")
+    )
+    asked = track.select("tr_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), cell("lat", LAT_M).alias("ci"), cell("lon", lon_m).alias("cj"))
+    near = planar_m(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon"), F.lit(lat0)) <= pad_m
+    close = asked.join(placed, ["ci", "cj"]).where(near).select("tr_id", "node_id").distinct()
+    begun = close.withColumnRenamed("node_id", "u").join(edges, "u").select(F.col("tr_id").alias("b_tr"), "u", "v", "length_m")
+    ends = (F.col("v") == F.col("node_id")) & F.col("b_tr").eqNullSafe(F.col("tr_id"))
+    return begun.join(close, ends, "left_semi").select(F.col("b_tr").alias("tr_id"), "u", "v", "length_m")
+
+
 def _saved(df: DataFrame) -> DataFrame:
     """A checkpoint in the cluster's shared folder; a temporary one where none is set and the master is local."""
     spark = df.sparkSession

@@ -81,6 +81,12 @@ def subgraph_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.corridor(nodes, edges, f, 120.0, 55.75)[1], 3, "length_m")
 
 
+@query(_sql("SELECT a.tr_id, u, v, round(length_m, 3) AS length_m FROM edges JOIN close a ON a.node_id = u JOIN close b ON b.node_id = v AND b.tr_id IS NOT DISTINCT FROM a.tr_id", _NODES, _EDGES, f"close AS (SELECT DISTINCT p.tr_id, n.node_id FROM traffic p, nodes n WHERE {_FLAT} <= 120)"))
+def subgraph_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = _grid(spark)
+    return _rounded(graph.corridors(nodes, edges, fixtures.traffic(spark, sf_dir), 120.0, 55.75), 3, "length_m")
+
+
 @query(
     "WITH RECURSIVE " + ",\n".join([_NODES.strip(), _EDGES])
     + ", walk(node, dist_m) AS (SELECT 1000, 0.0::DOUBLE UNION ALL SELECT e.v, w.dist_m + e.length_m FROM walk w JOIN edges e ON e.u = w.node) SELECT CAST(1000 AS BIGINT) AS source, CAST(node AS BIGINT) AS node, round(min(dist_m), 3) AS dist_m FROM walk GROUP BY 2"
