@@ -211,6 +211,15 @@ def test_route(spark, tmp_path):
     assert got[2, 2].n == 2 and got[3, 4].n == 3
 
 
+def test_unfinished_paths_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "u long, v long, length_m double")
+    start = spark.createDataFrame([(0,)], "source long")
+    with pytest.raises(ValueError, match="3 rounds"):
+        graph.shortest_paths(chain, start, rounds=3)
+    got = {r.node: r.dist_m for r in graph.shortest_paths(chain, start, rounds=7).collect()}
+    assert got == {i: float(i) for i in range(7)}
+
+
 def moving(seed=7, stuck=0):
     r = np.random.default_rng(seed)
     rows = [(1, float(T0 + 10 * i), 55.75 + 6 * 10 * i / 111132 + r.normal(0, 4e-5), 37.6 + r.normal(0, 4e-5)) for i in range(30)]

@@ -94,7 +94,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, every: int = 4, rounds:
     Returns (source, node, dist_m, prev).  Only nodes that came closer in the
     last round are expanded; of equal distances the smaller predecessor is kept.
     Each round is one join on the node and one aggregation by (source, node),
-    cut every few rounds.
+    cut every few rounds.  Raises an error if nodes are left to expand after
+    `rounds` rounds: what is known then need not be whole or final.
     """
     both = edges.select("u", "v", "length_m").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m"))
     both = _saved(both)
@@ -108,6 +109,10 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, every: int = 4, rounds:
             known = _saved(known)
             if known.where(F.col("round") == r).isEmpty():
                 break
+    else:
+        known = _saved(known)
+        if not known.where(F.col("round") == rounds).isEmpty():
+            raise ValueError(f"nodes are left to expand after {rounds} rounds; allow more")
     return known.select("source", "node", "dist_m", "prev")
 
 
