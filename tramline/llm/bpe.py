@@ -4,9 +4,10 @@ Texts are cut into words by character class, equal words of a slice are encoded
 once, and the merges run on contiguous rank arrays: a word is a row of parts and
 of the ranks of its adjacent pairs; the smallest rank is found by a scan, its
 boundary is deleted, and the ranks of both neighbours are refreshed.  All words
-of about one length take their steps together.  Words of more than 64 bytes,
-where repeated scans would be quadratic, and texts that contain the string of a
-special token go through the tokenizers library.
+of about one length take their steps together.  The method is one for short words:
+words of more than 64 bytes, where repeated scans would be quadratic, are merged
+by the tokenizers library.  Texts are cut at the strings of special tokens, which
+have ids of their own.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +28,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from tramline.llm import kernel as K
 
-SPACE, LETTER, NUMBER, OTHER = range(4)
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 _NONE = np.int32((1 << 24) - 1)
 _LENGTHS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64)
 #: The characters that Unicode's White_Space property holds.
@@ -35,12 +37,25 @@ _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 
 @functools.cache
 def _classes() -> np.ndarray:
+    """The class of each code point; UNKNOWN for those that Python's Unicode tables don't have."""
     kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    names = (unicodedata.category(chr(c)) for c in range(0x110000))
+    out = np.fromiter((UNKNOWN if x == "Cn" else kinds.get(x[0], OTHER) for x in names), np.uint8, 0x110000)
     out[_WHITE] = SPACE
     return out
 
 
+@functools.cache
+def _asked(code: int) -> int:
+    """The class of a code point by the tokenizers library, whose Unicode tables may be newer."""
+    from tokenizers import Regex, pre_tokenizers
+
+    for pattern, kind in ((r"\s", SPACE), (r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
+        if not pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(chr(code)):
+            return kind
+    return OTHER
+
+
 def _byte_names() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -67,6 +82,8 @@ class Vocabulary:
     factor: np.uint64
     names: list[bytes]
     special: dict[str, int]
+    cuts: re.Pattern | None  # the special tokens' strings
+    plain: list[bytes]  # the bytes that each token stands for
     joined: bool  # decoding joins the tokens' names by blanks instead of mapping bytes back
 
     def library(self):  # noqa: ANN201
@@ -99,12 +116,15 @@ def vocabulary(path: str) -> Vocabulary:
     strings = [b""] * size
     for token, i in [*vocab.items(), *special.items()]:
         strings[i] = token.encode()
+    back = {c: b for b, c in enumerate(names)}
+    plain = [x if x.decode() in special else bytes(back.get(c, 0) for c in x.decode()) for x in strings]
+    cuts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
     keys, ranks, factor = _hashed(pairs)
     kind = j["pre_tokenizer"]["type"]
     return Vocabulary(
         path, bool(j["normalizer"]), kind == "ByteLevel",
         np.array([vocab[c] for c in names], np.int32), np.array([vocab[c + end] for c in names], np.int32),
-        keys, ranks, np.append(made, -1), factor, strings, special, j["decoder"] is None,
+        keys, ranks, np.append(made, -1), factor, strings, special, cuts, plain, j["decoder"] is None,
     )
 
 
@@ -263,6 +283,9 @@ def word_starts(v: Vocabulary, points: np.ndarray, offs: np.ndarray) -> tuple[np
     """Starts and ends, in code points, of the words that the vocabulary's pattern finds."""
     n = len(points)
     kind = _classes()[points]
+    if (kind == UNKNOWN).any():
+        newer = np.flatnonzero(kind == UNKNOWN)
+        kind[newer] = [_asked(c) for c in points[newer].tolist()]
     start = np.ones(n + 1, dtype=bool)
     start[1:n] = kind[1:] != kind[:-1]
     edge = np.zeros(n + 1, dtype=bool)
@@ -303,16 +326,24 @@ def word_starts(v: Vocabulary, points: np.ndarray, offs: np.ndarray) -> tuple[np
 
 
 def _prepared(v: Vocabulary, text: str) -> str:
-    if v.lower:
-        text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # letter by letter, whatever its place in the word
-    return text
+    if v.lower and not text.isascii():
+        if (_classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)] == UNKNOWN).any():
+            return v.library().normalizer.normalize_str(text)
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, whatever its place in the word
+    return text.lower() if v.lower else text
 
 
 def encode_texts(v: Vocabulary, texts: list[str]) -> list[np.ndarray]:
     """Token ids of each text."""
-    aside = {i: v.library().encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(s in t for s in v.special)}
-    texts = ["" if i in aside else _prepared(v, t) for i, t in enumerate(texts)]
+    if not (v.cuts and any(s in t for t in texts for s in v.special)):
+        return _encoded(v, texts)
+    parts = [v.cuts.split(t) for t in texts]  # texts between special tokens and these by turns
+    found = iter(_encoded(v, [t for p in parts for t in p[::2]]))
+    return [np.concatenate([next(found) if i % 2 == 0 else np.array([v.special[t]], np.int32) for i, t in enumerate(p)]) for p in parts]
+
+
+def _encoded(v: Vocabulary, texts: list[str]) -> list[np.ndarray]:
+    texts = [_prepared(v, t) for t in texts]
     whole = "".join(texts)
     points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     offs = np.cumsum([0, *map(len, texts)])
@@ -328,37 +359,32 @@ def encode_texts(v: Vocabulary, texts: list[str]) -> list[np.ndarray]:
     del whole
     word = np.searchsorted(begin, offs)
     begin, end = at[begin], at[end]
-    _, where, which = np.unique(K.span_hashes(data, begin, end), return_index=True, return_inverse=True)
+    where, which = K.numbered(data, begin, end, K.span_hashes(data, begin, end))
     seen, at = _numbered(v, raw, data, begin[where], end[where])
     first, number = seen.first[at][which], seen.count[at][which]
     total = np.cumsum(number)
     flat = seen.ids[np.repeat(first - (total - number), number) + np.arange(total[-1] if len(total) else 0)]
     cuts = np.concatenate([[0], total])[word]
-    out = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    for i, x in aside.items():
-        out[i] = np.array(x, np.int32)
-    return out
+    return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
     if v.joined:
         return b" ".join(map(v.names.__getitem__, ids.tolist())).decode()
-    back = {c: b for b, c in enumerate(_byte_names())}
-    return b"".join(
-        v.names[i] if v.names[i].decode() in v.special else bytes(back[c] for c in v.names[i].decode()) for i in ids.tolist()
-    ).decode("utf-8", "replace")
+    return b"".join(map(v.plain.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, decoded: bool) -> Iterator[pa.RecordBatch]:
     v = vocabulary(path)
     for whole in batches:
-        for batch in K.slices(whole, most=1 << 20):
+        for batch in K.slices(whole, most=1 << 19):
             ids = encode_texts(v, [t or "" for t in batch.column("text").to_pylist()])
-            kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*map(batch.column, kept), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
-                names=[*kept, "n_tokens", "ids"],
-            )
+            kept = [i for i, c in enumerate(batch.schema.names) if c != "text"]
+            out = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+            if decoded:
+                out.append(pa.array([decode_ids(v, x) for x in ids], pa.string()))
+            names = ["n_tokens", "ids", "decoded"][: len(out)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *out], names=[*(batch.schema.names[i] for i in kept), *names])
     # The worker may serve other operators next, which need the memory.
     _seen(path).clear()
     pa.default_memory_pool().release_unused()
@@ -372,21 +398,28 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
 
-def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the columns to keep, n_tokens, ids) of each row.
+def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """(doc_id, the columns to keep, n_tokens, ids) of each row, and decoded, what the ids decode to, if that is asked for.
 
-    ids are little-endian unsigned 32-bit integers; no special tokens are added.
-    Null texts count as empty and have no tokens.  Ids may be null or repeated:
-    rows are encoded one by one.  Other columns are left out; those kept must
-    not be called text, n_tokens or ids.
+    ids are little-endian unsigned 32-bit integers; no special tokens are added,
+    but their strings in a text are encoded as such.  Null texts count as empty and
+    have no tokens.  Ids may be null or repeated: rows are encoded one by one, and
+    so equal rows alike, whole whatever their length.  Other columns are left out;
+    of those kept none may be called doc_id, text, n_tokens, ids or decoded, which
+    raises a ValueError.
     """
+    if clash := {"doc_id", "text", "n_tokens", "ids", "decoded"} & set(keep):
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("text"))
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    schema = StructType([*fields, StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
-    return docs.mapInArrow(lambda it: _encode(it, path), schema)
+    fields = [*(f for f in docs.schema.fields if f.name != "text"), StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
+    if decoded:
+        fields.append(StructField("decoded", StringType()))
+    return docs.mapInArrow(lambda it: _encode(it, path, decoded), StructType(fields))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """All of encode()'s columns and decoded; null ids decode to the empty text."""
+    """All columns of a table with ids, and decoded; null ids decode to the empty text.  A column decoded raises a ValueError."""
+    if "decoded" in encoded.columns:
+        raise ValueError("the table has a column decoded")
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
     return encoded.mapInArrow(lambda it: _decode(it, path), schema)

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.graph import cut
+from tramline.llm.graph import Scratch
 from tramline.llm.textsql import lower_ascii, trimmed
 
 #: What separates words after lower-casing.
@@ -62,9 +62,10 @@ def contamination(
     have no words; items without words or id match nothing.  Rows that repeat an
     id, or lack one, are reported as one document.
     """
+    work = Scratch(documents.sparkSession)
     docs = _words(documents, id_col, text_col, "doc_id")
     items = _words(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, "item_id").where(F.size("words") > 0)
-    windows = cut(
+    windows = work.keep(
         items.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))).alias("at"))
         .select("item_id", F.slice("words", F.col("at") + 1, window).alias("words"))
         .select("item_id", F.array_join("words", " ").alias("window"), F.size("words").alias("size"), "words")
@@ -79,7 +80,7 @@ def contamination(
             mine.select("window", "size", "words", F.explode(F.sequence(F.lit(0), F.col("size") - n)).alias("o"))
             .select("window", "size", "o", _hash(F.col("words"), F.col("o"), n).alias("h"))
         )
-        wanted = cut(shingles.select("h").distinct().withColumn("part", F.pmod("h", F.lit(_parts(shingles.count(), block)))))
+        wanted = work.keep(shingles.select("h").distinct().withColumn("part", F.pmod("h", F.lit(_parts(shingles.count(), block)))))
         counts = [
             _placed(docs, "doc_id", n).select("h").join(F.broadcast(part.select("h")), "h").groupBy("h").agg(F.count("*").alias("seen"))
             for part in _blocks(wanted)
@@ -87,10 +88,10 @@ def contamination(
         seen = reduce(DataFrame.unionByName, counts)
         prefix = shingles.join(seen, "h", "left").groupBy("window", "size").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "o", "h")).alias("x"))
         # A window whose rarest shingle is in no document can't occur.
-        prefix = cut(
+        prefix = work.keep(
             prefix.where("x.seen > 0").select("window", "size", F.col("x.o").alias("o"), F.col("x.h").alias("h"))
         )
-        prefix = cut(prefix.withColumn("part", F.pmod("h", F.lit(_parts(prefix.count(), block)))))
+        prefix = work.keep(prefix.withColumn("part", F.pmod("h", F.lit(_parts(prefix.count(), block)))))
         for part in _blocks(prefix):
             placed = _placed(docs, "doc_id", n).withColumn("n_words", F.size("words"))
             p = part.select(F.col("h").alias("ph"), "window", "size", "o")
@@ -103,7 +104,7 @@ def contamination(
                 placed.join(F.broadcast(p), match, "left").where("window IS NOT NULL OR at = 0")
                 .select("doc_id", "n_words", start.alias("start"), (start + F.col("size")).alias("end"), "window")
             )
-    found = cut(reduce(DataFrame.unionByName, hits))
+    found = work.keep(reduce(DataFrame.unionByName, hits))
     merged = F.aggregate(
         F.array_sort("places"),
         F.array().cast("array<struct<start:int,end:int>>"),

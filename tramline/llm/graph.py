@@ -1,46 +1,57 @@
-"""Distributed connected components, and a checkpoint that other executors can read."""
+"""Distributed connected components, and tables between the steps of a job that all executors can read."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: While a step is written, its shuffle files go when it ends, and Arrow batches are bounded in bytes too.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it back, cutting its lineage.
 
-    spark.checkpoint.dir names the folder; only where it is unset and the master
-    is local (tests) a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+@contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
+class Scratch:
+    """Tables between the steps of one job, in a folder of their own that all executors share.
 
-def table(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back; smaller than a checkpoint."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tramline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    keep() writes a step as Parquet and reads it back, so that executors lost later
+    cost nothing that was written.  drop() removes tables that no later step reads;
+    those that the job's result reads stay.
+    """
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.steps = spark, f"{shared_dir(spark)}/tramline-{uuid.uuid4().hex}", 0
+        self.kept: dict[int, tuple[DataFrame, str]] = {}
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files that nothing refers to any longer, before more are written.
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.steps += 1
+        path = f"{self.folder}/{self.steps:04d}"
+        with _writing(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept[id(out)] = out, path
+        return out
 
-    Spark removes them when the JVM collects the objects that stand for them, which
-    a driver with memory to spare may not do for a long time.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
-    spark.sparkContext._jvm.System.gc()
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if found := self.kept.pop(id(t), None):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(found[1])
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tramline-")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, work: Scratch | None = None) -> DataFrame:
     """Smallest reachable node of every node of an undirected graph, as (node, component).
 
     edges has the columns u and v.  Alternates the large-star and small-star
@@ -62,36 +73,39 @@ def connected_components(edges: DataFrame) -> DataFrame:
     row, and the number of rounds is logarithmic in the longest path.  Null
     ends, loops and repeated edges are allowed and ignored.
     """
-    e = cut(
+    work = work or Scratch(edges.sparkSession)
+    e = work.keep(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = (
+        large = (
             both.join(low, "u")
             .where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .distinct()
         )
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = (
-            e.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (
+            large.join(low, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
             .distinct()
         )
-        e = cut(e)
+        before, e = e, work.keep(small)
+        work.drop(before)
         now = _state(e)
         if now == state:
             break
         state = now
-        release(e.sparkSession)
     roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
+    out = work.keep(roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct()))
+    work.drop(e)
+    return out
 
 
 def _state(e: DataFrame) -> tuple:

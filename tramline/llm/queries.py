@@ -54,7 +54,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm import bpe
 
     path = _vocabulary("word_bpe_49k.json")
-    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    out = bpe.encode(_table(spark, sf_dir, "documents"), path, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -9,7 +9,8 @@ A shard holds the documents of one range of identifiers:
     footer   offsets, counts, width of an id, magic
 
 Keys are big-endian with the sign bit flipped, so bytes sort as numbers do, and
-keys share prefixes within a block.  Values are little-endian ids of 2 bytes, or
+keys share prefixes within a block.  A document without an identifier has the
+empty key, which comes first.  Values are little-endian ids of 2 bytes, or
 4 where the vocabulary needs them.  A lookup asks the Bloom filter, searches the
 index by halves and scans one block.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tramline.llm import bpe
 from tramline.llm import kernel as K
-from tramline.llm.graph import cut, shared_dir
+from tramline.llm.graph import Scratch, shared_dir
 
 MAGIC = b"TLSST\x00\x00\x01"
 _FOOTER = struct.Struct("<QQQQQIIQ8s")  # index, bloom, blocks, documents, ids, width, hashes, Bloom bytes
@@ -43,12 +44,12 @@ _INDEX = struct.Struct(">8sQI")
 _MANIFEST = "shard int, path string, n_docs long, n_ids long, first long, last long, bytes long"
 
 
-def key_bytes(doc_id: int) -> bytes:
-    return struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
+def key_bytes(doc_id: int | None) -> bytes:
+    return b"" if doc_id is None else struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
 
-def key_value(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def key_value(key: bytes) -> int | None:
+    return None if not key else struct.unpack(">Q", key)[0] - (1 << 63)
 
 
 def _varint(n: int) -> bytes:
@@ -78,18 +79,20 @@ class ShardWriter:
         self.block, self.size, self.last, self.offset = [], 0, b"", 0
         self.index: list[bytes] = []
         self.keys: list[int] = []
-        self.n_ids = 0
+        self.n_docs = self.n_ids = 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         key, value = key_bytes(doc_id), ids.astype(f"<u{self.width}").tobytes()
         shared = 0
-        while self.block and shared < 8 and key[shared] == self.last[shared]:
+        while self.block and shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
             shared += 1
-        entry = _varint(shared) + _varint(8 - shared) + _varint(len(value)) + key[shared:] + value
+        entry = _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.block.append(entry)
         self.size += len(entry)
         self.last = key
-        self.keys.append(doc_id)
+        self.n_docs += 1
+        if doc_id is not None:
+            self.keys.append(doc_id)
         self.n_ids += len(ids)
         if self.size >= self.block_bytes:
             self._flush()
@@ -98,7 +101,7 @@ class ShardWriter:
         if self.block:
             data = b"".join(self.block)
             self.sink.write(data + struct.pack("<I", zlib.crc32(data)))
-            self.index.append(_INDEX.pack(self.last, self.offset, len(data)))
+            self.index.append(_INDEX.pack(self.last or key_bytes(-(1 << 63)), self.offset, len(data)))
             self.offset += len(data) + 4
             self.block, self.size = [], 0
 
@@ -110,7 +113,7 @@ class ShardWriter:
         bloom = _bloom(np.array(self.keys, np.int64), len(self.keys) * self.bits_per_key // 8 + 8, hashes)
         self.sink.write(index + bloom)
         self.sink.write(
-            _FOOTER.pack(self.offset, self.offset + len(index), len(self.index), len(self.keys), self.n_ids, self.width, hashes, len(bloom), MAGIC)
+            _FOOTER.pack(self.offset, self.offset + len(index), len(self.index), self.n_docs, self.n_ids, self.width, hashes, len(bloom), MAGIC)
         )
         return self.offset + len(index) + len(bloom) + _FOOTER.size
 
@@ -141,7 +144,7 @@ class ShardReader:
         source.seek(bloom)
         self.bloom = source.read(bloom_size)
 
-    def _block(self, i: int) -> Iterator[tuple[int, np.ndarray]]:
+    def _block(self, i: int) -> Iterator[tuple[int | None, np.ndarray]]:
         _, offset, size = self.index[i]
         self.source.seek(offset)
         data = self.source.read(size + 4)
@@ -157,7 +160,7 @@ class ShardReader:
             yield key_value(key), np.frombuffer(data, f"<u{self.width}", length // self.width, at).astype("<u4")
             at += length
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for i in range(len(self.index)):
             yield from self._block(i)
 
@@ -175,7 +178,7 @@ class ShardReader:
         while i < len(self.index):
             last = doc_id
             for found, ids in self._block(i):
-                last = found
+                last = doc_id if found is None else found
                 if found == doc_id:
                     out.append(ids)
             if last > doc_id:
@@ -193,7 +196,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     name = f"{base}/shard-{shard:05d}-{uuid.uuid4().hex}.sst"
     writer = sink = None
     for whole in batches:
-        for batch in K.slices(whole, most=1 << 20):
+        for batch in K.slices(whole, most=1 << 19):
             if writer is None:
                 store.create_dir(base, recursive=True)
                 sink = store.open_output_stream(name)
@@ -206,7 +209,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
         sink.close()
         scheme = folder[: -len(base)] if folder.endswith(base) else ""
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "path": scheme + name, "n_docs": len(writer.keys), "n_ids": writer.n_ids, "first": writer.keys[0], "last": writer.keys[-1], "bytes": size}],
+            [
+                {"shard": shard, "path": scheme + name, "n_docs": writer.n_docs, "n_ids": writer.n_ids, "bytes": size}
+                | ({"first": writer.keys[0], "last": writer.keys[-1]} if writer.keys else {})
+            ],
             schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("n_docs", "n_ids", "first", "last", "bytes"))]),
         )
 
@@ -243,15 +249,19 @@ def write_shards(
     """Encode all texts and write them in ascending order of their identifiers; returns the manifest.
 
     The manifest has one row per shard: shard, path, n_docs, n_ids, first, last
-    and bytes.  end_id, if given, is appended to each document.  Null texts
-    count as empty.  Rows without an identifier can't be looked up and are left
-    out; rows that repeat one all are kept, next to each other.
+    and bytes; first and last are null in a shard of rows without identifiers.
+    end_id, if given, is appended to each document.  Null texts count as empty and
+    texts of any length are written whole.  Rows without an identifier come first
+    and can be read but not looked up; rows that repeat one are all kept, next to
+    each other, in the order of their texts' hashes.  Other columns are left out.
+    An empty table gives an empty manifest.
     """
     spark = documents.sparkSession
     folder = folder or f"{shared_dir(spark)}/sst-{uuid.uuid4().hex}"
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    sorted_ = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return cut(sorted_.mapInArrow(lambda it: _write(it, folder, path, end_id, block_bytes), _MANIFEST))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # The texts' hashes deal out what repeats one identifier or has none.
+    sorted_ = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    return Scratch(spark).keep(sorted_.mapInArrow(lambda it: _write(it, folder, path, end_id, block_bytes), _MANIFEST))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -267,7 +277,7 @@ def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> Da
 
     The driver reads the manifest, one row per file, as it does for any table's files.
     """
-    files = sorted((r["first"], r["last"], r["path"]) for r in manifest.select("first", "last", "path").toLocalIterator())
+    files = sorted((r["first"], r["last"], r["path"]) for r in manifest.select("first", "last", "path").where("first IS NOT NULL").toLocalIterator())
     lows = [f[0] for f in files]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

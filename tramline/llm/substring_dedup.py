@@ -3,11 +3,14 @@
 Every window of `min_words` words picks its smallest k-gram as anchor
 (winnowing), so equal windows pick equal anchors, and each passage that two
 documents share is seeded in both.  Neighbouring windows that pick the same
-anchor are the seed's extension to both sides; their span has a hash of its
+anchor are the seed's extension to both sides; their span has a digest of its
 own.  Documents are joined on anchors.  Where the spans agree, the match covers
 all of the span's windows; where a match ends inside a span, its windows are
 compared one by one.  Matched windows are merged to maximal repeats.
 
+An anchor is a 64-bit hash and only finds candidates.  Spans and windows are
+taken as equal by digests of 128 bits over all of their words.
+
 Only anchors that occur in two documents are shuffled with their positions, and
 a group of copies is reduced to its smallest document id, never to pairs.
 """
@@ -22,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm import kernel as K
-from tramline.llm.graph import release, table
+from tramline.llm.graph import Scratch
 
-_RUN = 1 << 24  # a run of windows is kept as first * _RUN + count
+_PIECE = 16  # windows of a span at most; a longer run of one anchor is cut into several spans
+_RUN = 32  # a span is kept as first * _RUN + count
 
 
 def _windows(words: np.ndarray, rows: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,16 +45,9 @@ def _windows(words: np.ndarray, rows: np.ndarray, size: int, k: int) -> tuple[np
     return low, np.arange(n) + size <= ends
 
 
-def _span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    powers, inverses = K._tables(len(words))
-    sums = np.zeros(len(words) + 1, dtype=K.U64)
-    np.cumsum(words * powers[: len(words)], out=sums[1:])
-    return K.mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(K.U64))
-
-
-def _runs(words: np.ndarray, rows: np.ndarray, size: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: anchor, span hash, row, first window within the row, number of windows."""
-    low, valid = _windows(words, rows, size, k)
+def _runs(hashes: np.ndarray, rows: np.ndarray, size: int, k: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: anchor, row, first window, number of windows."""
+    low, valid = _windows(hashes, rows, size, k)
     owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))[: len(low)]
     new = np.ones(len(low), bool)
     if len(low):
@@ -58,22 +55,27 @@ def _runs(words: np.ndarray, rows: np.ndarray, size: int, k: int) -> tuple[np.nd
     first = np.flatnonzero(new & valid)
     edge = np.flatnonzero(new | ~valid)
     stop = np.append(edge, len(low))[np.searchsorted(edge, first, side="right")] if len(first) else first
-    row = owner[first]
-    return low[first], _span_hashes(words, first, stop + size - 1), row, first - rows[row], stop - first
+    pieces = -(-(stop - first) // _PIECE)
+    inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    stop = np.repeat(stop, pieces)
+    first = np.repeat(first, pieces) + inner * _PIECE
+    return low[first], owner[first], first, np.minimum(stop - first, _PIECE)
 
 
-def _parsed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _parsed(batch: pa.RecordBatch, lanes: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all words, as many independent ones as lanes, and each row's range in them."""
     data, offs = K.text_bytes(batch.column("text"))
     starts, ends, rows = K.word_spans(data, offs)
-    return K.span_hashes(data, starts, ends), rows
+    return [K.span_hashes(data, starts, ends, lane) for lane in range(lanes)], rows
 
 
 def _seeds(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Distinct anchors of each slice, with whether the slice has them in several documents."""
+    """Distinct anchors of each slice, with the smallest and largest document that has them."""
     for whole in batches:
-        for batch in K.slices(whole, most=4 << 20):
-            anchor, _, row, _, _ = _runs(*_parsed(batch), size, k)
-            order = np.lexsort((row, anchor))
+        for batch in K.slices(whole, most=2 << 20):
+            (hashes,), rows = _parsed(batch, 1)
+            anchor, row, _, _ = _runs(hashes, rows, size, k)
+            order = np.argsort(anchor, kind="stable")
             anchor, doc = anchor[order], np.asarray(batch.column("doc_id"))[row[order]]
             first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
             if len(first):
@@ -83,17 +85,17 @@ def _seeds(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.
 
 def _occurrences(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in K.slices(whole, most=4 << 20):
-            anchor, span, row, first, count = _runs(*_parsed(batch), size, k)
+        for batch in K.slices(whole, most=1 << 20):
+            words, rows = _parsed(batch)
+            anchor, row, first, count = _runs(words[0], rows, size, k)
+            a, b = K.run_digests(words, first, count + size - 1)
             doc = np.asarray(batch.column("doc_id"))[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(K.signed(anchor)), pa.array(K.signed(span)), pa.array(doc), pa.array(first * _RUN + count)],
-                names=["anchor", "span", "doc_id", "run"],
-            )
+            run = (first - rows[row]) * _RUN + count
+            yield pa.RecordBatch.from_arrays([*(pa.array(K.signed(x)) for x in (anchor, a, b)), pa.array(doc), pa.array(run)], names=["anchor", "span_a", "span_b", "doc_id", "run"])
 
 
 def _single(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The windows of the given runs, one by one: hash, document and position."""
+    """The windows of the given runs, one by one: digest, document and position."""
     for whole in batches:
         for batch in K.slices(whole):
             words, rows = _parsed(batch)
@@ -106,9 +108,10 @@ def _single(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             begin = start + rows[row]
             ok = begin + size <= rows[row + 1]
             start, row, begin = start[ok], row[ok], begin[ok]
+            a, b = K.run_digests(words, begin, np.full(len(begin), size))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(K.signed(_span_hashes(words, begin, begin + size))), pa.array(np.asarray(batch.column("doc_id"))[row]), pa.array(start * _RUN + 1)],
-                names=["window", "doc_id", "run"],
+                [pa.array(K.signed(a)), pa.array(K.signed(b)), pa.array(np.asarray(batch.column("doc_id"))[row]), pa.array(start * _RUN + 1)],
+                names=["window_a", "window_b", "doc_id", "run"],
             )
 
 
@@ -154,34 +157,37 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     words joined by one space, and the maximal repeats as word positions [start,
     end).  Null texts count as empty.  Rows with a null id are returned whole and
     are no source.  Rows that repeat an id count as one document: what is found
-    in any of them is applied to each by position.
+    in any of them is applied to each by position.  Other columns are left out.
+    Texts of any length are searched whole, and an empty table gives an empty one.
     """
+    work = Scratch(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id IS NOT NULL")
     # What is joined below is written first: a join splits a hot key's rows over several
     # tasks only where both of its sides come straight from a shuffle.
-    shared = table(
+    shared = work.keep(
         known.mapInArrow(lambda it: _seeds(it, min_words, seed_words), "anchor long, lo long, hi long")
         .groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor")
     )
-    found = table(
-        known.mapInArrow(lambda it: _occurrences(it, min_words, seed_words), "anchor long, span long, doc_id long, run long")
-        .join(shared, "anchor").select("anchor", "span", "doc_id", "run")
+    found = work.keep(
+        known.mapInArrow(lambda it: _occurrences(it, min_words, seed_words), "anchor long, span_a long, span_b long, doc_id long, run long")
+        .join(shared, "anchor")
     )
-    release(found.sparkSession)
-    spans = table(found.groupBy("anchor", "span").agg(F.min("doc_id").alias("source")))
-    several = spans.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor")
-    placed = found.join(spans, ["anchor", "span"])
-    whole = placed.where("doc_id > source").select("doc_id", "run")
-    open_ = (
-        placed.where("doc_id = source").join(several, "anchor")
-        .groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    work.drop(shared)
+    spans = work.keep(found.groupBy("anchor", "span_a", "span_b").agg(F.min("doc_id").alias("source")))
+    several = work.keep(spans.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor"))
+    placed = work.keep(found.join(spans, ["anchor", "span_a", "span_b"]).select("anchor", "doc_id", "run", (F.col("doc_id") > F.col("source")).alias("again")))
+    work.drop(found, spans)
+    whole = placed.where("again").select("doc_id", "run")
+    open_ = work.keep(placed.where("NOT again").join(several, "anchor").select("doc_id", "run"))
+    open_runs = open_.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))  # a document's own runs
+    windows = work.keep(
+        known.join(open_runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(lambda it: _single(it, min_words), "window_a long, window_b long, doc_id long, run long")
     )
-    windows = known.join(open_, "doc_id").select("doc_id", "text", "runs").mapInArrow(lambda it: _single(it, min_words), "window long, doc_id long, run long")
-    windows = table(windows)
-    release(windows.sparkSession)
-    first = table(windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"))
-    part = windows.join(first, "window").where("doc_id > source").select("doc_id", "run")
+    work.drop(several, open_)
+    first = work.keep(windows.groupBy("window_a", "window_b").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"))
+    part = work.keep(windows.join(first, ["window_a", "window_b"]).where("doc_id > source").select("doc_id", "run"))
+    work.drop(windows, first)
     gone = whole.unionByName(part).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     return docs.join(gone, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(
         lambda it: _clean(it, min_words), "doc_id long, n_words long, n_removed long, text string, removed array<struct<start:long,end:long>>"
