@@ -52,7 +52,7 @@ class _TcpReader(SimpleDataSourceStreamReader):
         except TimeoutError:
             pass
         frames, self.rest = ndtp.split_stream(self.rest + data)
-        return iter([r for f in frames for r in ndtp.records(f)]), {"bytes": start["bytes"] + len(data)}
+        return iter(ndtp.records(frames)), {"bytes": start["bytes"] + len(data)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         return iter([])
