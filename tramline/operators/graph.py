@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import LAT_M, LON_M, haversine_m, planar_m
+from tramline.session import shared_dir
 
 
 def way_nodes(elements: DataFrame) -> DataFrame:
@@ -76,15 +76,10 @@ def corridors(nodes: DataFrame, edges: DataFrame, track: DataFrame, pad_m: float
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a temporary one where none is set and the master is local."""
+    """A checkpoint in the cluster's shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="tramline-")
-        spark.sparkContext.setCheckpointDir(where)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 

@@ -115,3 +115,33 @@ def marker_position(traffic: DataFrame, schedule: DataFrame, p: Profile) -> Data
     dist = planar_m(F.col("lat"), F.col("lon"), F.col("stop_lat"), F.col("stop_lon"), F.col("lat0"))
     near = fixes.join(places, "tr_id").groupBy("tr_id", "ts", "lat", "lon").agg(F.min(dist).alias("dist_m")).where(F.col("dist_m") <= p.corridor)
     return near.groupBy("tr_id").agg(F.max(F.struct("ts", "lat", "lon", "dist_m")).alias("x")).select("tr_id", "x.*")
+
+
+def on_route(fixes: DataFrame, vertices: DataFrame, lat0: float, cutoff: float, k: int = 8) -> DataFrame:
+    """Each fix's place on its route: of the k nearest vertices within cutoff metres the one nearest to the place before.
+
+    Without a place before the nearest vertex counts, and without a vertex the
+    place before is kept.  fixes have point_id, tr_id, ts, lat and lon, vertices
+    place_id, lat and lon.  Every day of a vehicle starts anew, so that its fixes
+    of one day are all that is held together.  Returns point_id, route_lat,
+    route_lon, both null as long as no vertex was near, and near, the vertices within reach.
+    """
+    spots = vertices.select("place_id", F.col("lat").alias("vlat"), F.col("lon").alias("vlon"))
+    found = nearest(fixes.select("point_id", "lat", "lon"), vertices, lat0, cutoff, k).join(spots, "place_id")
+    near = found.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vlat", "vlon"))).alias("near"))  # k at most
+    day = fixes.select("point_id", "tr_id", "ts", F.floor(F.col("ts") / 86_400).alias("day")).join(near, "point_id", "left")
+    days = day.groupBy("tr_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "point_id", F.coalesce("near", F.array().cast("array<struct<rank:int,vlat:double,vlon:double>>")).alias("near")))).alias("f"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+
+        def away(c: Column) -> Column:
+            a, b = c["vlat"] - last["route_lat"], c["vlon"] - last["route_lon"]
+            return F.coalesce(F.round(a * a + b * b, 14), F.lit(0.0))
+
+        best = F.array_min(F.transform(x["near"], lambda c: F.struct(away(c).alias("d"), c["rank"].alias("r"), c["vlat"].alias("vlat"), c["vlon"].alias("vlon"))))
+        place = F.struct(x["point_id"].alias("point_id"), F.coalesce(best["vlat"], last["route_lat"]).alias("route_lat"), F.coalesce(best["vlon"], last["route_lon"]).alias("route_lon"), F.size(x["near"]).alias("near"))
+        return F.concat(acc, F.array(place))
+
+    none = F.array(F.struct(F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("route_lat"), F.lit(None).cast("double").alias("route_lon"), F.lit(0).alias("near")))
+    return days.select(F.explode(F.aggregate("f", none, step)).alias("x")).select("x.*").where("point_id IS NOT NULL")

@@ -11,6 +11,7 @@ from tramline.operators import clean, features, graph, matching, model, priors,
 from tramline.plans.registry import query
 from tramline.plans.telemetry import _base, _rounded, _sql
 from tramline.profile import FIXTURE as P
+from tramline.session import shared_dir
 from tramline.sources import fixtures, ndtp
 from tramline.streaming import positions
 
@@ -150,8 +151,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_there_is(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run a streaming query over what is there now; its result table, the last row of each key in update mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/tramline-streams-{uuid.uuid4().hex}"
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch={number}-")
