@@ -191,6 +191,17 @@ def test_quality_lines(spark):
     assert not got[None][0].kept
 
 
+def test_quality_long_lines(spark):
+    """Of lines in 20 of 400 texts of a host only the long ones go."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    long, short = "a line of eight words or some more stands here", "Chapter one of this"
+    data = [(i, "\n".join([body(i), *([long] if i < 20 else []), *([short] if i % 20 == 0 else []), *([long + " x"] if i < 19 else [])]), "a") for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    assert {r.doc_id: r.removed_words for r in judged(df).where("removed_words > 0").collect()} == {i: 10 for i in range(20)}
+    assert all(r.clean_text == r.text.replace(f"\n{long}\n", "\n").removesuffix(f"\n{long}") for r in judged(df).collect())
+    assert judged(df, long_line=4).where("removed_words > 0").count() == 39
+
+
 def entropy_spans(text: str) -> list[tuple]:
     out = []
     for c in secrets.CLASSES:

@@ -31,6 +31,11 @@ def _hash(words: Column, at: Column, n: int) -> Column:
     return F.xxhash64(*(F.get(words, at + i) for i in range(n)))
 
 
+def _form(window: Column) -> Column:
+    """A window's words joined by blanks; where they are long, the SHA-256 of that, so that a window takes at most 256 bytes."""
+    return F.when(F.octet_length(window) <= 256, window).otherwise(F.concat(F.lit("sha-256 "), F.sha2(window, 256)))
+
+
 def _placed(words: DataFrame, name: str, n: int) -> DataFrame:
     """A row for each shingle of n words; a row at 0 even where there is none."""
     last = F.greatest(F.size("words") - n, F.lit(0))
@@ -57,10 +62,12 @@ def contamination(
     spans are the hit words as merged [start, end) word positions, items the
     sorted ids, as strings, of the items with a window in the document.
 
-    At most `block` windows are broadcast at a time (some 200 MB); a larger
+    At most `block` windows of 300 bytes each are broadcast at a time; a larger
     benchmark takes one pass over the documents per block.  Null or empty texts
-    have no words; items without words or id match nothing.  Rows that repeat an
-    id, or lack one, are reported as one document.
+    have no words; items without words or id match nothing; repeated items and
+    texts of any length are searched whole.  Rows that repeat an id, or lack one,
+    are reported as one document.  Other columns are left out, whatever their names.
+    Empty tables give an empty one, or one without hits.
     """
     work = Scratch(documents.sparkSession)
     docs = _words(documents, id_col, text_col, "doc_id")
@@ -68,7 +75,7 @@ def contamination(
     windows = work.keep(
         items.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))).alias("at"))
         .select("item_id", F.slice("words", F.col("at") + 1, window).alias("words"))
-        .select("item_id", F.array_join("words", " ").alias("window"), F.size("words").alias("size"), "words")
+        .select("item_id", _form(F.array_join("words", " ")).alias("window"), F.size("words").alias("size"), "words")
         .distinct()
     )
     distinct = windows.select("window", "size", "words").distinct()
@@ -98,7 +105,7 @@ def contamination(
             start = F.col("at") - F.col("o")
             match = (
                 (F.col("h") == F.col("ph")) & (start >= 0) & (start + F.col("size") <= F.col("n_words"))
-                & (F.array_join(F.slice("words", start + 1, F.col("size")), " ") == F.col("window"))
+                & (_form(F.array_join(F.slice("words", start + 1, F.col("size")), " ")) == F.col("window"))
             )
             hits.append(
                 placed.join(F.broadcast(p), match, "left").where("window IS NOT NULL OR at = 0")

@@ -27,7 +27,7 @@ l AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d)
 lines AS (SELECT doc_id, source, t, line, lower(trim(regexp_replace(line, '{_BLANK}', ' ', 'g'))) AS k, len(regexp_extract_all(line, '{_WORD}')) AS n FROM l WHERE regexp_matches(line, '{_WORD}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
 hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY 1),
-above AS (SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT t) AS n FROM lines GROUP BY 1, 2) c JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source WHERE c.n >= 20 AND 100 * c.n > 10 * h.n),
+above AS (SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT t) AS n, max(n) AS long FROM lines GROUP BY 1, 2) c JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source WHERE c.n >= 20 AND (c.long >= 8 OR 100 * c.n > 10 * h.n)),
 lost AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM lines JOIN above ON above.k = lines.k AND above.source IS NOT DISTINCT FROM lines.source GROUP BY 1),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(t) - len(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
        coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_line_words_removed

@@ -3,6 +3,8 @@
 Lines are normalised and hashed.  For each host it is counted in how many
 different texts a line occurs; exact copies of a document count once.  Lines
 above the limits are removed, and documents that keep too little are rejected.
+Short lines, such as headings, may be common in a large host, so for them the
+limit is also a share of the host's texts; a long line is judged by its count alone.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.textsql import BLANKS, let, trimmed
+from tramline.llm.textsql import BLANKS, let, packed, trimmed
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -72,45 +74,52 @@ def judged(
     max_repeat_percent: int = 50,
     line_docs: int = 20,
     line_percent: int = 10,
+    long_line: int = 8,
     min_left_percent: int = 50,
 ) -> DataFrame:
     """All input columns and the measures, base_failed, removed_words, clean_text and kept for each row.
 
     A line is above the limits if it is in line_docs or more different texts of
-    its host and in more than line_percent of all of them.  kept is false where
-    base_failed is, or where removing such lines leaves less than
-    min_left_percent of the words.  Null texts count as empty and fail; null
-    hosts are one host.  Rows that repeat an id with the same text are judged
-    alike.
+    its host and has long_line words or more, or is in more than line_percent of
+    them all.  kept is false where base_failed is, or where removing such lines
+    leaves less than min_left_percent of the words.  Null and empty texts fail;
+    texts of any length are judged whole; null hosts are one host.  Limits that
+    are just reached: line_docs counts, line_percent and max_repeat_percent don't,
+    min_left_percent is enough.  Rows that repeat an id or have none are judged by
+    their texts, equal texts of a host alike.  Columns that are called as a result
+    are replaced, other names are free.  An empty table gives an empty one.
     """
-    lines = documents.select(
-        F.col(id_col).alias("q_id"), F.col(host_col).alias("q_host"), F.xxhash64(text_col).alias("q_text"),
-        F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: x.rlike(_WORD)).alias("q_lines"),
-    ).select("q_id", "q_host", "q_text", F.posexplode("q_lines").alias("q_at", "q_line"))
+    results = ("m_words", "m_word_chars", "m_symbols", "m_dup_lines", "m_repeat_words", "base_failed", "removed_words", "clean_text", "kept")
+    rows, columns = packed(documents, results, q_id=id_col, q_t=text_col, q_host=host_col)
+    rows = rows.withColumn("q_text", F.xxhash64(F.coalesce(F.col("q_t"), F.lit(""))))
+    lines = rows.select(
+        "q_id", "q_host", "q_text", F.posexplode(F.filter(F.split(F.coalesce(F.col("q_t"), F.lit("")), "\n", -1), lambda x: x.rlike(_WORD))).alias("q_at", "q_line")
+    )
     lines = lines.select("q_id", "q_host", "q_text", "q_at", _line_key(F.col("q_line")).alias("q_key"), F.size(F.split(F.trim(F.regexp_replace("q_line", BLANKS, " ")), " ")).alias("q_words"))
-    common = lines.groupBy("q_host", "q_key").agg(F.count_distinct("q_text").alias("n")).where(F.col("n") >= line_docs)
-    hosts = documents.groupBy(F.col(host_col).alias("h_host")).agg(F.count_distinct(F.xxhash64(text_col)).alias("texts"))
+    common = lines.groupBy("q_host", "q_key").agg(F.count_distinct("q_text").alias("n"), F.max("q_words").alias("long")).where(F.col("n") >= line_docs)
+    hosts = rows.groupBy(F.col("q_host").alias("h_host")).agg(F.count_distinct("q_text").alias("texts"))
     above = (
-        common.join(hosts, F.col("q_host").eqNullSafe(F.col("h_host"))).where(100 * F.col("n") > line_percent * F.col("texts"))
+        common.join(hosts, F.col("q_host").eqNullSafe(F.col("h_host"))).where((F.col("long") >= long_line) | (100 * F.col("n") > line_percent * F.col("texts")))
         .select(F.col("q_host").alias("a_host"), F.col("q_key").alias("a_key"))
     )
     hit = (
         lines.join(above, (F.col("q_key") == F.col("a_key")) & F.col("q_host").eqNullSafe(F.col("a_host")))
         .groupBy("q_id", "q_host", "q_text").agg(F.collect_set(F.struct("q_at", "q_key", "q_words")).alias("q_gone"))  # a document's own lines
-        .select("q_id", "q_host", "q_text", F.transform("q_gone", lambda x: x["q_key"]).alias("q_keys"), F.aggregate("q_gone", F.lit(0), lambda acc, x: acc + x["q_words"]).alias("q_lost"))
+        .select(
+            F.col("q_id").alias("h_id"), F.col("q_host").alias("h_host"), F.col("q_text").alias("h_text"), F.transform("q_gone", lambda x: x["q_key"]).alias("q_keys"),
+            F.aggregate("q_gone", F.lit(0), lambda acc, x: acc + x["q_words"]).alias("q_lost"),
+        )
     )
-    base = measures(documents.withColumn("m_text", F.xxhash64(text_col)), text_col)
-    both = base.join(
-        hit, F.col(id_col).eqNullSafe(F.col("q_id")) & F.col(host_col).eqNullSafe(F.col("q_host")) & (F.col("m_text") == F.col("q_text")), "left"
+    both = measures(rows, "q_t").join(
+        hit, F.col("q_id").eqNullSafe(F.col("h_id")) & F.col("q_host").eqNullSafe(F.col("h_host")) & (F.col("q_text") == F.col("h_text")), "left"
     )
-    clean = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("q_keys", _line_key(x))), "\n")
+    clean = F.array_join(F.filter(F.split(F.col("q_t"), "\n", -1), lambda x: ~F.array_contains("q_keys", _line_key(x))), "\n")
     failed = (F.col("m_words") < min_words) | (100 * F.col("m_repeat_words") > max_repeat_percent * F.col("m_words"))
-    return both.withColumns(
+    judged_ = both.withColumns(
         {
             "base_failed": failed,
             "removed_words": F.coalesce("q_lost", F.lit(0)).cast("long"),
-            "clean_text": F.when(F.col("q_keys").isNull(), F.col(text_col)).otherwise(clean),
+            "clean_text": F.when(F.col("q_keys").isNull(), F.col("q_t")).otherwise(clean),
         }
-    ).withColumn("kept", ~F.col("base_failed") & (100 * (F.col("m_words") - F.col("removed_words")) >= min_left_percent * F.col("m_words"))).drop(
-        "q_id", "q_host", "q_text", "q_keys", "q_lost", "m_text", "m_lines"
-    )
+    ).withColumn("kept", ~F.col("base_failed") & (100 * (F.col("m_words") - F.col("removed_words")) >= min_left_percent * F.col("m_words")))
+    return judged_.select(*columns, *results)

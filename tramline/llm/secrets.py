@@ -11,11 +11,12 @@ allow list, such as placeholders and UUIDs, are suppressed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.textsql import let
+from tramline.llm.textsql import let, packed
 
 
 @dataclass(frozen=True)
@@ -141,7 +142,7 @@ def _windows(found: Column, c: EntropyClass) -> Column:
 def _of_entropy(text: Column, c: EntropyClass, allowed: tuple[str, ...]) -> Column:
     good = F.filter(
         _matches(text, c.regex, 0),
-        lambda m: m["found"].rlike(c.must) & ~F.greatest(*(m["found"].rlike(a) for a in allowed), F.lit(False)),
+        lambda m: m["found"].rlike(c.must) & ~reduce(Column.__or__, (m["found"].rlike(a) for a in allowed), F.lit(False)),
     )
     spans = F.flatten(
         F.transform(
@@ -165,11 +166,14 @@ def scan(
 
     base_spans are the patterns' matches, leftmost and not overlapping for each
     kind; spans adds those of kind entropy that do not lie within a base span.
-    Both are ordered by start, then by kind as listed with entropy last.  Null
-    texts count as empty and have none.  Rows are judged one by one, so ids may
-    be null or repeated.
+    Both are ordered by start, then by kind as listed with entropy last; of two
+    matches of a kind the leftmost counts.  Null and empty texts have none, texts
+    of any length are scanned whole, an empty table gives an empty one.  Rows are
+    judged one by one, so ids may be null or repeated.  Columns called base_spans
+    or spans are replaced; other names are free.
     """
-    text = documents.withColumn("s_text", F.coalesce(F.col(text_col), F.lit("")))
+    rows, columns = packed(documents, ("base_spans", "spans"), s_text=text_col)
+    text = rows.withColumn("s_text", F.coalesce(F.col("s_text"), F.lit("")))
     found = text.withColumns({f"s_{p.kind}": _of_pattern(F.col("s_text"), p) for p in patterns} | {f"s_{c.name}_e": _of_entropy(F.col("s_text"), c, allowed) for c in classes})
     order = [p.kind for p in patterns] + ["entropy"]
     base = F.concat(*(F.col(f"s_{p.kind}") for p in patterns))
@@ -184,8 +188,7 @@ def scan(
         )
         return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
 
-    out = found.withColumns({"base_spans": ordered("base_spans"), "spans": ordered("s_all")})
-    return out.drop("s_text", "s_high", "s_all", *(f"s_{p.kind}" for p in patterns), *(f"s_{c.name}_e" for c in classes))
+    return found.select(*columns, ordered("base_spans").alias("base_spans"), ordered("s_all").alias("spans"))
 
 
 def as_text(spans: str) -> Column:

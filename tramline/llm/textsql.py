@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,3 +24,16 @@ def trimmed(parts: Column) -> Column:
 def let(value: Column, body) -> Column:  # noqa: ANN001
     """body(value) with value computed once."""
     return F.transform(F.array(value), body)[0]
+
+
+def packed(df: DataFrame, replaced: tuple[str, ...], **columns: str) -> tuple[DataFrame, list[Column]]:
+    """df with the columns named by keyword, and all of its columns apart from these in a struct `row_`.
+
+    Whatever a user's columns are called, they don't meet those of an operator;
+    the second result takes them out of row_ again.  Columns that are called as
+    one of an operator's results (`replaced`) are left out.
+    """
+    kept = [c for c in df.columns if c not in replaced]
+    row = F.struct(F.lit(0).alias("n"), *(df[c].alias(f"c{i}") for i, c in enumerate(kept)))
+    out = df.select(row.alias("row_"), *(df[c].alias(name) for name, c in columns.items()))
+    return out, [F.col("row_")[f"c{i}"].alias(c) for i, c in enumerate(kept)]

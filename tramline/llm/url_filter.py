@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.graph import connected_components
-from tramline.llm.textsql import UPPER
+from tramline.llm.textsql import UPPER, packed
 
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
@@ -72,23 +72,27 @@ def _rule(rules: tuple[Rule, ...]) -> Column:
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url", html_col: str | None = "html", default: str = "allow", links: DataFrame | None = None) -> DataFrame:
-    """All columns, and host, path, rule (or null) and verdict of each page.
+    """All columns, and host, path, rule (or null) and verdict of each page; columns of these names are replaced.
 
-    Aliases come from canonical links and refresh redirects in html_col, and
+    Aliases come from all canonical links and refresh redirects in html_col, and
     from links, a table of redirects with the columns source and target, if
     given.  A null URL, or one without ://, has an empty host and path, no
-    aliases and, unless a rule fits, the default verdict.  Pages may repeat.
+    aliases and, unless a rule fits, the default verdict; null and empty HTML has
+    no links, and HTML of any length is read whole.  Pages may repeat, with or
+    without an id, and are judged alike.  An empty table gives an empty one.
     rules are compiled into one expression, so they are meant to be a few
     hundred at most.
     """
-    clash = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns]
-    p = pages.drop(*clash).withColumns({"host": host(F.coalesce(F.col(url_col), F.lit(""))), "path": path(F.coalesce(F.col(url_col), F.lit("")))})
-    p = _addressed(p, url_col, "u_key").withColumn("u_rule", _rule(rules))
+    names = {"url": url_col} | ({"html": html_col} if html_col else {})
+    p, columns = packed(pages, ("host", "path", "rule", "verdict"), **names)
+    p = p.withColumns({"host": host(F.coalesce(F.col("url"), F.lit(""))), "path": path(F.coalesce(F.col("url"), F.lit("")))})
+    p = _addressed(p, "url", "u_key").withColumn("u_rule", _rule(rules))
     edges = None
     if html_col:
-        linking = p.where(F.lower(html_col).contains("canonical") | F.lower(html_col).contains("refresh"))
+        linking = p.where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"))
         found = linking.select(
-            "u_key", "host", "path", F.regexp_extract(url_col, r"(?s)^(.*?://)", 1).alias("u_scheme"), F.explode(F.array(*(F.regexp_extract(html_col, x, 1) for x in (_CANONICAL, _REFRESH)))).alias("u_link")
+            "u_key", "host", "path", F.regexp_extract("url", r"(?s)^(.*?://)", 1).alias("u_scheme"),
+            F.explode(F.concat(*(F.regexp_extract_all("html", F.lit(x), F.lit(1)) for x in (_CANONICAL, _REFRESH)))).alias("u_link"),
         )
         found = found.withColumn("u_link", F.replace("u_link", F.lit("&amp;"), F.lit("&")))
         edges = _addressed(found.withColumn("u_target", _absolute(F.col("u_link"))), "u_target", "v").select(F.col("u_key").alias("u"), "v")
@@ -107,4 +111,4 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url", html_
         )
         p = p.join(said, F.col("u_key") == F.col("u_node"), "left").drop("u_node")
         alias = F.col("u_alias")
-    return p.withColumns({"rule": F.col("u_rule.rule"), "verdict": F.coalesce(F.col("u_rule.verdict"), alias, F.lit(default))}).drop("u_key", "u_rule", "u_alias")
+    return p.select(*columns, "host", "path", F.col("u_rule.rule").alias("rule"), F.coalesce(F.col("u_rule.verdict"), alias, F.lit(default)).alias("verdict"))
