@@ -89,7 +89,9 @@ def on_route_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEEP = P.windows[-1] + P.match_window
-_NOW = fixtures.SQL.replace("traffic AS (", "traffic_all AS (", 1).split("schedule0 AS (")
+#: The schedule moved on, so that arrivals are planned after the stream's last fix.
+_LATER = 2 * 86_400
+_NOW = fixtures.SQL.replace("% 2592000 AS BIGINT) AS plan_s", f"% 2592000 + {_LATER} AS BIGINT) AS plan_s").replace("traffic AS (", "traffic_all AS (", 1).split("schedule0 AS (")
 _TICK = (
     f"WITH {_NOW[0]} traffic AS (SELECT * FROM traffic_all WHERE ts > (SELECT max(ts) FROM traffic_all) - {_KEEP}), schedule0 AS ({_NOW[1].split('points AS (')[0]}"
     f" points AS (SELECT tr_id AS sample_id, tr_id, (SELECT max(ts) FROM traffic) AS t, NULL::DOUBLE AS cur_dev_s FROM traffic GROUP BY tr_id HAVING (SELECT max(ts) FROM traffic) - max(ts) <= {P.active}),\n"
@@ -100,7 +102,7 @@ _TICK = (
 @query(_TICK)
 def online_tick_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole stream as one tick through publish(): history, features, scores, board."""
-    s = fixtures.schedule(spark, sf_dir)
+    s = fixtures.schedule(spark, sf_dir).withColumns({c: F.col(c) + _LATER for c in ("plan_s", "fact_s")})
     stream = _stream(spark, sf_dir).withColumn("speed", F.col("speed_c") / 100)
     ticks = Ticks(s, priors.build_priors(s, P), P, _score(), _KEEP)
     positions.publish(stream, ticks, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", every=None).awaitTermination()
