@@ -10,35 +10,46 @@ from pyspark.sql import functions as F
 
 from tramline.functions.geo import local_xy, planar_m
 from tramline.functions.scalars import calendar
-from tramline.operators.matching import match_pairs, target_stop, valid_fixes, with_origin
+from tramline.operators.matching import FIX, before_bucket, match_pairs, target_stop, valid_fixes, with_origin
 from tramline.operators.priors import attach_priors
 from tramline.operators.trips import with_trips
 from tramline.profile import Profile
 
-_FIX = "struct<ts:bigint,lat:double,lon:double,speed:double>"
-
 
 def window_features(points: DataFrame, traffic: DataFrame, origin: DataFrame, p: Profile) -> DataFrame:
     """Speeds, path and displacement over (t - w, t] for each window w, the last fix and the valid rate so far.
 
-    origin has tr_id, lat0 and lon0.  Track and points are united and sorted once
-    per vehicle; a path within a window is a difference of running path lengths.
+    origin has tr_id, lat0 and lon0.  Track and points are dealt to a vehicle's
+    buckets of the longest window's length, a fix also to the next one, so that
+    each point's windows lie within its bucket's rows and a busy vehicle is spread
+    over many tasks.  What goes further back, the last fix and the rate, is
+    carried from bucket to bucket.  A path within a window is a difference of
+    running path lengths.
     """
-    fixes = valid_fixes(traffic).join(origin, "tr_id", "left")
-    y, x = local_xy(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
-    order = Window.partitionBy("tr_id").orderBy("ts", "lat", "lon")
-    fixes = fixes.withColumns({"y": y, "x": x}).withColumns({"py": F.lag("y").over(order), "px": F.lag("x").over(order)})
-    fixes = fixes.withColumn("path", F.sum(F.coalesce(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")), F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    width = max(p.windows)
+    bucket = lambda c: F.floor(F.col(c) / width)
     null = lambda t: F.lit(None).cast(t)
-    track = fixes.select("tr_id", F.col("ts").alias("k"), F.lit(0).alias("kind"), null("long").alias("sample_id"), F.coalesce("speed", F.lit(0.0)).alias("speed"), "x", "y", "path", F.struct("ts", "lat", "lon", F.coalesce("speed", F.lit(0.0)).alias("speed")).alias("fix"), F.lit(1).alias("ok"))
-    lost = traffic.join(valid_fixes(traffic).select("event_id"), "event_id", "left_anti") if "event_id" in traffic.columns else traffic.where(~F.coalesce("location_valid", F.lit(False)) | F.col("lat").isNull() | F.col("lon").isNull())
-    bad = lost.select("tr_id", F.col("ts").alias("k"), F.lit(0).alias("kind"), null("long").alias("sample_id"), *(null("double").alias(c) for c in ("speed", "x", "y", "path")), null(_FIX).alias("fix"), F.lit(0).alias("ok"))
-    asks = points.select("tr_id", F.col("t").alias("k"), F.lit(1).alias("kind"), "sample_id", *(null("double").alias(c) for c in ("speed", "x", "y", "path")), null(_FIX).alias("fix"), null("int").alias("ok"))
-    both = track.unionByName(bad).unionByName(asks)
-    by_time = Window.partitionBy("tr_id").orderBy("k")
+    good = F.coalesce("location_valid", F.lit(False)) & F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    y, x = local_xy(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
+    speed = F.coalesce("speed", F.lit(0.0))
+    seen = traffic.select(
+        "tr_id", F.col("ts").alias("k"), bucket("ts").alias("bucket"), good.cast("int").alias("ok"), "lat", "lon", speed.alias("speed"),
+        F.when(good, F.struct("ts", "lat", "lon", speed.alias("speed"))).alias("fix"),
+    )
+    fixes = seen.where("ok = 1").join(origin, "tr_id", "left").withColumns({"y": y, "x": x, "own": F.col("bucket")})
+    fixes = fixes.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    order = Window.partitionBy("tr_id", "bucket").orderBy("k", "lat", "lon")
+    step = F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order))
+    fixes = fixes.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("path", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    track = fixes.select("tr_id", "bucket", "k", F.lit(0).alias("kind"), null("long").alias("sample_id"), "speed", "x", "y", "path", "fix", F.when(F.col("bucket") == F.col("own"), 1).alias("ok"))
+    nothing = [null("double").alias(c) for c in ("speed", "x", "y", "path")]
+    bad = seen.where("ok = 0").select("tr_id", "bucket", "k", F.lit(0).alias("kind"), null("long").alias("sample_id"), *nothing, "fix", "ok")
+    asked = points.select("tr_id", bucket("t").alias("bucket"), F.col("t").alias("k"), F.lit(1).alias("kind"), "sample_id", *nothing, null(FIX).alias("fix"), null("int").alias("ok"))
+    both = track.unionByName(bad).unionByName(asked)
+    by_time = Window.partitionBy("tr_id", "bucket").orderBy("k")
     so_far = by_time.rangeBetween(Window.unboundedPreceding, 0)
-    last = F.last("fix", ignorenulls=True).over(Window.partitionBy("tr_id").orderBy("k", "kind", "fix.lat", "fix.lon").rowsBetween(Window.unboundedPreceding, 0))
-    cols: dict[str, Column] = {"fix": last, "valid_rate_all": F.avg("ok").over(so_far)}
+    last = F.last("fix", ignorenulls=True).over(Window.partitionBy("tr_id", "bucket").orderBy("k", "kind", "fix.lat", "fix.lon").rowsBetween(Window.unboundedPreceding, 0))
+    cols: dict[str, Column] = {"fix": last, "n_here": F.count("ok").over(so_far), "ok_here": F.coalesce(F.sum("ok").over(so_far), F.lit(0))}
     for w, name in zip(p.windows, p.window_names, strict=True):
         f = by_time.rangeBetween(-(w - 1), 0)
         n = F.count("speed").over(f)
@@ -52,14 +63,17 @@ def window_features(points: DataFrame, traffic: DataFrame, origin: DataFrame, p:
             f"_a_{name}": F.min_by(F.struct("x", "y"), "path").over(f),
             f"_b_{name}": F.max_by(F.struct("x", "y"), "path").over(f),
         }
-    out = both.withColumns(cols).where("kind = 1")
+    out = both.withColumns(cols).where("kind = 1").join(before_bucket(seen, asked, {"n": F.count("*"), "ok": F.sum("ok")}), ["tr_id", "bucket"])
+    rate = (F.col("before_ok") + F.col("ok_here")) / F.nullif(F.col("before_n") + F.col("n_here"), F.lit(0))
+    out = out.withColumns({"fix": F.coalesce("fix", "before_fix"), "valid_rate_all": rate})
     more = {}
     for w, name in zip(p.windows, p.window_names, strict=True):
         a, b = F.col(f"_a_{name}"), F.col(f"_b_{name}")
         more[f"disp_m_{name}"] = F.when(F.col(f"npts_{name}") > 1, F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
         more[f"avg_v_{name}"] = F.col(f"travel_m_{name}") / w
     out = out.withColumns(more | {"age_last_s": (F.col("k") - F.col("fix.ts")).cast("double"), "speed_last": F.col("fix.speed")})
-    return out.drop("kind", "speed", "x", "y", "path", "ok", "k", "tr_id", *(f"_{e}_{n}" for e in "ab" for n in p.window_names))
+    inner = ("n_here", "ok_here", "before_fix", "before_n", "before_ok")
+    return out.drop("kind", "speed", "x", "y", "path", "ok", "k", "tr_id", "bucket", *inner, *(f"_{e}_{n}" for e in "ab" for n in p.window_names))
 
 
 def match_versions(traffic: DataFrame, schedule: DataFrame, p: Profile) -> DataFrame:

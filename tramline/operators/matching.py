@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.geo import LAT_M, planar_m
+from tramline.functions.geo import LAT_M, lon_scale, planar_m
 from tramline.profile import Profile
 
 
@@ -74,14 +74,38 @@ def match_stops(traffic: DataFrame, schedule: DataFrame, p: Profile) -> DataFram
     return schedule.select("tr_id", "tt_action_item_id", "plan_s").join(best, "tt_action_item_id", "left").withColumn("matched", F.col("est_delay_s").isNotNull().cast("int"))
 
 
-def last_fix(points: DataFrame, traffic: DataFrame) -> DataFrame:
-    """The last valid fix at or before each point: sample_id, t and the fix as a struct, null if there is none."""
-    fix = F.struct("ts", "lat", "lon", "speed")
-    both = points.select("tr_id", F.col("t").alias("k"), F.lit(1).alias("kind"), "sample_id", F.lit(None).cast("struct<ts:bigint,lat:double,lon:double,speed:double>").alias("fix")).unionByName(
-        valid_fixes(traffic).select("tr_id", F.col("ts").alias("k"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("sample_id"), fix.alias("fix"))
+FIX = "struct<ts:bigint,lat:double,lon:double,speed:double>"
+
+
+def before_bucket(fixes: DataFrame, points: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """What is known of each vehicle before each of its buckets: before_fix, its last fix, and the sums over earlier buckets.
+
+    fixes have tr_id, bucket, fix (null if invalid) and what sums need, points
+    tr_id and bucket.  Fixes are aggregated by bucket first, so the window over a
+    vehicle has a row per bucket, however many fixes there are.
+    """
+    some = fixes.groupBy("tr_id", "bucket").agg(F.max("fix").alias("fix"), *(c.alias(n) for n, c in sums.items()))
+    asked = points.select("tr_id", "bucket").distinct().select("tr_id", "bucket", F.lit(None).cast(FIX).alias("fix"), *(F.lit(0).alias(n) for n in sums))
+    each = some.unionByName(asked).groupBy("tr_id", "bucket").agg(F.max("fix").alias("fix"), *(F.sum(n).alias(n) for n in sums))
+    earlier = Window.partitionBy("tr_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(
+        "tr_id", "bucket", F.last("fix", ignorenulls=True).over(earlier).alias("before_fix"), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"before_{n}") for n in sums)
     )
-    past = Window.partitionBy("tr_id").orderBy("k", "kind", "fix.lat", "fix.lon").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("fix", F.last("fix", ignorenulls=True).over(past)).where("kind = 1").select("sample_id", "tr_id", F.col("k").alias("t"), "fix")
+
+
+def last_fix(points: DataFrame, traffic: DataFrame, width: int = 86_400) -> DataFrame:
+    """The last valid fix at or before each point: sample_id, t and the fix as a struct, null if there is none.
+
+    Track and points are sorted within a vehicle's buckets of `width` seconds; what
+    was last before a bucket comes from the buckets' own last fixes.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width).alias("bucket")
+    fixes = valid_fixes(traffic).select("tr_id", F.col("ts").alias("k"), bucket("ts"), F.struct("ts", "lat", "lon", "speed").alias("fix"))
+    asks = points.select("tr_id", F.col("t").alias("k"), bucket("t"), "sample_id")
+    both = asks.withColumns({"kind": F.lit(1), "fix": F.lit(None).cast(FIX)}).unionByName(fixes.withColumns({"kind": F.lit(0), "sample_id": F.lit(None).cast("long")}))
+    past = Window.partitionBy("tr_id", "bucket").orderBy("k", "kind", "fix.lat", "fix.lon").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("fix", F.last("fix", ignorenulls=True).over(past)).where("kind = 1")
+    return found.join(before_bucket(fixes, asks, {}), ["tr_id", "bucket"]).select("sample_id", "tr_id", F.col("k").alias("t"), F.coalesce("fix", "before_fix").alias("fix"))
 
 
 def nearest(points: DataFrame, places: DataFrame, lat0: float, cutoff: float, k: int = 1) -> DataFrame:
@@ -108,13 +132,24 @@ def nearest(points: DataFrame, places: DataFrame, lat0: float, cutoff: float, k:
 
 
 def marker_position(traffic: DataFrame, schedule: DataFrame, p: Profile) -> DataFrame:
-    """Each vehicle's last valid fix within the corridor around its own stops: tr_id, ts, lat, lon, dist_m."""
+    """Each vehicle's last valid fix within the corridor around its own stops: tr_id, ts, lat, lon, dist_m.
+
+    Whether a fix is in the corridor is asked by cells of the corridor's width; only
+    the one fix that a vehicle is left with is measured against all of its stops.
+    """
     # A vehicle's stops are few places, however many arrivals are planned.
     places = with_origin(schedule).select("tr_id", "stop_lat", "stop_lon", "lat0").distinct()
+    cell = lambda c, scale: F.floor(F.col(c) * scale / p.corridor)
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    asked = places.select("*", around.alias("o")).select(
+        F.col("tr_id").alias("p_tr"), "stop_lat", "stop_lon", (cell("stop_lat", LAT_M) + F.col("o.i")).alias("pi"), (cell("stop_lon", lon_scale(F.col("lat0"))) + F.col("o.j")).alias("pj")
+    )
     fixes = valid_fixes(traffic).groupBy("tr_id", "ts").agg(F.min(F.struct("lat", "lon")).alias("f")).select("tr_id", "ts", "f.lat", "f.lon")
+    fixes = fixes.join(places.select("tr_id", "lat0").distinct(), "tr_id").withColumns({"ci": cell("lat", LAT_M), "cj": cell("lon", lon_scale(F.col("lat0")))})
     dist = planar_m(F.col("lat"), F.col("lon"), F.col("stop_lat"), F.col("stop_lon"), F.col("lat0"))
-    near = fixes.join(places, "tr_id").groupBy("tr_id", "ts", "lat", "lon").agg(F.min(dist).alias("dist_m")).where(F.col("dist_m") <= p.corridor)
-    return near.groupBy("tr_id").agg(F.max(F.struct("ts", "lat", "lon", "dist_m")).alias("x")).select("tr_id", "x.*")
+    same = (F.col("tr_id") == F.col("p_tr")) & (F.col("ci") == F.col("pi")) & (F.col("cj") == F.col("pj"))
+    last = fixes.join(asked, same & (dist <= p.corridor), "left_semi").groupBy("tr_id").agg(F.max(F.struct("ts", "lat", "lon")).alias("x")).select("tr_id", "x.*")
+    return last.join(places, "tr_id").groupBy("tr_id", "ts", "lat", "lon").agg(F.min(dist).alias("dist_m"))
 
 
 def on_route(fixes: DataFrame, vertices: DataFrame, lat0: float, cutoff: float, k: int = 8) -> DataFrame:
