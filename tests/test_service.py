@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 import random
+import socket
+import threading
 
 from pyspark.sql import functions as F
 
 from tramline.operators import matching, priors, report
 from tramline.plans.telemetry import _score
 from tramline.profile import FIXTURE as P
-from tramline.sources import fixtures
+from tramline.sources import fixtures, ndtp
+from tramline.sources.live import TcpPositions
 from tramline.streaming.online import Ticks
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +69,29 @@ def test_report_on_nothing(spark):
     assert [(x.a, x.b) for x in report.scaled(some, {"a": 10.0, "b": 3.0}).collect()] == [(0.0, 0.0), (3.0, 1.0), (0.0, 3.0)]
     shares = {x.tr_id: (x.segments, x.fallbacks, x.percent) for x in report.fallback_shares(some, F.col("b") > 5).collect()}
     assert shares == {1: (2, 2, 100.0), 2: (1, 0, 0.0), None: (3, 2, 66.67)}
+
+
+def test_frames_sent_over_tcp(spark):
+    f = fixtures.traffic(spark, SF).where("tr_id < 4").repartition(3)
+    server, got = socket.create_server(("127.0.0.1", 0)), []
+
+    def take(peer):
+        data = b""
+        while piece := peer.recv(1 << 16):
+            data += piece
+        got.append(data)
+
+    def serve():
+        while True:
+            threading.Thread(target=take, args=(server.accept()[0],), daemon=True).start()
+
+    threading.Thread(target=serve, daemon=True).start()
+    spark.dataSource.register(TcpPositions)
+    ndtp.frames_of(f).select("frame").write.format("ndtp-tcp").mode("append").options(host="127.0.0.1", port=server.getsockname()[1], flush=7).save()
+    for _ in range(50):
+        if len(got) == 3:
+            break
+        threading.Event().wait(0.1)
+    sent = [r for data in got for r in ndtp.records(ndtp.split_stream(data)[0])]
+    want = ndtp.decode(ndtp.frames_of(f)).collect()
+    assert sorted(sent) == sorted(map(tuple, want)) and len(want) > 0

@@ -214,7 +214,7 @@ def snapped_delays(snapped: DataFrame, schedule: DataFrame, radius_m: float = 90
 
     Of all segments within radius and window the one with the least |delay| counts.
     """
-    order = Window.partitionBy("tr_id").orderBy("ts")
+    order = Window.partitionBy("tr_id").orderBy("ts", "lat", "lon")
     nxt = {c: F.lead(c).over(order) for c in ("ts", "lat", "lon")}
     seg = snapped.select("tr_id", "ts", "lat", "lon", *(F.coalesce(e, F.col(c)).alias(f"n_{c}") for c, e in nxt.items()))
     b = lambda x: F.floor(x / window_s)
@@ -228,6 +228,17 @@ def snapped_delays(snapped: DataFrame, schedule: DataFrame, radius_m: float = 90
     return near.groupBy("tt_action_item_id").agg(F.min_by("delay", F.struct(F.abs("delay"), "ts")).alias("est_delay_s"))
 
 
+def refined_delays(matched: DataFrame, snapped: DataFrame) -> DataFrame:
+    """Delays of matched stops (match_stops), replaced by those of snapped tracks (snapped_delays) where there are any.
+
+    tr_id, tt_action_item_id, plan_s, est_delay_s and origin: track, radius, or null for a stop without a delay.
+    """
+    better = snapped.select("tt_action_item_id", F.col("est_delay_s").alias("on_track"))
+    both = matched.join(better, "tt_action_item_id", "left")
+    origin = F.when(F.col("on_track").isNotNull(), "track").when(F.col("est_delay_s").isNotNull(), "radius")
+    return both.select("tr_id", "tt_action_item_id", "plan_s", F.coalesce("on_track", "est_delay_s").alias("est_delay_s"), origin.alias("origin"))
+
+
 def smoothed(values: DataFrame, key: str, order: str, value: str, low: float, high: float) -> DataFrame:
     """An exponential mean with weight one half, clamped: what a moving marker shows."""
     past = Window.partitionBy(key).orderBy(order)

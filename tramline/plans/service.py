@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import matching, priors, report
+from tramline.operators import matching, priors, report, track
 from tramline.plans.registry import query
 from tramline.plans.roads import _FLAT, _NODES, _grid, _stream
-from tramline.plans.telemetry import _ALL, _base, _board, _rounded, _score, _sql
+from tramline.plans.telemetry import _ALL, LAT0, PAIRS, _base, _board, _rounded, _score, _sql
 from tramline.profile import FIXTURE as P
 from tramline.session import shared_dir
 from tramline.sources import fixtures
@@ -88,6 +88,31 @@ def on_route_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.on_route(f, _grid(spark)[0].withColumnRenamed("node_id", "place_id"), 55.75, P.route_snap)
 
 
+_SEGMENTS = f"""
+seg AS (SELECT tr_id, ts, lat, lon, coalesce(lead(ts) OVER w, ts) AS n_ts, coalesce(lead(lat) OVER w, lat) AS n_lat, coalesce(lead(lon) OVER w, lon) AS n_lon FROM traffic WHERE location_valid WINDOW w AS (PARTITION BY tr_id ORDER BY ts, lat, lon)),
+flat AS (SELECT tt_action_item_id, plan_s, ts, n_ts, (n_lon - lon) * 111320.0::DOUBLE * cos(radians(stop_lat)) AS dx, (n_lat - lat) * 111132.0::DOUBLE AS dy, (stop_lon - lon) * 111320.0::DOUBLE * cos(radians(stop_lat)) AS px, (stop_lat - lat) * 111132.0::DOUBLE AS py
+  FROM schedule s JOIN seg USING (tr_id) WHERE n_ts >= plan_s - {P.match_window} AND ts <= plan_s + {P.match_window}),
+along AS (SELECT *, least(greatest((px * dx + py * dy) / greatest(dx * dx + dy * dy, 1e-9::DOUBLE), 0), 1) AS f FROM flat),
+passed AS (SELECT tt_action_item_id, ts, ts + f * (n_ts - ts) - plan_s AS delay FROM along WHERE sqrt(pow(px - f * dx, 2) + pow(py - f * dy, 2)) <= {P.match_radius} AND abs(ts + f * (n_ts - ts) - plan_s) <= {P.match_window}),
+on_track AS (SELECT tt_action_item_id, round(delay, 6) AS delay FROM (SELECT *, row_number() OVER (PARTITION BY tt_action_item_id ORDER BY abs(delay), ts) AS r FROM passed) WHERE r = 1)"""
+
+
+def _passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixes = matching.valid_fixes(fixtures.traffic(spark, sf_dir))
+    return track.snapped_delays(fixes, fixtures.schedule(spark, sf_dir), P.match_radius, float(P.match_window))
+
+
+@query(_sql("SELECT tt_action_item_id, delay AS est_delay_s FROM on_track", _SEGMENTS))
+def segment_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_passed(spark, sf_dir), 6, "est_delay_s")
+
+
+@query(_sql("SELECT s.tr_id, s.tt_action_item_id, s.plan_s, coalesce(o.delay, CAST(r.dt AS DOUBLE)) AS est_delay_s, CASE WHEN o.delay IS NOT NULL THEN 'track' WHEN r.dt IS NOT NULL THEN 'radius' END AS origin FROM schedule s LEFT JOIN on_track o ON o.tt_action_item_id = s.tt_action_item_id LEFT JOIN (SELECT tt_action_item_id, arg_min(dt, abs(dt) * 10000000000 + ts) AS dt FROM pairs GROUP BY 1) r ON r.tt_action_item_id = s.tt_action_item_id", LAT0, PAIRS, _SEGMENTS))
+def refined_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = matching.match_stops(fixtures.traffic(spark, sf_dir), fixtures.schedule(spark, sf_dir), P)
+    return _rounded(track.refined_delays(matched, _passed(spark, sf_dir)), 6, "est_delay_s")
+
+
 _KEEP = P.windows[-1] + P.match_window
 #: The schedule moved on, so that arrivals are planned after the stream's last fix.
 _LATER = 2 * 86_400

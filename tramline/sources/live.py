@@ -8,7 +8,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from tramline.schemas import ELEMENTS, NAV
@@ -18,7 +18,8 @@ from tramline.sources import ndtp
 class TcpPositions(DataSource):
     """spark.readStream.format("ndtp-tcp") with host and port: what a relay sends, frame by frame.
 
-    A socket can't be read again, so delivery is at most once, as in the
+    df.write.format("ndtp-tcp").mode("append") sends the column frame to such a
+    place, each task over a connection of its own.  A socket can't be read again, so delivery is at most once, as in the
     protocol itself; for replayable input let the relay write files.
     """
 
@@ -32,6 +33,28 @@ class TcpPositions(DataSource):
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:  # noqa: N802
         return _TcpReader(self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:  # noqa: ARG002
+        return _TcpWriter(self.options, schema.names.index("frame"))
+
+
+class _TcpWriter(DataSourceWriter):
+    """Sends frames, `flush` at a time; a task that runs again sends its frames again."""
+
+    def __init__(self, options: dict, column: int) -> None:
+        self.at, self.flush, self.column = (options["host"], int(options["port"])), int(options.get("flush", 200)), column
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        waiting: list[bytes] = []
+        with socket.create_connection(self.at, timeout=30) as out:
+            for row in iterator:
+                if row[self.column] is not None:
+                    waiting.append(bytes(row[self.column]))
+                if len(waiting) >= self.flush:
+                    out.sendall(b"".join(waiting))
+                    waiting = []
+            out.sendall(b"".join(waiting))
+        return WriterCommitMessage()
+
 
 class _TcpReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict) -> None:
