@@ -115,8 +115,12 @@ def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by lead, the lead's own text first; yields how far apart each pair is and whether it is linked."""
+def _led(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple]:
+    """Members with their lead's shingles: rows come by lead, the lead's own text first.
+
+    Yields member and lead columns, and hashes, numbers, the lead's range in them
+    and each member's (one bound more than members).
+    """
     lead, text = None, np.zeros(0, np.uint8)  # that of the slice before
     for whole in batches:
         for batch in K.slices(whole):
@@ -125,32 +129,44 @@ def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Ite
             member, of, rank = (np.asarray(batch.column(c)) for c in ("member", "lead", "rank"))
             own = np.flatnonzero(rank == 0)
             # Row 0 is the last lead's text again; shingles are numbered in one call, so that equal numbers are equal words.
-            owner, _, which = K.shingle_numbers(np.concatenate([text, data]), np.concatenate([[0], offs + len(text)]), words)
+            owner, h, which = K.shingle_numbers(np.concatenate([text, data]), np.concatenate([[0], offs + len(text)]), words)
             first = np.searchsorted(owner, np.arange(len(rank) + 2))
-            size = np.diff(first)
-            out: list[tuple] = []
-            mark = np.zeros(int(which.max(initial=-1)) + 1, bool)
             for head, a, b in zip([0, *(own + 1)], [0, *(own + 1)], [*own, len(rank)], strict=True):  # the text in row `head` leads the batch's rows a to b, which are one further on here
-                key = lead if head == 0 else of[head - 1]
-                if b <= a or key is None:
-                    continue
-                mine = which[first[head] : first[head + 1]]
-                mark[mine] = True
-                hit = mark[which[first[a + 1] : first[b + 1]]]
-                mark[mine] = False
-                both = np.add.reduceat(np.append(hit, False).astype(np.int64), np.minimum(first[a + 1 : b + 1] - first[a + 1], len(hit)))
-                both[size[a + 1 : b + 1] == 0] = 0
-                union = size[a + 1 : b + 1] + len(mine) - both
-                out.append((member[a:b], of[a:b], union - both, (both > 0) & (100 * both >= percent * union)))
+                if b > a and (head > 0 or lead is not None):
+                    yield member[a:b], of[a:b], h, which, slice(first[head], first[head + 1]), first[a + 1 : b + 2]
             if len(own):
                 last = int(own[-1])
                 lead, text = of[last], data[offs[last] : offs[last + 1]].copy()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["u", "v", "apart", "linked"])
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, work: Scratch, words: int, percent: int, block: int = 256) -> DataFrame:
-    """The pairs (member, lead) as u and v with the number of shingles that only one of them has, and whether they are linked.
+def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """How far apart each pair is and whether it is linked."""
+    for member, lead, _, which, mine, bounds in _led(batches, words):
+        mark = np.zeros(int(which.max(initial=-1)) + 1, bool)
+        mark[which[mine]] = True
+        hit = mark[which[bounds[0] : bounds[-1]]]
+        size = np.diff(bounds)
+        both = np.add.reduceat(np.append(hit, False).astype(np.int64), np.minimum(bounds[:-1] - bounds[0], len(hit)))
+        both[size == 0] = 0
+        union = size + (mine.stop - mine.start) - both
+        linked = (both > 0) & (100 * both >= percent * union)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (member, lead, union - both, linked)], names=["u", "v", "apart", "linked"])
+
+
+def _differences(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of the shingles that only one of a pair has, told apart by which; null where two of them are equal."""
+    for member, lead, h, which, mine, bounds in _led(batches, words):
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            gone = ~np.isin(which[mine], which[a:b], assume_unique=True)
+            new = ~np.isin(which[a:b], which[mine], assume_unique=True)
+            x = np.concatenate([K.mix(h[mine][gone], 21), K.mix(h[a:b][new], 22)])
+            out.append(K.signed(x) if len(np.unique(x)) == len(x) else None)
+        yield pa.RecordBatch.from_arrays([pa.array(member), pa.array(lead), pa.array(out, pa.list_(pa.int64()))], names=["row", "center", "diff"])
+
+
+def _with_leads(pairs: DataFrame, texts: DataFrame, work: Scratch, block: int = 256) -> DataFrame:
+    """The texts of the pairs (member, lead) as _led() wants them.
 
     A lead with many members is given to several tasks, `block` members or so
     each, and its text goes along to all of them.
@@ -161,16 +177,19 @@ def _compared(pairs: DataFrame, texts: DataFrame, work: Scratch, words: int, per
         F.col("member").alias("row"), "lead", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("rank")
     )
     own = leads.select(F.col("lead").alias("row"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("rank"))
-    rows = (
+    return (
         texts.join(members.unionByName(own), "row")
         .select(F.col("row").alias("member"), "lead", "part", "rank", "text")
         .repartition("lead", "part")
         .sortWithinPartitions("lead", "part", "rank")
         .select("member", "lead", "rank", "text")
     )
-    out = work.keep(rows.mapInArrow(lambda it: _confirm(it, words, percent), "u long, v long, apart long, linked boolean"))
-    work.drop(pairs, leads)
-    return out
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, work: Scratch, words: int, percent: int) -> DataFrame:
+    """The pairs (member, lead) as u and v with the number of shingles that only one of them has, and whether they are linked."""
+    rows = _with_leads(pairs, texts, work)
+    return work.keep(rows.mapInArrow(lambda it: _confirm(it, words, percent), "u long, v long, apart long, linked boolean"))
 
 
 def _components(docs: DataFrame, work: Scratch, words: int, percent: int, bins: int, rows: int) -> DataFrame:
@@ -231,10 +250,10 @@ def _components(docs: DataFrame, work: Scratch, words: int, percent: int, bins:
 def _residual(rest: DataFrame, best: DataFrame, tested: DataFrame, reps: DataFrame, texts: DataFrame, work: Scratch, words: int, percent: int) -> DataFrame:
     """The pairs that can still be linked within the buckets of `rest`, compared.
 
-    A shingle of one document only is in no intersection, and documents that differ
-    from their common center in different shingles differ in all of these; sizes
-    within the threshold lie in one class of sizes or in neighbouring ones.  These
-    are bounds, so no link is lost by them.
+    A shingle of one document only is in no intersection; sizes within the
+    threshold lie in one class of sizes or in neighbouring ones; and two documents
+    with one center are as far apart as their differences from it are.  These are
+    bounds, so no link is lost by them.
     """
     some = rest.select("row").distinct()
     near = (
@@ -248,22 +267,25 @@ def _residual(rest: DataFrame, best: DataFrame, tested: DataFrame, reps: DataFra
         .groupBy("row").agg(F.count("*").alias("alone"))
     )
     step = F.log(F.lit(100 / percent)) if percent < 100 else F.lit(1.0)
-    sized = reps.select("row", "n_shingles").join(some, "row").join(alone, "row", "left").join(near, "row", "left").select(
-        "row", "n_shingles", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("center", "row").alias("center"), F.coalesce("apart", F.lit(0)).alias("apart"),
-        F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("int").alias("class"),
+    sized = work.keep(
+        reps.select("row", "n_shingles").join(some, "row").join(alone, "row", "left").select(
+            "row", "n_shingles", F.coalesce("alone", F.lit(0)).alias("alone"), F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("int").alias("class")
+        ).where(100 * (F.col("n_shingles") - F.col("alone")) >= percent * F.col("n_shingles"))
     )
-    left = work.keep(rest.join(sized.where(100 * (F.col("n_shingles") - F.col("alone")) >= percent * F.col("n_shingles")), "row"))
+    # Where a document is closer to its center than it is long, what sets it apart says more than the sizes do.
+    close = near.join(sized, "row").where("apart <= n_shingles").select(F.col("row").alias("member"), F.col("center").alias("lead"))
+    diffs = work.keep(_with_leads(close, texts, work).mapInArrow(lambda it: _differences(it, words), "row long, center long, diff array<long>"))
+    left = work.keep(rest.join(sized, "row").join(diffs, "row", "left"))
     # Rounding may put a pair at the very threshold one class further apart.
     right = left.select("key", F.explode(F.sequence(F.col("class") - 2, F.col("class") + 2)).alias("class"), *(F.col(c).alias(f"r_{c}") for c in left.columns if c not in ("key", "class")))
     both = F.least(F.col("n_shingles") - F.col("alone"), F.col("r_n_shingles") - F.col("r_alone"))
-    # The least number of shingles that only one of the two has, as seen from their common lead.
-    least = F.col("apart") + F.col("r_apart") - 2 * F.least(F.col("apart") - F.col("alone"), F.col("r_apart") - F.col("r_alone"))
+    apart = F.size("diff") + F.size("r_diff") - 2 * F.size(F.array_intersect("diff", "r_diff"))
+    far = (F.col("center") == F.col("r_center")) & ((100 + percent) * apart > (100 - percent) * (F.col("n_shingles") + F.col("r_n_shingles")))
     pairs = (
         left.join(right, ["key", "class"])
         .where(
             (F.col("row") > F.col("r_row")) & (F.col("component") != F.col("r_component"))
-            & (100 * both >= percent * (F.col("n_shingles") + F.col("r_n_shingles") - both))
-            & ((F.col("center") != F.col("r_center")) | ((100 + percent) * least <= (100 - percent) * (F.col("n_shingles") + F.col("r_n_shingles"))))
+            & (100 * both >= percent * (F.col("n_shingles") + F.col("r_n_shingles") - both)) & ~F.coalesce(far, F.lit(False))
         )
         .select(F.col("row").alias("member"), F.col("r_row").alias("lead"))
         .distinct()
@@ -297,18 +319,22 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     component_id is the smallest id in the component, and kept says whether it is
     the row's own.  Rows that repeat an id are documents of their own, so equal
-    ones are all kept or all not.  A row without an id is judged like any other:
-    it is not kept if a row with an id is in its component, and kept otherwise.
+    ones are all kept or all not.  A row without an id is kept and belongs to no
+    component; deduplicated() judges such rows as well.
     """
     work = Scratch(documents.sparkSession)
-    docs, odd = _rows(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work)
+    all_ = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs, odd = _rows(all_.where("doc_id IS NOT NULL"), work)
     out = _components(docs, work, words, percent, bins, rows)
     if odd:
         least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         out = out.join(least, "component")
     else:
         out = out.withColumn("component_id", F.col("component"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    nameless = all_.where("doc_id IS NULL").withColumn("row", F.col("doc_id")).mapInArrow(lambda it: _sketch(it, words, bins, rows), _SKETCH)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")).unionByName(
+        nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    )
 
 
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bins: int = 256, rows: int = 6) -> DataFrame:
