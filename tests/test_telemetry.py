@@ -354,6 +354,46 @@ def test_thin():
     assert list(track.thin(np.array([0.0, 5.0, 9.0, 10.0, 12.0]))) == [0, 3, 4]
 
 
+def test_decimated_tracks(spark):
+    """Whole tracks, also where a vehicle's rows come in several batches."""
+    r = random.Random(2)
+    rows = [(k, float(t)) for k, n in ((1, 400), (2, 1), (3, 37), (None, 60)) for t in sorted(r.sample(range(9000), n))]
+    df = spark.createDataFrame(rows, "tr_id long, ts double").withColumn("lat", F.col("ts") / 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        for apart, most in ((10.0, 90), (40.0, 1000), (0.5, 7)):
+            got = sorted(((x.tr_id or 0, x.ts) for x in track.decimate(df, apart, most).collect()))
+            want = []
+            for k in (0, 1, 2, 3):
+                ts = np.array([t for i, t in rows if (i or 0) == k])
+                want += [(k, float(ts[i])) for i in track.thin(ts, apart, most)]
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert track.decimate(df.limit(0)).collect() == []
+
+
+def test_cached_scan_and_refreshed_graph(spark, tmp_path):
+    import os
+
+    def place(lon):
+        (tmp_path / "s.csv").write_text(f'tt_action_item_id,tr_id,time_begin,time_fact_begin,geom\n1,5,2026-01-06 10:00:00,,"POINT ({lon} 55.75)"\n')
+
+    place(61.4)
+    path = str(tmp_path / "s.csv")
+    a = files.cached_scan(spark, path, files.read_schedule)
+    assert files.cached_scan(spark, path, files.read_schedule) is a and a.first().stop_lon == 61.4
+    place(61.5)
+    os.utime(path, (2_000_000_000, 2_000_000_000))
+    b = files.cached_scan(spark, path, files.read_schedule)
+    assert b is not a and b.first().stop_lon == 61.5 and not a.is_cached
+    doc = overpass(tmp_path / "roads_z.json")
+    assert files.cached_graph(spark, doc, f"file://{tmp_path}/again")[0].count() == 36
+    (tmp_path / "roads_z.json").write_text(json.dumps({"elements": [{"type": "node", "id": 1, "lat": 55.0, "lon": 61.0}, {"type": "node", "id": 2, "lat": 55.001, "lon": 61.0}, {"type": "way", "id": 9, "nodes": [1, 2]}]}))
+    os.utime(doc, (2_000_000_000, 2_000_000_000))
+    assert files.cached_graph(spark, doc, f"file://{tmp_path}/again")[0].count() == 2
+
+
 def test_csv_round_trip(spark, tmp_path):
     (tmp_path / "s.csv").write_text('tt_action_item_id,tr_id,time_begin,time_fact_begin,geom\n1,5,2026-01-06 10:00:00,2026-01-06 10:01:40,"POINT (37.6 55.75)"\n2,5,2026-01-06 10:10:00,,"POINT(37.6 55.75)"\n3,5,2026-01-06 10:20:00,soon,x\n')
     got = {r.tt_action_item_id: r for r in files.read_schedule(spark, str(tmp_path / "s.csv")).collect()}

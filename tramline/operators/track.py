@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tramline.functions.geo import LAT_M, LON_M, planar_m
 
@@ -53,13 +56,36 @@ def thin(ts: np.ndarray, apart: float = 10.0, most: int = 90) -> np.ndarray:
 
 
 def decimate(track: DataFrame, apart: float = 10.0, most: int = 90) -> DataFrame:
-    """thin() of each vehicle's track; a vehicle's window of a few minutes fits in one task."""
+    """thin() of each vehicle's track, of any length.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        return pdf.iloc[thin(pdf["ts"].to_numpy(float), apart, most)]
-
-    return track.groupBy("tr_id").applyInPandas(one, track.schema)
+    Rows pass sorted by vehicle and time, and only the last kept time is held; how
+    many were kept is counted before every k-th of them is taken.
+    """
+    schema = StructType([*track.schema.fields, StructField("kept_", LongType()), StructField("row_", LongType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, kept, row = object(), 0.0, 0, 0  # of the vehicle that goes on from the batch before
+        for b in batches:
+            who, ts = b.column("tr_id").to_pylist(), b.column("ts").to_numpy(zero_copy_only=False).astype(float)
+            marks, rows = np.full(len(ts), -1, np.int64), np.zeros(len(ts), np.int64)
+            edges = [0, *(i for i in range(1, len(who)) if who[i] != who[i - 1]), len(who)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if end == start:
+                    continue
+                part = ts[start:end]
+                if who[start] != key or row == 0:
+                    key, last, kept, row = who[start], part[0] - apart, 0, 0
+                rows[start:end] = np.arange(row, row + end - start)
+                row += end - start
+                while (at := int(np.searchsorted(part, last + apart))) < len(part):
+                    marks[start + at], last, kept = kept, part[at], kept + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks), pa.array(rows)], names=[*b.schema.names, "kept_", "row_"])
+
+    order = ["tr_id", "ts", *(c for c in track.columns if c not in ("tr_id", "ts"))]  # so that ties have an order too
+    passed = track.repartition("tr_id").sortWithinPartitions(*order).mapInArrow(mark, schema)
+    totals = passed.groupBy(F.col("tr_id").alias("t_tr")).agg(F.greatest(F.lit(1), F.ceil((F.max("kept_") + 1) / most)).alias("step"), F.max("row_").alias("end"))
+    chosen = ((F.col("kept_") >= 0) & (F.col("kept_") % F.col("step") == 0)) | (F.col("row_") == F.col("end"))
+    return passed.join(totals, F.col("tr_id").eqNullSafe(F.col("t_tr"))).where(chosen).select(*track.columns)
 
 
 class Roads:

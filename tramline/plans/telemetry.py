@@ -422,7 +422,14 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("event_id", F.round(d, 3).alias("haversine_m"), scalars.risk(F.col("speed") / 60).alias("risk"))
 
 
-@query()
+_KEPT = f"""WITH RECURSIVE {fixtures.SQL},
+f AS (SELECT tr_id, ts, lat, lon, row_number() OVER (PARTITION BY tr_id, ts ORDER BY lat, lon) AS first, row_number() OVER (PARTITION BY tr_id ORDER BY ts DESC, lat DESC, lon DESC) AS back FROM traffic WHERE location_valid),
+k AS (SELECT tr_id, min(ts) AS ts, 0 AS i FROM f GROUP BY 1 UNION ALL SELECT k.tr_id, min(f.ts), max(k.i) + 1 FROM k JOIN f ON f.tr_id = k.tr_id AND f.ts >= k.ts + 36000 GROUP BY 1),
+n AS (SELECT tr_id, greatest(1, ceil(count(*) / 30.0)) AS step FROM k GROUP BY 1)
+SELECT f.tr_id, f.ts, lat, lon FROM f JOIN n ON n.tr_id = f.tr_id LEFT JOIN k ON k.tr_id = f.tr_id AND k.ts = f.ts AND f.first = 1 WHERE back = 1 OR k.i % step = 0"""
+
+
+@query(_KEPT)
 def decimate_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = matching.valid_fixes(fixtures.traffic(spark, sf_dir)).select("tr_id", "ts", "lat", "lon")
     return track.decimate(f, apart=36_000.0, most=30)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -49,6 +52,29 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
     raise FileNotFoundError(paths[-1])
 
 
+def modified_ms(spark: SparkSession, path: str) -> int | None:
+    """When a file was changed last, in whatever store it is; null if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.getFileStatus(at).getModificationTime() if store.exists(at) else None
+
+
+_SCANS: OrderedDict[tuple, DataFrame] = OrderedDict()
+
+
+def cached_scan(spark: SparkSession, path: str, read: Callable[[SparkSession, str], DataFrame], most: int = 4) -> DataFrame:
+    """read(spark, path), cached until the file changes; beyond `most` tables the one asked for least lately is let go."""
+    key = (id(spark), path, read.__qualname__, modified_ms(spark, path))
+    if key not in _SCANS:
+        _SCANS[key] = read(spark, path).cache()
+    _SCANS.move_to_end(key)
+    stale = [k for k in _SCANS if k[:3] == key[:3] and k != key]
+    for k in [*stale, *list(_SCANS)[: max(0, len(_SCANS) - len(stale) - most)]]:
+        if k in _SCANS:
+            _SCANS.pop(k).unpersist()
+    return _SCANS[key]
+
+
 def newest(spark: SparkSession, folder: str, pattern: str = "roads_*.json") -> str | None:
     """The file of the folder that was changed last; of several the last by name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime")
@@ -95,12 +121,11 @@ def write_submission(predictions: DataFrame, template: DataFrame, path: str) ->
 
 
 def cached_graph(spark: SparkSession, json_path: str, cache_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and ways from Parquet copies, which are made from the document on first use."""
+    """Nodes, edges and ways from Parquet copies, which are made from the document on first use and again where it is newer."""
     from tramline.operators import graph
 
-    try:
-        first_existing(spark, f"{cache_path}/ways/_SUCCESS")
-    except FileNotFoundError:
+    made = modified_ms(spark, f"{cache_path}/ways/_SUCCESS")
+    if made is None or (modified_ms(spark, json_path) or 0) > made:
         e = read_roads(spark, json_path).cache()
         ways, nodes = graph.way_nodes(e), graph.nodes_of(e)
         nodes.write.mode("overwrite").parquet(f"{cache_path}/nodes")
