@@ -13,6 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def value(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 9)
+    if isinstance(v, list | tuple):
+        return tuple(map(value, v))
     return v
 
 

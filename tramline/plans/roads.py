@@ -97,12 +97,27 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(edges, spark.range(1000, 1001).withColumnRenamed("id", "source")).select("source", "node", F.round("dist_m", 3).alias("dist_m"))
 
 
-@query()
+# The grid's shortest ways never turn back, so all walks towards the target are looked at.
+_WALKS = "WITH RECURSIVE " + _NODES.strip() + f""",
+pairs(source, target) AS (VALUES (1000, 1063), (1007, 1056), (1010, 1010), (1000, 5)),
+ends AS (SELECT p.*, a.i AS si, a.j AS sj, t.i AS ti, t.j AS tj FROM pairs p JOIN nodes a ON a.node_id = p.source JOIN nodes t ON t.node_id = p.target),
+walk AS (
+  SELECT source, target, ti, tj, si AS i, sj AS j, 0.0::DOUBLE AS dist_m, [source] AS path FROM ends
+  UNION ALL
+  SELECT w.source, w.target, ti, tj, b.i, b.j, dist_m + {_METRES}, list_append(path, b.node_id) FROM walk w JOIN nodes a ON a.i = w.i AND a.j = w.j
+  JOIN nodes b ON (b.i = w.i + sign(ti - w.i) AND b.j = w.j AND ti <> w.i) OR (b.i = w.i AND b.j = w.j + sign(tj - w.j) AND tj <> w.j)),
+best AS (SELECT source, target, min(dist_m) AS dist_m, arg_min(path, dist_m) AS path FROM walk WHERE i = ti AND j = tj GROUP BY 1, 2),
+lines AS (SELECT p.source, p.target, dist_m, CASE WHEN len(path) > 1 THEN path ELSE [p.source, p.target] END AS path FROM pairs p LEFT JOIN best b ON b.source = p.source AND b.target = p.target),
+placed AS (SELECT source, target, dist_m, unnest(path) AS node, generate_subscripts(path, 1) AS pos FROM lines)
+SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, round(dist_m, 3) AS dist_m, list([round(lon, 6), round(lat, 6)] ORDER BY pos) AS vertices, CAST(count(*) AS INT) AS n FROM placed JOIN nodes ON node_id = node GROUP BY 1, 2, 3"""
+
+
+@query(_WALKS)
 def route_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges, _ = _grid(spark)
     pairs = spark.createDataFrame([(1000, 1063), (1007, 1056), (1010, 1010), (1000, 5)], "source long, target long")
     known = graph.shortest_paths(edges, pairs.select("source"))
-    return graph.polylines(known, nodes, pairs)
+    return _rounded(graph.polylines(known, nodes, pairs), 3, "dist_m")
 
 
 @query()
