@@ -53,6 +53,45 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(12 + len(replace({_ESC.format('role')}, chr(10), '\\n')) + 1 + len({_ESC.format('text')}) + 10 + 1) AS BIGINT) AS formatted_chars
 FROM c GROUP BY 1"""
 
+def _op12(rounds: int = 3, k: int = 16) -> str:
+    """Vectors as rows of (vector, place, component); each round assigns and moves the centroids."""
+    assign = """
+a{r} AS (SELECT id, arg_min(c, d * 1000 + c) AS c, min(d) AS d FROM (SELECT x.id, c.c, CAST(sum((x.v - c.v) * (x.v - c.v)) AS BIGINT) AS d FROM x JOIN c{r} c ON c.p = x.p GROUP BY 1, 2) GROUP BY 1),"""
+    move = """
+m{r} AS (SELECT a.c, x.p, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v FROM a{r} a JOIN x ON x.id = a.id GROUP BY 1, 2),
+c{n} AS (SELECT c.c, c.p, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c AND m.p = c.p),"""
+    steps = "".join(assign.format(r=r) + move.format(r=r, n=r + 1) for r in range(rounds)) + assign.format(r=rounds)
+    return f"""
+WITH kept AS (SELECT row_number() OVER () AS id, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS (SELECT id, p, CAST(greatest(least(floor(64 * CAST(embedding[p] AS DOUBLE)), 134217728), -134217728) AS BIGINT) AS v FROM kept, range(1, 65) t(p)),
+seeds AS (SELECT id, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), embedding) - 1 AS c FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k}),
+c0 AS (SELECT c, p, v FROM seeds JOIN x USING (id)),{steps}
+cs AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p)) AS h FROM c{rounds} GROUP BY 1)
+SELECT vec_id, CAST(a.c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (id) JOIN cs ON cs.c = a.c"""
+
+
+OP12 = _op12()
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT i) >= 10),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+grp AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY 1, 2, 3),
+gn AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY 1, 2),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, 1 + (1000000000 * (coalesce(n.n, 0) + 2)) // CAST(coalesce(gn.total, 0) + 2 * s.v AS BIGINT) AS p
+  FROM grp g JOIN kept k ON k.lang = g.lang JOIN size s ON s.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source),
+ln AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY 1, 2),
+q AS (SELECT ln.lang, ln.term, 1 + CAST(1000000000 * (ln.n + 2) AS BIGINT) // CAST(sum(ln.n) OVER (PARTITION BY ln.lang) + 2 * s.v AS BIGINT) AS q FROM ln JOIN size s ON s.lang = ln.lang),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM cells a JOIN cells b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM grp a JOIN grp b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT c.lang, c.source, c.term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM cells c JOIN q ON q.lang = c.lang AND q.term = c.term WHERE c.n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM terms QUALIFY rank <= 10"""
+
+
 _HOST = f"CASE WHEN contains({{0}}, '://') THEN translate(regexp_extract({{0}}, '(?s)^.*?://([^/?#]*)', 1), '{_A}', '{_Z}') ELSE '' END"
 _PATH = "CASE WHEN contains({0}, '://') THEN regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END"
 _QUERY = r"regexp_extract({0}, '(?s)^[^?#]*(\?[^#]*)', 1)"

@@ -142,3 +142,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@_query(oracles.OP12)
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm import balls
+
+    return balls.summary(*balls.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+@_query(oracles.OP13)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
