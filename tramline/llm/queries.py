@@ -144,6 +144,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.toxicity import fit
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit(docs, labels.where(~held_out))
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @_query(oracles.OP12)
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm import balls
