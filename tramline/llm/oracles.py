@@ -102,16 +102,24 @@ def op3(rules: tuple[tuple[str, str, str], ...]) -> str:
     listed = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
     fits = "(x.host = r.host OR ends_with(x.host, '.' || r.host)) AND starts_with(x.path, r.path)"
     best = "arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), 2 * len(r.host || r.path) + CASE r.verdict WHEN 'allow' THEN 1 ELSE 0 END)"
-    link = r"""regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b'))[1], '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)"""
-    meta = r"""regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)"""
+    html = r"regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\z)', '', 'g')"
+    link = rf"""list_transform(list_filter(regexp_extract_all({html}, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b')), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))"""
+    meta = rf"""list_transform(list_filter(regexp_extract_all({html}, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1))"""
     scheme = "regexp_extract(url, '(?s)^(.*?://)', 1)"
-    absolute = f"""CASE WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN regexp_replace({scheme}, '//$', '') || l WHEN starts_with(l, '/') THEN {scheme} || host || l
-      WHEN l <> '' THEN {scheme} || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || l END"""
+    folder = r"CASE WHEN regexp_replace(path, '(?s)[^/]*\z', '') = '' THEN '/' ELSE regexp_replace(path, '(?s)[^/]*\z', '') END"
+    # The link's path from the site's root, its segments folded one by one.
+    full = f"CASE WHEN starts_with(l, '/') THEN l ELSE {folder} || l END"
+    segments = f"string_split(regexp_extract({full}, '(?s)^([^?#]*)', 1), '/')"
+    fold = rf"list_reduce(list_concat([''], {segments}[2:]), lambda a, x: CASE WHEN x = '.' THEN a WHEN x = '..' THEN regexp_replace(a, '(?s)/[^/]*\z', '') ELSE a || '/' || x END)"
+    resolved = f"{fold} || CASE WHEN {segments}[-1] IN ('.', '..') THEN '/' ELSE '' END || regexp_extract({full}, '(?s)^[^?#]*(.*)', 1)"
+    absolute = f"""CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN l = '' OR starts_with(l, '#') OR regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      WHEN starts_with(l, '//') THEN regexp_replace({scheme}, '//$', '') || l WHEN starts_with(l, '?') THEN {scheme} || host || CASE WHEN path = '' THEN '/' ELSE path END || l
+      ELSE {scheme} || host || {resolved} END"""
     return f"""
 WITH RECURSIVE r(verdict, host, path) AS (VALUES {listed}),
 p AS (SELECT page_id, url, html, {_HOST.format("coalesce(url, '')")} AS host, {_PATH.format("coalesce(url, '')")} AS path, {_KEY.format("url")} AS k FROM pages),
 own AS (SELECT x.page_id, {best} AS b FROM (SELECT DISTINCT page_id, host, path FROM p) x JOIN r ON {fits} GROUP BY 1),
-links AS (SELECT k, url, host, path, replace(unnest([{link}, {meta}]), '&amp;', '&') AS l FROM p),
+links AS (SELECT k, url, host, path, replace(unnest(list_concat({link}, {meta})), '&amp;', '&') AS l FROM p),
 targets AS (SELECT k, {absolute} AS target FROM links),
 e AS (SELECT DISTINCT k AS u, {_KEY.format("target")} AS v FROM targets WHERE target IS NOT NULL),
 linked AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),

@@ -18,6 +18,7 @@ from tramline.llm.graph import connected_components
 from tramline.llm.textsql import UPPER, packed
 
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -50,15 +51,34 @@ def _addressed(df: DataFrame, url: str, name: str) -> DataFrame:
     return parts.withColumn(name, F.when(F.col("u_h") != "", F.concat("u_h", "u_p", "u_q"))).drop("u_h", "u_p", "u_q")
 
 
+def _resolved(whole: Column) -> Column:
+    """A path without its segments . and .., each .. taking the segment before with it; query and fragment stay as they are."""
+    parts = F.split(F.regexp_extract(whole, r"(?s)^([^?#]*)", 1), "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts) - 1), F.lit(""),  # nothing stands before the first /
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.regexp_replace(acc, r"(?s)/[^/]*\z", "")).otherwise(F.concat(acc, F.lit("/"), x)),
+    )
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    return F.concat(kept, folder, F.regexp_extract(whole, r"(?s)^[^?#]*(.*)", 1))
+
+
 def _absolute(link: Column) -> Column:
-    """A link on a page with the columns u_scheme, host and path, as a full URL; null for an empty one."""
+    """A link on a page with the columns u_scheme, host and path, as a full URL.
+
+    Null for an empty one, for one to a place on the page itself, and for
+    schemes that name no host, as mailto: does.  What stands behind the first /,
+    ? or # is no scheme.
+    """
     site = F.concat("u_scheme", "host")
-    folder = F.regexp_replace("path", r"[^/]*$", "")
+    folder = F.regexp_replace("path", r"(?s)[^/]*\z", "")
+    plain = F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path"))
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when((link == "") | link.startswith("#") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(link.startswith("//"), F.concat(F.regexp_replace("u_scheme", "//$", ""), link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .when(link != "", F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+        .when(link.startswith("/"), F.concat(site, _resolved(link)))
+        .when(link.startswith("?"), F.concat(site, plain, link))
+        .otherwise(F.concat(site, _resolved(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), link))))
     )
 
 
@@ -76,7 +96,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url", html_
 
     Aliases come from all canonical links and refresh redirects in html_col, and
     from links, a table of redirects with the columns source and target, if
-    given.  A null URL, or one without ://, has an empty host and path, no
+    given; what stands in a comment is no link.  Relative links are resolved against
+    the page, with their segments . and ..  A null URL, or one without ://, has an empty host and path, no
     aliases and, unless a rule fits, the default verdict; null and empty HTML has
     no links, and HTML of any length is read whole.  Pages may repeat, with or
     without an id, and are judged alike.  An empty table gives an empty one.
@@ -90,6 +111,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url", html_
     edges = None
     if html_col:
         linking = p.where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"))
+        linking = linking.withColumn("html", F.when(F.col("html").contains("<!--"), F.regexp_replace("html", _COMMENT, "")).otherwise(F.col("html")))
         found = linking.select(
             "u_key", "host", "path", F.regexp_extract("url", r"(?s)^(.*?://)", 1).alias("u_scheme"),
             F.explode(F.concat(*(F.regexp_extract_all("html", F.lit(x), F.lit(1)) for x in (_CANONICAL, _REFRESH)))).alias("u_link"),
