@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.graph import Scratch
+from tramline.llm.graph import Scratch, numbered_rows
 from tramline.llm.textsql import lower_ascii, trimmed
 
 #: What separates words after lower-casing.
@@ -65,12 +65,31 @@ def contamination(
     At most `block` windows of 300 bytes each are broadcast at a time; a larger
     benchmark takes one pass over the documents per block.  Null or empty texts
     have no words; items without words or id match nothing; repeated items and
-    texts of any length are searched whole.  Rows that repeat an id, or lack one,
-    are reported as one document.  Other columns are left out, whatever their names.
+    texts of any length are searched whole.  Every row is judged by itself, also
+    where ids repeat or are null.  Other columns are left out, whatever their names.
     Empty tables give an empty one, or one without hits.
     """
     work = Scratch(documents.sparkSession)
-    docs = _words(documents, id_col, text_col, "doc_id")
+    plain = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, odd = numbered_rows(plain, work)
+    out = _hits(rows.select("row", "text"), "row", benchmark, item_col, item_text_col, window, shingle, block, work)
+    if not odd:
+        return out.withColumnRenamed("key", "doc_id")
+    names = rows.select("doc_id", F.col("row").alias("key"))
+    return out.join(names, "key").select("doc_id", *out.columns[1:])
+
+
+def contaminated_texts(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 5, block: int = 1_000_000) -> DataFrame:
+    """SHA-256 (as bytes, in the column digest) of all texts with a word in a window of a benchmark item; equal texts are told apart by nothing."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    texts = documents.select(digest.alias("key"), F.col(text_col).alias("text"))
+    found = _hits(texts, "key", benchmark, item_col, item_text_col, window, shingle, block, Scratch(documents.sparkSession))
+    return found.where("n_hit > 0").select(F.col("key").alias("digest"))
+
+
+def _hits(documents: DataFrame, key: str, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, shingle: int, block: int, work: Scratch) -> DataFrame:
+    """(key, n_words, n_hit, spans, items) of each key; rows that share a key must have equal texts."""
+    docs = _words(documents, key, "text", "doc_id")
     items = _words(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, "item_id").where(F.size("words") > 0)
     windows = work.keep(
         items.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))).alias("at"))
@@ -98,7 +117,7 @@ def contamination(
         prefix = work.keep(
             prefix.where("x.seen > 0").select("window", "size", F.col("x.o").alias("o"), F.col("x.h").alias("h"))
         )
-        prefix = work.keep(prefix.withColumn("part", F.pmod("h", F.lit(_parts(prefix.count(), block)))))
+        prefix = work.keep(prefix.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(_parts(prefix.count(), block)))))
         for part in _blocks(prefix):
             placed = _placed(docs, "doc_id", n).withColumn("n_words", F.size("words"))
             p = part.select(F.col("h").alias("ph"), "window", "size", "o")
@@ -130,8 +149,8 @@ def contamination(
         found.where("window IS NOT NULL").select("doc_id", "window").distinct().join(windows.select("window", "item_id"), "window")
         .groupBy(F.col("doc_id").alias("hit_id")).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
-    return per_doc.join(per_item, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
-        "doc_id",
+    return per_doc.join(per_item, F.col("doc_id") == F.col("hit_id"), "left").select(
+        F.col("doc_id").alias("key"),
         "n_words",
         F.aggregate("spans", F.lit(0), lambda acc, x: acc + x["end"] - x["start"]).cast("long").alias("n_hit"),
         "spans",

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm import kernel as K
-from tramline.llm.graph import Scratch, connected_components
+from tramline.llm.graph import Scratch, connected_components, numbered_rows
 
 _SKETCH = "row long, doc_id long, n_shingles long, text_a long, text_b long, bands array<long>"
 
@@ -294,20 +294,6 @@ def _residual(rest: DataFrame, best: DataFrame, tested: DataFrame, reps: DataFra
     return _compared(pairs, texts, work, words, percent)
 
 
-def _rows(docs: DataFrame, work: Scratch) -> tuple[DataFrame, bool]:
-    """docs with a unique row number: doc_id, or a number below all of them where it is null or repeated; and whether there are such."""
-    ids = docs.groupBy("doc_id").agg((F.count("*") > 1).alias("again"))
-    low, odd = ids.agg(F.min("doc_id"), F.max(F.col("again") | F.col("doc_id").isNull())).first()
-    if not odd:
-        return docs.withColumn("row", F.col("doc_id")), False
-    ids = work.keep(ids.where("again OR doc_id IS NULL").select(F.col("doc_id").alias("odd_id")))
-    hard = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_semi")
-    # Written once, so that the numbers stay as they are.
-    hard = work.keep(hard.withColumn("row", F.lit(min(low or 0, 0)) - 1 - F.monotonically_increasing_id()))
-    easy = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("odd_id"), "left_anti").withColumn("row", F.col("doc_id"))
-    return easy.unionByName(hard), True
-
-
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bins: int = 256, rows: int = 6) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent/100 or more.
 
@@ -324,7 +310,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     work = Scratch(documents.sparkSession)
     all_ = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs, odd = _rows(all_.where("doc_id IS NOT NULL"), work)
+    docs, odd = numbered_rows(all_.where("doc_id IS NOT NULL"), work)
     out = _components(docs, work, words, percent, bins, rows)
     if odd:
         least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -346,7 +332,7 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     work = Scratch(documents.sparkSession)
     whole = F.struct(*(documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns) if c != text_col), F.lit(0).alias("c"))
     packed = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].alias("text"), whole.alias("rest"))
-    docs, odd = _rows(packed, work)
+    docs, odd = numbered_rows(packed, work)
     out = _components(docs.select("row", "doc_id", "text"), work, words, percent, bins, rows)
     if odd:
         first = out.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select("x.row")

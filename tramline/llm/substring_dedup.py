@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm import kernel as K
-from tramline.llm.graph import Scratch
+from tramline.llm.graph import Scratch, numbered_rows
 
 _PIECE = 16  # windows of a span at most; a longer run of one anchor is cut into several spans
 _RUN = 32  # a span is kept as first * _RUN + count
@@ -83,18 +83,18 @@ def _seeds(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchor[first])), pa.array(lo), pa.array(hi)], names=["anchor", "lo", "hi"])
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterator[pa.RecordBatch], size: int, k: int, keys: list[str]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in K.slices(whole, most=1 << 20):
             words, rows = _parsed(batch)
             anchor, row, first, count = _runs(words[0], rows, size, k)
             a, b = K.run_digests(words, first, count + size - 1)
-            doc = np.asarray(batch.column("doc_id"))[row]
             run = (first - rows[row]) * _RUN + count
-            yield pa.RecordBatch.from_arrays([*(pa.array(K.signed(x)) for x in (anchor, a, b)), pa.array(doc), pa.array(run)], names=["anchor", "span_a", "span_b", "doc_id", "run"])
+            kept = [batch.column(c).take(pa.array(row)) for c in keys]
+            yield pa.RecordBatch.from_arrays([*(pa.array(K.signed(x)) for x in (anchor, a, b)), *kept, pa.array(run)], names=["anchor", "span_a", "span_b", *keys, "run"])
 
 
-def _single(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _single(batches: Iterator[pa.RecordBatch], size: int, keys: list[str]) -> Iterator[pa.RecordBatch]:
     """The windows of the given runs, one by one: digest, document and position."""
     for whole in batches:
         for batch in K.slices(whole):
@@ -110,8 +110,8 @@ def _single(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             start, row, begin = start[ok], row[ok], begin[ok]
             a, b = K.run_digests(words, begin, np.full(len(begin), size))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(K.signed(a)), pa.array(K.signed(b)), pa.array(np.asarray(batch.column("doc_id"))[row]), pa.array(start * _RUN + 1)],
-                names=["window_a", "window_b", "doc_id", "run"],
+                [pa.array(K.signed(a)), pa.array(K.signed(b)), *(batch.column(c).take(pa.array(row)) for c in keys), pa.array(start * _RUN + 1)],
+                names=["window_a", "window_b", *keys, "run"],
             )
 
 
@@ -156,13 +156,17 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     (doc_id, n_words, n_removed, text, removed), one row per input row: the kept
     words joined by one space, and the maximal repeats as word positions [start,
     end).  Null texts count as empty.  Rows with a null id are returned whole and
-    are no source.  Rows that repeat an id count as one document: what is found
-    in any of them is applied to each by position.  Other columns are left out.
-    Texts of any length are searched whole, and an empty table gives an empty one.
+    are no source.  Rows that repeat an id are documents of their own, none of
+    which is a source of the others.  Other columns are left out.  Texts of any
+    length are searched whole, and an empty table gives an empty one.
     """
     work = Scratch(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = docs.where("doc_id IS NOT NULL")
+    known, odd = numbered_rows(docs.where("doc_id IS NOT NULL"), work)
+    # A row goes by its id, or where ids repeat by a number of its own; which is earlier is told by ids in any case.
+    keys, key = (["doc_id", "row"], "row") if odd else (["doc_id"], "doc_id")
+    known = known.select(*keys, "text")
+    of_row = ", ".join(f"{c} long" for c in keys)
     # What is joined below is written first: a join splits a hot key's rows over several
     # tasks only where both of its sides come straight from a shuffle.
     shared = work.keep(
@@ -170,25 +174,26 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         .groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor")
     )
     found = work.keep(
-        known.mapInArrow(lambda it: _occurrences(it, min_words, seed_words), "anchor long, span_a long, span_b long, doc_id long, run long")
+        known.mapInArrow(lambda it: _occurrences(it, min_words, seed_words, keys), f"anchor long, span_a long, span_b long, {of_row}, run long")
         .join(shared, "anchor")
     )
     work.drop(shared)
     spans = work.keep(found.groupBy("anchor", "span_a", "span_b").agg(F.min("doc_id").alias("source")))
     several = work.keep(spans.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor"))
-    placed = work.keep(found.join(spans, ["anchor", "span_a", "span_b"]).select("anchor", "doc_id", "run", (F.col("doc_id") > F.col("source")).alias("again")))
+    placed = work.keep(found.join(spans, ["anchor", "span_a", "span_b"]).select("anchor", key, "run", (F.col("doc_id") > F.col("source")).alias("again")))
     work.drop(found, spans)
-    whole = placed.where("again").select("doc_id", "run")
-    open_ = work.keep(placed.where("NOT again").join(several, "anchor").select("doc_id", "run"))
-    open_runs = open_.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))  # a document's own runs
+    whole = placed.where("again").select(key, "run")
+    open_ = work.keep(placed.where("NOT again").join(several, "anchor").select(key, "run"))
+    open_runs = open_.groupBy(key).agg(F.collect_list("run").alias("runs"))  # a row's own runs
     windows = work.keep(
-        known.join(open_runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(lambda it: _single(it, min_words), "window_a long, window_b long, doc_id long, run long")
+        known.join(open_runs, key).select(*keys, "text", "runs").mapInArrow(lambda it: _single(it, min_words, keys), f"window_a long, window_b long, {of_row}, run long")
     )
     work.drop(several, open_)
     first = work.keep(windows.groupBy("window_a", "window_b").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"))
-    part = work.keep(windows.join(first, ["window_a", "window_b"]).where("doc_id > source").select("doc_id", "run"))
+    part = work.keep(windows.join(first, ["window_a", "window_b"]).where("doc_id > source").select(key, "run"))
     work.drop(windows, first)
-    gone = whole.unionByName(part).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(
+    gone = whole.unionByName(part).groupBy(key).agg(F.collect_list("run").alias("runs"))
+    nameless = docs.where("doc_id IS NULL").withColumn("runs", F.lit(None).cast("array<bigint>"))
+    return known.join(gone, key, "left").select("doc_id", "text", "runs").unionByName(nameless).mapInArrow(
         lambda it: _clean(it, min_words), "doc_id long, n_words long, n_removed long, text string, removed array<struct<start:long,end:long>>"
     )
