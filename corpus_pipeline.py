@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import bpe, secrets
-from tramline.llm.decontaminate import contamination
+from tramline.llm.decontaminate import contaminated_texts
 from tramline.llm.graph import shared_dir
 from tramline.llm.near_dedup import deduplicated
 from tramline.llm.quality import judged
@@ -58,9 +58,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Further columns of docs stay.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    gone = contamination(docs.select(digest.alias("digest"), "text"), benchmark, id_col="digest").where("n_hit > 0").select(F.col("doc_id").alias("contaminated"))
-    return docs.join(gone, digest == F.col("contaminated"), "left_anti")
+    gone = contaminated_texts(docs, benchmark).withColumnRenamed("digest", "contaminated_")
+    digest = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    return docs.join(gone, digest == F.col("contaminated_"), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
