@@ -242,7 +242,11 @@ def snapped_delays(snapped: DataFrame, schedule: DataFrame, radius_m: float = 90
     """
     order = Window.partitionBy("tr_id").orderBy("ts", "lat", "lon")
     nxt = {c: F.lead(c).over(order) for c in ("ts", "lat", "lon")}
-    seg = snapped.select("tr_id", "ts", "lat", "lon", *(F.coalesce(e, F.col(c)).alias(f"n_{c}") for c, e in nxt.items()))
+    return passage_delays(snapped.select("tr_id", "ts", "lat", "lon", *(F.coalesce(e, F.col(c)).alias(f"n_{c}") for c, e in nxt.items())), schedule, radius_m, window_s)
+
+
+def passage_delays(seg: DataFrame, schedule: DataFrame, radius_m: float = 90.0, window_s: float = 300.0) -> DataFrame:
+    """snapped_delays() of the steps of tracks: tr_id, ts, lat, lon, n_ts, n_lat, n_lon."""
     b = lambda x: F.floor(x / window_s)
     stops = schedule.select("tr_id", "tt_action_item_id", "plan_s", "stop_lat", "stop_lon", F.explode(F.sequence(b(F.col("plan_s") - window_s), b(F.col("plan_s") + window_s))).alias("b"))
     seg = seg.withColumn("b", F.explode(F.sequence(b(F.col("ts")), b(F.col("n_ts")))))
