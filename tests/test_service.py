@@ -6,6 +6,7 @@ import math
 import random
 import socket
 import threading
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -14,32 +15,79 @@ from tramline.plans.telemetry import _score
 from tramline.profile import FIXTURE as P
 from tramline.sources import fixtures, ndtp
 from tramline.sources.live import TcpPositions
-from tramline.streaming.online import Ticks
+from tramline.streaming.history import histories, keyed_state
+from tramline.streaming.online import Counts, Ticks
+from tramline.streaming.positions import publish
 
 SF = "/root/testdata/sf0.001"
 
 def test_ticks_in_any_cut_give_the_same_board(spark, tmp_path):
-    """The last board does not depend on how the fixes were dealt to ticks, on repeated fixes or on a tick that runs twice."""
-    f = fixtures.traffic(spark, SF)
+    """The last board does not depend on how the fixes were dealt to ticks, on repeated fixes, or on the query being stopped in between."""
     s = fixtures.schedule(spark, SF).withColumns({c: F.col(c) + 172_800 for c in ("plan_s", "fact_s")})
-    keep = P.windows[-1] + P.match_window
     p = priors.build_priors(s, P)
-    cuts = [r.c for r in f.agg(F.explode(F.percentile("ts", F.array(F.lit(0.5), F.lit(0.9)))).alias("c")).collect()]
-    parts = [f.where(F.col("ts") <= cuts[0]), f.where((F.col("ts") > cuts[0]) & (F.col("ts") <= cuts[1])), f.where(F.col("ts") > cuts[1])]
 
     def boards(batches, name):
-        ticks = Ticks(s, p, P, _score(), keep, f"{tmp_path}/{name}")
-        for number, batch in enumerate(batches):
-            ticks(batch, number)
-            ticks(batch, number)
-        left = spark.read.parquet(f"{tmp_path}/{name}/history/{len(batches) - 1}")
-        assert left.agg(F.max("ts") - F.min("ts")).first()[0] < keep
-        return sorted(map(tuple, ticks.published(len(batches) - 1).drop("sched_headway_s").collect()))
-
+        ticks = Ticks(s, p, P, _score(), P.windows[-1] + P.match_window, f"{tmp_path}/{name}")
+        for batch in batches:
+            batch.write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            ticks.start(spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/{name}/in"), every=None).awaitTermination()
+        return sorted(map(tuple, ticks.published(ticks.last).drop("sched_headway_s").collect()))
+
+    f = fixtures.traffic(spark, SF).select("event_id", "tr_id", "ts", "lat", "lon", "speed", "location_valid").withColumn("event_time", F.timestamp_seconds("ts"))
+    cut = f.agg(F.percentile_approx("ts", 0.9)).first()[0]
+    early, late = f.where(F.col("ts") <= cut), f.where(F.col("ts") > cut)
     whole = boards([f], "one")
     assert len(whole) > 3
-    assert boards(parts, "three") == whole
-    assert boards([parts[0], parts[1].union(parts[0].limit(20)), parts[2]], "again") == whole
+    assert boards([early, late.union(late.limit(20))], "two") == whole
+
+
+def test_histories_are_bounded_and_expire(spark, tmp_path):
+    """Forty ticks of a minute: state and output stay as large as five minutes of fixes, a vehicle that falls silent leaves both, and a restart goes on."""
+    columns = ["event_id", "tr_id", "ts", "lat"]
+    schema = "event_id long, tr_id long, ts long, lat double"
+    seen, parts = {}, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+
+    def sink(batch, number):
+        seen[number] = Counter((r.tr_id for r in batch.collect()))
+
+    def run(minutes):
+        for k in minutes:
+            rows = [(10 * k + v, v, 60 * k + v, 1.0) for v in (1, 2, 3) if v != 3 or k < 12] + [(10 * k + 1, 1, 60 * k + 1, 1.0)]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("event_time", F.timestamp_seconds("ts"))
+        with keyed_state(spark):
+            q = publish(histories(stream, columns, 300, 120, "0 seconds"), sink, f"{tmp_path}/state", None)
+            q.awaitTermination()
+        return q
+
+    try:
+        run(range(1, 21))
+        silent = [n for n in seen if seen[n][3]]
+        assert silent and max(silent) < 17  # given out for two minutes after its last fix, at the watermark's pace
+        q = run(range(21, 41))
+        assert len(seen) >= 40 and all(max(c.values(), default=0) <= 8 for c in seen.values())
+        assert all(seen[n][1] and seen[n][2] for n in sorted(seen)[:40])
+        left = spark.read.format("statestore").option("stateVarName", "fixes").load(f"{tmp_path}/state")
+        assert {r.tr_id for r in left.select("key.tr_id").distinct().collect()} == {1, 2}
+        rows = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+        assert max(rows) <= 2 * min(x for x in rows if x) + 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_counts_of_a_stream():
+    class Row:
+        def __init__(self, **k):
+            self.k = k
+
+        def asDict(self):  # noqa: N802
+            return self.k
+
+    c = Counts("fixes")
+    for batch, metrics in ((0, {"fixes": Row(records=3, valid=2)}), (1, {}), (0, {"fixes": Row(records=3, valid=2)}), (2, {"fixes": Row(records=4, valid=None)})):
+        c.add(batch, metrics)
+    assert c.total == Counter(records=7, valid=2)
 
 
 def test_on_route_places(spark):

@@ -245,8 +245,8 @@ def snapped_delays(snapped: DataFrame, schedule: DataFrame, radius_m: float = 90
     return passage_delays(snapped.select("tr_id", "ts", "lat", "lon", *(F.coalesce(e, F.col(c)).alias(f"n_{c}") for c, e in nxt.items())), schedule, radius_m, window_s)
 
 
-def passage_delays(seg: DataFrame, schedule: DataFrame, radius_m: float = 90.0, window_s: float = 300.0) -> DataFrame:
-    """snapped_delays() of the steps of tracks: tr_id, ts, lat, lon, n_ts, n_lat, n_lon."""
+def passages(seg: DataFrame, schedule: DataFrame, radius_m: float = 90.0, window_s: float = 300.0) -> DataFrame:
+    """Where the steps of tracks (tr_id, ts, lat, lon, n_ts, n_lat, n_lon) pass stops within radius and window: the stop, ts, n_ts and delay."""
     b = lambda x: F.floor(x / window_s)
     stops = schedule.select("tr_id", "tt_action_item_id", "plan_s", "stop_lat", "stop_lon", F.explode(F.sequence(b(F.col("plan_s") - window_s), b(F.col("plan_s") + window_s))).alias("b"))
     seg = seg.withColumn("b", F.explode(F.sequence(b(F.col("ts")), b(F.col("n_ts")))))
@@ -255,7 +255,12 @@ def passage_delays(seg: DataFrame, schedule: DataFrame, radius_m: float = 90.0,
     t = F.least(F.greatest((px * dx + py * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))
     near = seg.join(stops, ["tr_id", "b"]).withColumns({"away": F.hypot(px - t * dx, py - t * dy), "delay": F.col("ts") + t * (F.col("n_ts") - F.col("ts")) - F.col("plan_s")})
     near = near.where((F.col("away") <= radius_m) & (F.abs("delay") <= window_s))
-    return near.groupBy("tt_action_item_id").agg(F.min_by("delay", F.struct(F.abs("delay"), "ts")).alias("est_delay_s"))
+    return near.select("tr_id", "tt_action_item_id", "plan_s", "ts", "n_ts", "delay").distinct()
+
+
+def passage_delays(seg: DataFrame, schedule: DataFrame, radius_m: float = 90.0, window_s: float = 300.0) -> DataFrame:
+    """snapped_delays() of the steps of tracks."""
+    return passages(seg, schedule, radius_m, window_s).groupBy("tt_action_item_id").agg(F.min_by("delay", F.struct(F.abs("delay"), "ts")).alias("est_delay_s"))
 
 
 def refined_delays(matched: DataFrame, snapped: DataFrame) -> DataFrame:

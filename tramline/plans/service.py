@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tramline.operators import matching, priors, report, track
 from tramline.plans.registry import query
-from tramline.plans.roads import _FLAT, _NODES, _grid, _stream
+from tramline.plans.roads import _FLAT, _NODES, _grid
 from tramline.plans.telemetry import _ALL, LAT0, PAIRS, _base, _board, _rounded, _score, _sql
 from tramline.profile import FIXTURE as P
 from tramline.session import shared_dir
 from tramline.sources import fixtures
-from tramline.streaming import positions
-from tramline.streaming.online import Ticks
+from tramline.streaming.online import Ticks, counted, observed
 
 
 @query(_sql("SELECT min(stop_lat) - 0.02::DOUBLE AS south, min(stop_lon) - 0.02::DOUBLE AS west, max(stop_lat) + 0.02::DOUBLE AS north, max(stop_lon) + 0.02::DOUBLE AS east, count(DISTINCT tr_id) AS vehicles FROM schedule"))
@@ -124,11 +125,37 @@ _TICK = (
 )
 
 
-@query(_TICK)
-def online_tick_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole stream as one tick through publish(): history, features, scores, board."""
+def _ticks(spark: SparkSession, sf_dir: str, parts: int = 2) -> tuple[Ticks, list[StreamingQuery]]:
+    """The fixes in `parts` stretches of time, each written, then taken by a run of the ticks that goes on from the last one's state."""
     s = fixtures.schedule(spark, sf_dir).withColumns({c: F.col(c) + _LATER for c in ("plan_s", "fact_s")})
-    stream = _stream(spark, sf_dir).withColumn("speed", F.col("speed_c") / 100)
     ticks = Ticks(s, priors.build_priors(s, P), P, _score(), _KEEP)
-    positions.publish(stream, ticks, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", every=None).awaitTermination()
-    return ticks.published(0).drop("sched_headway_s")
+    f = fixtures.traffic(spark, sf_dir).select(*ticks.columns).withColumn("event_time", F.timestamp_seconds("ts"))
+    cuts = f.agg(F.percentile_approx("ts", [k / parts for k in range(1, parts)])).first()[0] or []
+    edges, runs = [None, *cuts, None], []
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = f.where((F.lit(True) if low is None else F.col("ts") > low) & (F.lit(True) if high is None else F.col("ts") <= high))
+        part.write.mode("append").parquet(f"{ticks.folder}/in")
+        runs.append(ticks.start(spark.readStream.schema(f.schema).parquet(f"{ticks.folder}/in"), every=None))
+        runs[-1].awaitTermination()
+    return ticks, runs
+
+
+@query(_TICK)
+def online_tick_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board of the last of several ticks, whose history is the state of a streaming query that was stopped in between."""
+    ticks, _ = _ticks(spark, sf_dir)
+    return ticks.published(ticks.last).drop("sched_headway_s")
+
+
+@query(_sql("SELECT count(*) AS records, count(*) FILTER (location_valid) AS valid FROM traffic"))
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a running stream counts on its way, in two runs from one checkpoint."""
+    folder = f"{shared_dir(spark)}/counters-{uuid.uuid4().hex}"
+    f, total = fixtures.traffic(spark, sf_dir).select("event_id", "tr_id", "location_valid"), Counter()
+    for half in (0, 1):
+        f.where(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{folder}/in")
+        stream = counted(spark.readStream.schema(f.schema).parquet(f"{folder}/in"))
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        total += observed(q)
+    return spark.createDataFrame([(total["records"], total["valid"])], "records long, valid long")
