@@ -94,17 +94,19 @@ def test_on_route_places(spark):
     r = random.Random(3)
     vertices = [(i, 55.75 + r.random() / 100, 37.6 + r.random() / 50) for i in range(40)]
     fixes = [(i, i % 4, 86_400 * (i // 60) + 37 * i, 55.745 + r.random() / 40, 37.595 + r.random() / 25) for i in range(200)]
-    got = {x.point_id: (x.route_lat, x.route_lon, x.near) for x in matching.on_route(spark.createDataFrame(fixes, "point_id long, tr_id long, ts long, lat double, lon double"), spark.createDataFrame(vertices, "place_id long, lat double, lon double"), 55.75, 300.0, k=3).collect()}
-    scale, last = 111_320.0 * math.cos(math.radians(55.75)), {}
-    for i, tr, ts, lat, lon in sorted(fixes, key=lambda x: x[2]):
-        day = (tr, ts // 86_400)
+    scale, last, want = 111_320.0 * math.cos(math.radians(55.75)), {}, {}
+    for i, tr, _, lat, lon in sorted(fixes, key=lambda x: x[2]):
         near = sorted((math.hypot((a - lat) * 111_132.0, (o - lon) * scale), v, a, o) for v, a, o in vertices)
         near = [x for x in near if x[0] <= 300.0][:3]
         if near:
-            before = last.get(day)
+            before = last.get(tr)
             best = near[0] if before is None else min(near, key=lambda x: (x[2] - before[0]) ** 2 + (x[3] - before[1]) ** 2)
-            last[day] = best[2:]
-        assert got[i] == (*last.get(day, (None, None)), len(near))
+            last[tr] = best[2:]
+        want[i] = (*last.get(tr, (None, None)), len(near))
+    for width in (300, 86_400):
+        places = matching.on_route(spark.createDataFrame(fixes, "point_id long, tr_id long, ts long, lat double, lon double"), spark.createDataFrame(vertices, "place_id long, lat double, lon double"), 55.75, 300.0, k=3, width=width)
+        got = {x.point_id: (x.route_lat, x.route_lon, x.near) for x in places.collect()}
+        assert got == want
     assert any(n == 0 and a is not None for a, _, n in got.values()) and any(a is None for a, *_ in got.values())
 
 

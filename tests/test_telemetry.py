@@ -52,9 +52,10 @@ def test_jump_filter(spark):
             steps.append((t, east + off * math.cos(turn), north + off * math.sin(turn)))
     rows = [(k, i, int(s[0]), *at(*s[1:])) for k, steps in tracks.items() for i, s in enumerate(steps)]
     origin = spark.createDataFrame([(k, *HOME) for k in tracks], "tr_id long, lat0 double, lon0 double")
-    kept = clean.drop_jumps(spark.createDataFrame(rows, "tr_id long, event_id long, ts long, lat double, lon double"), origin, ONLINE)
     want = {(k, i) for k, steps in tracks.items() for i in jump_rule(steps)}
-    assert {(x.tr_id, x.event_id) for x in kept.collect()} == want
+    for width in (60, 86_400):  # one vehicle in many tasks, and in one
+        kept = clean.drop_jumps(spark.createDataFrame(rows, "tr_id long, event_id long, ts long, lat double, lon double"), origin, ONLINE, width=width)
+        assert {(x.tr_id, x.event_id) for x in kept.collect()} == want
     assert 50 < len(want) < len(rows)
 
 
@@ -349,7 +350,7 @@ def test_standing(spark):
 def test_thin():
     ts = np.arange(0, 3000, 3, dtype=float)
     kept = track.thin(ts)
-    assert kept[0] == 0 and kept[-1] == len(ts) - 1 and len(kept) <= 91
+    assert kept[0] == 0 and kept[-1] == len(ts) - 1 and len(kept) <= 90
     assert list(track.thin(np.array([5.0]))) == [0] and list(track.thin(np.array([]))) == []
     assert list(track.thin(np.array([0.0, 5.0, 9.0, 10.0, 12.0]))) == [0, 3, 4]
 
@@ -362,7 +363,7 @@ def test_decimated_tracks(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
     try:
         for apart, most in ((10.0, 90), (40.0, 1000), (0.5, 7)):
-            got = sorted(((x.tr_id or 0, x.ts) for x in track.decimate(df, apart, most).collect()))
+            got = sorted(((x.tr_id or 0, x.ts) for x in track.decimate(df, apart, most, width=50).collect()))
             want = []
             for k in (0, 1, 2, 3):
                 ts = np.array([t for i, t in rows if (i or 0) == k])
@@ -373,6 +374,21 @@ def test_decimated_tracks(spark):
     assert track.decimate(df.limit(0)).collect() == []
 
 
+def test_smoothed_marker(spark):
+    """One vehicle in many tasks, of any length, with missing values."""
+    r = random.Random(6)
+    rows = [(k, t, None if r.random() < 0.2 or t < 4 else r.uniform(-50, 200)) for k in (1, 2, None) for t in range(0, 300, 1 + (k or 0))]
+    df = spark.createDataFrame(rows, "tr_id long, ts long, v double")
+    for width in (7, 100_000):
+        got = {(x.tr_id, x.ts): x.smooth for x in track.smoothed(df, "tr_id", "ts", "v", 0.0, 100.0, width).collect()}
+        mean = {}
+        for k, t, v in sorted(rows, key=lambda x: x[1]):
+            if v is not None:
+                mean[k] = (mean[k] + v) / 2 if k in mean else v
+            assert got[k, t] == (pytest.approx(min(max(mean[k], 0.0), 100.0), abs=1e-9) if k in mean else None)
+        assert len(got) == len(rows)
+
+
 def test_cached_scan_and_refreshed_graph(spark, tmp_path):
     import os
 

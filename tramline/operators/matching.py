@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import LAT_M, lon_scale, planar_m
+from tramline.operators.scan import three_passes
 from tramline.profile import Profile
 
 
@@ -152,31 +154,61 @@ def marker_position(traffic: DataFrame, schedule: DataFrame, p: Profile) -> Data
     return last.join(places, "tr_id").groupBy("tr_id", "ts", "lat", "lon").agg(F.min(dist).alias("dist_m"))
 
 
-def on_route(fixes: DataFrame, vertices: DataFrame, lat0: float, cutoff: float, k: int = 8) -> DataFrame:
+def on_route(fixes: DataFrame, vertices: DataFrame, lat0: float, cutoff: float, k: int = 8, width: int = 86_400) -> DataFrame:
     """Each fix's place on its route: of the k nearest vertices within cutoff metres the one nearest to the place before.
 
     Without a place before the nearest vertex counts, and without a vertex the
     place before is kept.  fixes have point_id, tr_id, ts, lat and lon, vertices
-    place_id, lat and lon.  Every day of a vehicle starts anew, so that its fixes
-    of one day are all that is held together.  Returns point_id, route_lat,
-    route_lon, both null as long as no vertex was near, and near, the vertices within reach.
+    place_id, lat and lon.  Returns point_id, route_lat, route_lon, both null as
+    long as no vertex was near, and near, the vertices within reach.
+
+    A vehicle's fixes are dealt to buckets of `width` seconds.  A bucket says, for
+    each vertex that its first fix may choose, where its last fix then is; these
+    choices are joined from bucket to bucket.
     """
     spots = vertices.select("place_id", F.col("lat").alias("vlat"), F.col("lon").alias("vlon"))
     found = nearest(fixes.select("point_id", "lat", "lon"), vertices, lat0, cutoff, k).join(spots, "place_id")
     near = found.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vlat", "vlon"))).alias("near"))  # k at most
-    day = fixes.select("point_id", "tr_id", "ts", F.floor(F.col("ts") / 86_400).alias("day")).join(near, "point_id", "left")
-    days = day.groupBy("tr_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "point_id", F.coalesce("near", F.array().cast("array<struct<rank:int,vlat:double,vlon:double>>")).alias("near")))).alias("f"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-
-        def away(c: Column) -> Column:
-            a, b = c["vlat"] - last["route_lat"], c["vlon"] - last["route_lon"]
-            return F.coalesce(F.round(a * a + b * b, 14), F.lit(0.0))
-
-        best = F.array_min(F.transform(x["near"], lambda c: F.struct(away(c).alias("d"), c["rank"].alias("r"), c["vlat"].alias("vlat"), c["vlon"].alias("vlon"))))
-        place = F.struct(x["point_id"].alias("point_id"), F.coalesce(best["vlat"], last["route_lat"]).alias("route_lat"), F.coalesce(best["vlon"], last["route_lon"]).alias("route_lon"), F.size(x["near"]).alias("near"))
-        return F.concat(acc, F.array(place))
-
-    none = F.array(F.struct(F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("route_lat"), F.lit(None).cast("double").alias("route_lon"), F.lit(0).alias("near")))
-    return days.select(F.explode(F.aggregate("f", none, step)).alias("x")).select("x.*").where("point_id IS NOT NULL")
+    rows = fixes.select("point_id", "tr_id", "ts").join(near, "point_id", "left")
+    some = F.coalesce("near", F.array().cast("array<struct<rank:int,vlat:double,vlon:double>>"))
+    rows = rows.select("point_id", "tr_id", "ts", F.transform(some, lambda x: x["vlat"]).alias("vlat"), F.transform(some, lambda x: x["vlon"]).alias("vlon"))
+
+    def steps(t: pa.Table) -> list[list[tuple[float, float]]]:
+        """The vertices of each fix in order."""
+        t = t.sort_by([("ts", "ascending"), ("point_id", "ascending")])
+        return [list(zip(a, b, strict=True)) for a, b in zip(t.column("vlat").to_pylist(), t.column("vlon").to_pylist(), strict=True)]
+
+    def walk(places: list, at: tuple | None) -> list[tuple | None]:
+        out = []
+        for spots_ in places:
+            if spots_:
+                at = spots_[0] if at is None else min(spots_, key=lambda v: round((v[0] - at[0]) ** 2 + (v[1] - at[1]) ** 2, 14))
+            out.append(at)
+        return out
+
+    def first(t: pa.Table) -> pa.Table:
+        places = [x for x in steps(t) if x]
+        choices = places[0] if places else []
+        ends = [walk(places[1:], v)[-1] if places[1:] else v for v in choices]
+        columns = {"_clat": [v[0] for v in choices], "_clon": [v[1] for v in choices], "_elat": [v[0] for v in ends], "_elon": [v[1] for v in ends]}
+        return pa.table({"tr_id": t.column("tr_id").slice(0, 1), "_b": t.column("_b").slice(0, 1)} | {c: pa.array([v], pa.list_(pa.float64())) for c, v in columns.items()})
+
+    def over(t: pa.Table) -> pa.Table:
+        t, at, known = t.sort_by("_b"), None, []
+        for choices, ends in ((list(zip(a, b, strict=True)), list(zip(c, d, strict=True))) for a, b, c, d in zip(*(t.column(c).to_pylist() for c in ("_clat", "_clon", "_elat", "_elon")), strict=True)):
+            known.append(at)
+            if choices:
+                at = ends[choices.index(walk([choices], at)[0])]
+        return pa.table({"tr_id": t.column("tr_id"), "_b": t.column("_b"), "_plat": pa.array([p and p[0] for p in known], pa.float64()), "_plon": pa.array([p and p[1] for p in known], pa.float64())})
+
+    def last(t: pa.Table) -> pa.Table:
+        lat, lon = t.column("_plat")[0].as_py(), t.column("_plon")[0].as_py()
+        places = steps(t)
+        got = walk(places, None if lat is None else (lat, lon))
+        ids = t.sort_by([("ts", "ascending"), ("point_id", "ascending")]).column("point_id")
+        return pa.table({"point_id": ids, "route_lat": pa.array([p and p[0] for p in got], pa.float64()), "route_lon": pa.array([p and p[1] for p in got], pa.float64()), "near": pa.array([len(p) for p in places], pa.int32())})
+
+    summary = ", ".join(f"{c} array<double>" for c in ("_clat", "_clon", "_elat", "_elon"))
+    return three_passes(
+        rows, "tr_id", "ts", width, first, summary, over, "_plat double, _plon double", last, "point_id long, route_lat double, route_lon double, near int"
+    )

@@ -8,9 +8,14 @@ out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.session import shared_dir
+
 #: Seconds of a bucket.
 DAY = 86_400
 
@@ -55,3 +60,31 @@ def sessions(df: DataFrame, key: str, at: str, ties: list[str], gap: float, widt
         *df.columns, F.coalesce("_gap", F.col(at) - F.col("_before_last")).alias("before"), (F.col("_sessions") + F.col("_opens") + F.col("_new")).alias("session"),
         (F.col("_count") + F.col("_n") - 1).alias("place"),
     )
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """A checkpoint in the cluster's shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)
+
+
+def three_passes(
+    df: DataFrame, key: str, at: str, width: int, first: Callable[[pa.Table], pa.Table], summary: str, over: Callable[[pa.Table], pa.Table], carry: str, last: Callable[[pa.Table], pa.Table], out: str
+) -> DataFrame:
+    """A fold along each key's time that windows can't express, with a busy key spread over tasks.
+
+    first turns a bucket's rows into one row of what the bucket does to whatever
+    comes in (_b and `summary`), over turns a key's summaries into what comes into
+    each bucket (_b and `carry`), and last goes over a bucket's rows again, which
+    have the columns of carry, to give `out`.  Tables are not ordered.  A task
+    holds the rows of one bucket, or one row for each bucket of a key.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(at) / width))
+    kind = df.schema[key].dataType.simpleString()
+    some = rows.groupBy(key, "_b").applyInArrow(first, f"{key} {kind}, _b long, {summary}")
+    known = some.groupBy(key).applyInArrow(over, f"{key} {kind}, _b long, {carry}")
+    known = known.withColumnsRenamed({key: "_k", "_b": "_kb"})
+    both = rows.join(known, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb"))).drop("_k", "_kb")
+    return both.groupBy(key, "_b").applyInArrow(last, out)

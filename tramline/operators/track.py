@@ -9,16 +9,15 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tramline.functions.geo import LAT_M, LON_M, planar_m
+from tramline.operators.scan import saved, three_passes
 
 SNAPPED = "tr_id long, ts double, lat double, lon double, raw_lat double, raw_lon double"
 
@@ -41,51 +40,93 @@ def longest_stop(track: DataFrame, window_s: float = 900.0, slow: float = 2.5, l
 
 
 def thin(ts: np.ndarray, apart: float = 10.0, most: int = 90) -> np.ndarray:
-    """Positions to keep: each at least `apart` after the last kept one, then every k-th so that `most` stay, first and last always."""
-    if not len(ts):
-        return np.zeros(0, np.int64)
+    """Positions to keep, `most` at most: each at least `apart` after the last kept one, then every k-th; the last fix
+    always, in place of the last of these where it isn't one of them."""
+    n = len(ts)
+    if n < 3:
+        return np.arange(n)
     kept, at = [0], 0
-    while (nxt := int(np.searchsorted(ts, ts[at] + apart))) < len(ts):
+    while (nxt := int(np.searchsorted(ts, ts[at] + apart))) < n - 1:
         kept.append(nxt)
         at = nxt
+    kept.append(n - 1)
     if len(kept) > most:
         kept = kept[:: -(-len(kept) // most)]
-    if kept[-1] != len(ts) - 1:
-        kept.append(len(ts) - 1)
+        kept[-1] = n - 1
     return np.array(kept)
 
 
-def decimate(track: DataFrame, apart: float = 10.0, most: int = 90) -> DataFrame:
+def _chains(ts: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray]:
+    """For a chain that begins at each fix: the last fix it keeps, and how many; by pointers that double."""
+    n = len(ts)
+    jump, end, count = np.append(np.searchsorted(ts, ts + apart), n), np.arange(n + 1), np.append(np.ones(n, np.int64), 0)
+    while (jump[:n] < n).any():
+        end = np.where(jump < n, end[jump], end)
+        count = count + count[jump]
+        jump = jump[jump]
+    return end[:n], count[:n]
+
+
+def decimate(track: DataFrame, apart: float = 10.0, most: int = 90, width: int = 86_400) -> DataFrame:
     """thin() of each vehicle's track, of any length.
 
-    Rows pass sorted by vehicle and time, and only the last kept time is held; how
-    many were kept is counted before every k-th of them is taken.
+    A vehicle's fixes are dealt to buckets of `width` seconds, more than apart.  In
+    each bucket pointers to the next kept fix say where every chain that may come
+    in ends; the buckets' chains are joined in order, and each bucket's kept fixes
+    numbered; every k-th of them stays.  Of fixes of one second the first by the
+    other columns counts.
     """
-    schema = StructType([*track.schema.fields, StructField("kept_", LongType()), StructField("row_", LongType())])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last, kept, row = object(), 0.0, 0, 0  # of the vehicle that goes on from the batch before
-        for b in batches:
-            who, ts = b.column("tr_id").to_pylist(), b.column("ts").to_numpy(zero_copy_only=False).astype(float)
-            marks, rows = np.full(len(ts), -1, np.int64), np.zeros(len(ts), np.int64)
-            edges = [0, *(i for i in range(1, len(who)) if who[i] != who[i - 1]), len(who)]
-            for start, end in zip(edges, edges[1:], strict=False):
-                if end == start:
-                    continue
-                part = ts[start:end]
-                if who[start] != key or row == 0:
-                    key, last, kept, row = who[start], part[0] - apart, 0, 0
-                rows[start:end] = np.arange(row, row + end - start)
-                row += end - start
-                while (at := int(np.searchsorted(part, last + apart))) < len(part):
-                    marks[start + at], last, kept = kept, part[at], kept + 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks), pa.array(rows)], names=[*b.schema.names, "kept_", "row_"])
-
-    order = ["tr_id", "ts", *(c for c in track.columns if c not in ("tr_id", "ts"))]  # so that ties have an order too
-    passed = track.repartition("tr_id").sortWithinPartitions(*order).mapInArrow(mark, schema)
-    totals = passed.groupBy(F.col("tr_id").alias("t_tr")).agg(F.greatest(F.lit(1), F.ceil((F.max("kept_") + 1) / most)).alias("step"), F.max("row_").alias("end"))
-    chosen = ((F.col("kept_") >= 0) & (F.col("kept_") % F.col("step") == 0)) | (F.col("row_") == F.col("end"))
-    return passed.join(totals, F.col("tr_id").eqNullSafe(F.col("t_tr"))).where(chosen).select(*track.columns)
+    others = [c for c in track.columns if c not in ("tr_id", "ts")]
+    width = max(width, int(4 * apart) + 1)
+
+    def times(t: pa.Table) -> np.ndarray:
+        return np.sort(t.column("ts").to_numpy().astype(float))
+
+    def first(t: pa.Table) -> pa.Table:
+        ts, b = times(t), t.column("_b")[0].as_py()
+        end, count = _chains(ts, apart)
+        entries = np.arange(min(len(ts), int(np.searchsorted(ts, b * width + apart)) + 1))  # no chain from before comes in later
+        return pa.table({
+            "tr_id": t.column("tr_id").slice(0, 1), "_b": t.column("_b").slice(0, 1), "_entry": pa.array([ts[entries]], pa.list_(pa.float64())), "_exit": pa.array([ts[end[entries]]], pa.list_(pa.float64())),
+            "_count": pa.array([count[entries]], pa.list_(pa.int64())),
+        })
+
+    def over(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_b")
+        entry, offset, last, done = [], [], None, 0
+        for starts, ends, counts in zip(*(t.column(c).to_pylist() for c in ("_entry", "_exit", "_count")), strict=True):
+            at = 0 if last is None else int(np.searchsorted(starts, last + apart))
+            entry.append(starts[at] if at < len(starts) else None)
+            offset.append(done)
+            if at < len(starts):
+                last, done = ends[at], done + counts[at]
+        return pa.table({"tr_id": t.column("tr_id"), "_b": t.column("_b"), "_from": pa.array(entry, pa.float64()), "_offset": pa.array(offset, pa.int64())})
+
+    schema = [*track.columns, "_kept", "_last"]
+
+    def last(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("ts", *others)])
+        ts, at = t.column("ts").to_numpy().astype(float), t.column("_from")[0].as_py()
+        kept = np.full(len(ts), -1, np.int64)
+        number, i = t.column("_offset")[0].as_py(), len(ts) if at is None else int(np.searchsorted(ts, at))
+        while i < len(ts):
+            kept[i], number, i = number, number + 1, int(np.searchsorted(ts, ts[i] + apart))
+        end = np.arange(len(ts)) == len(ts) - 1
+        keep = (kept >= 0) | end
+        return t.append_column("_kept", pa.array(kept)).append_column("_last", pa.array(end)).select(schema).filter(pa.array(keep))
+
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in track.schema.fields) + ", _kept long, _last boolean"
+    kept = saved(three_passes(track, "tr_id", "ts", width, first, "_entry array<double>, _exit array<double>, _count array<long>", over, "_from double, _offset long", last, out))
+    # Without the vehicle's very last fix, which stays in any case, the chain has `n` fixes.
+    totals = kept.where("_last").groupBy("tr_id").agg(F.max("ts").alias("t_end")).withColumnRenamed("tr_id", "t_tr")
+    counted = kept.join(totals, F.col("tr_id").eqNullSafe(F.col("t_tr")))
+    is_end = F.col("_last") & (F.col("ts") == F.col("t_end"))
+    sizes = counted.groupBy("t_tr").agg(F.max(F.when((F.col("_kept") >= 0) & ~is_end, F.col("_kept") + 1)).alias("n")).withColumnRenamed("t_tr", "n_tr")
+    chosen = counted.join(sizes, F.col("tr_id").eqNullSafe(F.col("n_tr")))
+    n = F.coalesce("n", F.lit(0))
+    step = F.greatest(F.lit(1), F.ceil((n + 1) / most))
+    replaced = (n % step != 0) & (F.col("_kept") == F.floor(n / step) * step)
+    return chosen.where(is_end | ((F.col("_kept") >= 0) & (F.col("_kept") % step == 0) & ~replaced)).select(*track.columns)
 
 
 class Roads:
@@ -274,10 +315,43 @@ def refined_delays(matched: DataFrame, snapped: DataFrame) -> DataFrame:
     return both.select("tr_id", "tt_action_item_id", "plan_s", F.coalesce("on_track", "est_delay_s").alias("est_delay_s"), origin.alias("origin"))
 
 
-def smoothed(values: DataFrame, key: str, order: str, value: str, low: float, high: float) -> DataFrame:
-    """An exponential mean with weight one half, clamped: what a moving marker shows."""
-    past = Window.partitionBy(key).orderBy(order)
-    folded = F.aggregate(
-        F.collect_list(value).over(past.rowsBetween(-30, 0)), F.lit(None).cast("double"), lambda acc, x: F.coalesce((acc + x) / 2, x.cast("double"))
-    )
-    return values.withColumn("smooth", F.least(F.greatest(folded, F.lit(low)), F.lit(high)))
+def smoothed(values: DataFrame, key: str, order: str, value: str, low: float, high: float, width: int = 86_400) -> DataFrame:
+    """Adds smooth, an exponential mean with weight one half over all values so far, clamped: what a moving marker shows.
+
+    A bucket of `width` turns the mean m that comes in after n values into
+    m / 2**n plus what its own values give; these maps are joined from bucket to
+    bucket.  Missing values leave the mean as it is.
+    """
+    kinds, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields), values.columns
+
+    def ordered(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        t = t.sort_by([(order, "ascending"), (value, "ascending")])
+        return t, t.column(value).cast(pa.float64()).to_numpy()  # nan where there is none
+
+    def first(t: pa.Table) -> pa.Table:
+        _, x = ordered(t)
+        x, m = x[~np.isnan(x)], 0.0
+        for v in x:
+            m = (m + v) / 2
+        return pa.table({key: t.column(key).slice(0, 1), "_b": t.column("_b").slice(0, 1), "_n": [len(x)], "_own": [float(m)], "_x": pa.array([float(x[0]) if len(x) else None], pa.float64())})
+
+    def over(t: pa.Table) -> pa.Table:
+        t, m, known, seen = t.sort_by("_b"), None, [], []
+        for n, own, x in zip(*(t.column(c).to_pylist() for c in ("_n", "_own", "_x")), strict=True):
+            seen.append(m is not None)
+            m = x if m is None else m  # the first value is the mean before it
+            known.append(m)
+            m = m if n == 0 else math.ldexp(m, -n) + own
+        return pa.table({key: t.column(key), "_b": t.column("_b"), "_in": pa.array(known, pa.float64()), "_seen": seen})
+
+    def last(t: pa.Table) -> pa.Table:
+        t, x = ordered(t)
+        m, seen, out = t.column("_in")[0].as_py(), t.column("_seen")[0].as_py(), []
+        for v in x.tolist():
+            if not math.isnan(v):
+                m, seen = (m + v) / 2, True
+            out.append(m if seen else None)
+        return t.select(names).append_column("smooth", pa.array(out, pa.float64()))
+
+    found = three_passes(values, key, order, width, first, "_n long, _own double, _x double", over, "_in double, _seen boolean", last, f"{kinds}, smooth double")
+    return found.withColumn("smooth", F.when(F.col("smooth").isNotNull(), F.least(F.greatest(F.col("smooth"), F.lit(low)), F.lit(high))))

@@ -72,14 +72,14 @@ def scaled_statics(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CARRY = f"""WITH RECURSIVE {fixtures.SQL}, {_NODES},
 spots AS (SELECT event_id, list({{'r': r, 'lat': lat, 'lon': lon}} ORDER BY r) AS near FROM (
   SELECT p.event_id, n.lat, n.lon, row_number() OVER (PARTITION BY p.event_id ORDER BY round({_FLAT}, 6), n.node_id) AS r FROM traffic p, nodes n WHERE {_FLAT} <= {P.route_snap}) WHERE r <= 8 GROUP BY 1),
-seq AS (SELECT f.event_id, tr_id, ts // 86400 AS day, row_number() OVER (PARTITION BY tr_id, ts // 86400 ORDER BY ts, f.event_id) AS rn, coalesce(near, []) AS near FROM traffic f LEFT JOIN spots s ON s.event_id = f.event_id),
+seq AS (SELECT f.event_id, tr_id, row_number() OVER (PARTITION BY tr_id ORDER BY ts, f.event_id) AS rn, coalesce(near, []) AS near FROM traffic f LEFT JOIN spots s ON s.event_id = f.event_id),
 walk AS (
-  SELECT event_id, tr_id, day, rn, len(near) AS near, near[1].lat AS route_lat, near[1].lon AS route_lon FROM seq WHERE rn = 1
+  SELECT event_id, tr_id, rn, len(near) AS near, near[1].lat AS route_lat, near[1].lon AS route_lon FROM seq WHERE rn = 1
   UNION ALL
-  SELECT event_id, tr_id, day, rn, len(near), CASE WHEN len(near) = 0 THEN plat ELSE best[1].lat END, CASE WHEN len(near) = 0 THEN plon ELSE best[1].lon END FROM (
-    SELECT s.event_id, s.tr_id, s.day, s.rn, s.near, w.route_lat AS plat, w.route_lon AS plon,
+  SELECT event_id, tr_id, rn, len(near), CASE WHEN len(near) = 0 THEN plat ELSE best[1].lat END, CASE WHEN len(near) = 0 THEN plon ELSE best[1].lon END FROM (
+    SELECT s.event_id, s.tr_id, s.rn, s.near, w.route_lat AS plat, w.route_lon AS plon,
       list_sort(list_transform(s.near, lambda c: {{'d': coalesce(round((c.lat - w.route_lat) * (c.lat - w.route_lat) + (c.lon - w.route_lon) * (c.lon - w.route_lon), 14), 0), 'r': c.r, 'lat': c.lat, 'lon': c.lon}})) AS best
-    FROM walk w JOIN seq s ON s.tr_id = w.tr_id AND s.day = w.day AND s.rn = w.rn + 1))
+    FROM walk w JOIN seq s ON s.tr_id = w.tr_id AND s.rn = w.rn + 1))
 SELECT event_id AS point_id, route_lat, route_lon, CAST(near AS INT) AS near FROM walk"""
 
 

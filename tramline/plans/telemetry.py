@@ -425,8 +425,10 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEPT = f"""WITH RECURSIVE {fixtures.SQL},
 f AS (SELECT tr_id, ts, lat, lon, row_number() OVER (PARTITION BY tr_id, ts ORDER BY lat, lon) AS first, row_number() OVER (PARTITION BY tr_id ORDER BY ts DESC, lat DESC, lon DESC) AS back FROM traffic WHERE location_valid),
 k AS (SELECT tr_id, min(ts) AS ts, 0 AS i FROM f GROUP BY 1 UNION ALL SELECT k.tr_id, min(f.ts), max(k.i) + 1 FROM k JOIN f ON f.tr_id = k.tr_id AND f.ts >= k.ts + 36000 GROUP BY 1),
-n AS (SELECT tr_id, greatest(1, ceil(count(*) / 30.0)) AS step FROM k GROUP BY 1)
-SELECT f.tr_id, f.ts, lat, lon FROM f JOIN n ON n.tr_id = f.tr_id LEFT JOIN k ON k.tr_id = f.tr_id AND k.ts = f.ts AND f.first = 1 WHERE back = 1 OR k.i % step = 0"""
+c AS (SELECT f.*, k.i FROM f LEFT JOIN k ON k.tr_id = f.tr_id AND k.ts = f.ts AND f.first = 1),
+n AS (SELECT tr_id, count(*) FILTER (i IS NOT NULL AND back > 1) AS n FROM c GROUP BY 1),
+s AS (SELECT tr_id, n, CAST(greatest(1, ceil((n + 1) / 30.0)) AS BIGINT) AS step FROM n)
+SELECT c.tr_id, ts, lat, lon FROM c JOIN s ON s.tr_id = c.tr_id WHERE back = 1 OR (i % step = 0 AND NOT (n % step <> 0 AND i = n // step * step))"""
 
 
 @query(_KEPT)
