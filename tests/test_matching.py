@@ -200,3 +200,25 @@ def test_segments_end_with_their_track(spark):
     got = sorted(tuple(x) for x in lattice.segments(spark.createDataFrame(rows, "tr_id long, ts long, lat double, lon double, starts boolean")).collect())
     assert [(x[0], x[1], x[4]) for x in got] == [(1, 10, 20), (1, 20, 90_000), (1, 90_000, 90_000), (1, 90_010, 90_010), (2, 5, 5)]
     assert track.passage_delays(spark.createDataFrame([], "tr_id long, ts long, lat double, lon double, n_ts long, n_lat double, n_lon double"), spark.createDataFrame([], "tr_id long, tt_action_item_id long, plan_s long, stop_lat double, stop_lon double")).collect() == []
+
+
+def test_queries_match_every_vehicle(spark):
+    """The stream that is stopped in between gives what the batch gives; every vehicle near the roads is matched, and delays come from its passages."""
+    from tramline.plans import roads as plans
+    from tramline.profile import FIXTURE as P
+    from tramline.sources import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    batch = sorted(map(tuple, plans.hmm_snap(spark, sf).collect()))
+    assert {x[0] for x in batch} == {r.tr_id for r in fixtures.traffic(spark, sf).where("location_valid").select("tr_id").distinct().collect()}
+    assert sorted(map(tuple, plans.hmm_stream(spark, sf).collect())) == batch
+    for _, _, lat, lon, raw_lat, raw_lon, *_ in batch:
+        assert math.hypot((lat - raw_lat) * LAT_M, (lon - raw_lon) * plans.MATCH.lon_m) <= plans.MATCH.radius
+    delays = plans.hmm_stop_delays(spark, sf).collect()
+    assert delays and all(abs(r.est_delay_s) <= P.match_window for r in delays)
+    plain = plans._base(spark, sf)[2].count()
+    assert plans.refined_features(spark, sf).count() == plain
+
+
+def test_corridor_of_a_vehicle_without_a_number(spark):
+    assert scan.sessions(spark.createDataFrame([], "tr_id long, ts long"), "tr_id", "ts", [], 5).collect() == []

@@ -20,7 +20,7 @@ def test_same_as_sql(spark, name):
     same(spark, SF, catalogue.QUERIES[name], catalogue.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["decimate_track", "route_polyline", "stuck_street", "stream_late_drop"])
+@pytest.mark.parametrize("name", ["decimate_track", "route_polyline", "hmm_snap", "subgraph_corridor", "stream_late_drop"])
 def test_gives_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 

@@ -330,17 +330,6 @@ def test_every_vehicle_has_its_corridor(spark):
     assert {(r.u, r.v) for r in nobody.collect()} == third
 
 
-def test_every_vehicle_is_matched(spark):
-    from tramline.plans import roads as plans
-
-    sf = "/root/testdata/sf0.01"  # 150 vehicles
-    want = {r.tr_id for r in fixtures.traffic(spark, sf).select("tr_id").distinct().collect()}
-    assert len(want) > 40
-    for name in ("hmm_snap", "stuck_street"):
-        assert {r.tr_id for r in getattr(plans, name)(spark, sf).select("tr_id").distinct().collect()} == want
-    assert plans.hmm_stop_delays(spark, sf).count() == plans._track(spark, sf).where("k % 20 = 10").count()
-
-
 def test_standing(spark):
     stood = track.longest_stop(spark.createDataFrame(moving(3, stuck=30), TRACK)).collect()
     assert len(stood) == 1 and stood[0].seconds >= 120

@@ -22,6 +22,12 @@ from tramline.operators.scan import saved, three_passes
 SNAPPED = "tr_id long, ts double, lat double, lon double, raw_lat double, raw_lon double"
 
 
+def _recent(track: DataFrame, window_s: float) -> DataFrame:
+    """Each vehicle's last window_s seconds; the end comes from an aggregation, as a window would gather whole histories."""
+    ends = track.groupBy(F.col("tr_id").alias("_e")).agg(F.max("ts").alias("_end"))
+    return track.join(ends, F.col("tr_id").eqNullSafe(F.col("_e"))).where(F.col("ts") >= F.col("_end") - window_s).drop("_e", "_end")
+
+
 def longest_stop(track: DataFrame, window_s: float = 900.0, slow: float = 2.5, least_s: float = 120.0, lat0: float = 55.75) -> DataFrame:
     """Each vehicle's longest run of slow steps in the last window_s seconds, the first of equals: tr_id, since, seconds, lat, lon (the run's middle fix).
 
@@ -29,7 +35,7 @@ def longest_stop(track: DataFrame, window_s: float = 900.0, slow: float = 2.5, l
     least_s give no row.
     """
     order = Window.partitionBy("tr_id").orderBy("ts")
-    recent = track.withColumn("_end", F.max("ts").over(Window.partitionBy("tr_id"))).where(F.col("ts") >= F.col("_end") - window_s)
+    recent = _recent(track, window_s)
     step = planar_m(F.col("lat"), F.col("lon"), F.lag("lat").over(order), F.lag("lon").over(order), F.lit(lat0)) / F.nullif(F.col("ts") - F.lag("ts").over(order), F.lit(0).cast("double"))
     s = recent.withColumn("low", F.coalesce(step < slow, F.lit(False)))
     s = s.withColumn("run", F.sum((~F.col("low")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -239,7 +245,7 @@ def snap(track: DataFrame, nodes: DataFrame, edges: DataFrame, window_s: float =
     Each vehicle gets the edges of the grid cells that its own fixes touch, by a
     cogrouped join, so a task holds one vehicle's few minutes and their corridor.
     """
-    recent = track.withColumn("_end", F.max("ts").over(Window.partitionBy("tr_id"))).where(F.col("ts") >= F.col("_end") - window_s).select("tr_id", F.col("ts").cast("double").alias("ts"), "lat", "lon")
+    recent = _recent(track, window_s).select("tr_id", F.col("ts").cast("double").alias("ts"), "lat", "lon")
     lat0 = 55.75
     lon_m = LON_M * math.cos(math.radians(lat0))
     size = 2 * pad_m

@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import clean, features, graph, matching, model, priors, track
+from tramline.operators import clean, features, graph, lattice, matching, model, priors, track
 from tramline.plans.registry import query
 from tramline.plans.telemetry import _base, _rounded, _sql
 from tramline.profile import FIXTURE as P
 from tramline.session import shared_dir
 from tramline.sources import fixtures, ndtp
-from tramline.streaming import positions
+from tramline.streaming import positions, snapping
 
 SIDE = 8
 _NODES = f"""
@@ -75,11 +75,11 @@ def route_vertices_8nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("point_id").agg(F.count("*").alias("n_near"), F.round(F.max("dist_m"), 3).alias("farthest_m"))
 
 
-@query(_sql(f"SELECT u, v, round(length_m, 3) AS length_m FROM edges WHERE u IN (SELECT node_id FROM close) AND v IN (SELECT node_id FROM close)", _NODES, _EDGES, f"close AS (SELECT DISTINCT n.node_id FROM traffic p, nodes n WHERE p.tr_id = 3 AND {_FLAT} <= 120)"))
+@query(_sql(f"SELECT u, v, round(length_m, 3) AS length_m FROM edges WHERE u IN (SELECT node_id FROM close) AND v IN (SELECT node_id FROM close)", _NODES, _EDGES, f"close AS (SELECT DISTINCT n.node_id FROM traffic p, nodes n WHERE {_FLAT} <= 12)"))
 def subgraph_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges between nodes that any fix comes within 12 metres of."""
     nodes, edges, _ = _grid(spark)
-    f = fixtures.traffic(spark, sf_dir).where("tr_id = 3")
-    return _rounded(graph.corridor(nodes, edges, f, 120.0, 55.75)[1], 3, "length_m")
+    return _rounded(graph.corridor(nodes, edges, fixtures.traffic(spark, sf_dir), 12.0, 55.75)[1], 3, "length_m")
 
 
 @query(_sql("SELECT a.tr_id, u, v, round(length_m, 3) AS length_m FROM edges JOIN close a ON a.node_id = u JOIN close b ON b.node_id = v AND b.tr_id IS NOT DISTINCT FROM a.tr_id", _NODES, _EDGES, f"close AS (SELECT DISTINCT p.tr_id, n.node_id FROM traffic p, nodes n WHERE {_FLAT} <= 120)"))
@@ -120,34 +120,65 @@ def route_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.polylines(known, nodes, pairs), 3, "dist_m")
 
 
+#: The rule of map matching, with the fixtures' times.
+MATCH = lattice.Rule(apart=1_200, gap=72_000, wait=3_600, wait_most=72_000)
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = _grid(spark)
+    return lattice.match_tracks(matching.valid_fixes(fixtures.traffic(spark, sf_dir)), nodes, edges, MATCH)
+
+
 @query()
 def hmm_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, _ = _grid(spark)
-    return track.snap(_track(spark, sf_dir), nodes, edges)
+    """Every vehicle's fixes on the roads, with the nodes passed between them."""
+    return _matched(spark, sf_dir)
 
 
-def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A drive east along the grid's rows, a fix every ten seconds, for each vehicle."""
-    jitter = ((F.xxhash64("tr_id", "k") % 9) * 1e-5).cast("double")
-    return fixtures.traffic(spark, sf_dir).select("tr_id").distinct().select("tr_id", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("k")).select(
-        "tr_id", (F.lit(1_704_067_200) + F.col("k") * 10).alias("ts"), (F.lit(55.745) + 0.0015 * (F.col("tr_id") % SIDE) + jitter).alias("lat"), (F.lit(37.594) + F.col("k") * 0.000175 + jitter).alias("lon"),
-    )
+@query()
+def hmm_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hmm_snap by a stream that is stopped in between; a fix of no vehicle, far later, lets the watermark pass all others."""
+    nodes, edges, _ = _grid(spark)
+    folder = f"{shared_dir(spark)}/snapping-{uuid.uuid4().hex}"
+    f = matching.valid_fixes(fixtures.traffic(spark, sf_dir)).select("tr_id", "ts", "lat", "lon")
+    cut = f.agg(F.percentile_approx("ts", 0.6)).first()[0] or 0
+    end = spark.sql("SELECT -1L AS tr_id, 4102444800L AS ts, 0D AS lat, 0D AS lon")
+    for part in (f.where(F.col("ts") <= cut), f.where(F.col("ts") > cut), end):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(f.schema).parquet(f"{folder}/in").withColumn("event_time", F.timestamp_seconds("ts"))
+        live = snapping.match_stream(stream, nodes, edges, MATCH, "1 hour")
+        live.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(live.schema).parquet(f"{folder}/out").where("settled").drop("settled", "seq")
 
 
 @query()
 def hmm_stop_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, _ = _grid(spark)
-    t = _track(spark, sf_dir)
-    stops = t.where("k % 20 = 10" if "k" in t.columns else "ts % 200 = 100").select("tr_id", F.xxhash64("tr_id", "ts").alias("tt_action_item_id"), (F.col("ts") - 30).alias("plan_s"), F.col("lat").alias("stop_lat"), F.col("lon").alias("stop_lon"))
-    return track.snapped_delays(track.snap(t, nodes, edges), stops)
+    """Delays of planned arrivals by passages along matched tracks."""
+    return track.passage_delays(lattice.segments(_matched(spark, sf_dir)), fixtures.schedule(spark, sf_dir), P.match_radius, float(P.match_window))
 
 
 @query()
+def refined_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations at each point, with passages along matched tracks before fixes nearby."""
+    f, s, p = _base(spark, sf_dir)
+    return features.deviation_features(p, f, s, P, lattice.segments(_matched(spark, sf_dir)))
+
+
+_STILL_S, _STILL_MPS = 900 * 120, 0.005
+_STUCK = f"""
+win AS (SELECT * FROM (SELECT tr_id, CAST(ts AS DOUBLE) AS ts, lat, lon, max(ts) OVER (PARTITION BY tr_id) AS last FROM traffic WHERE location_valid) WHERE ts >= last - {_STILL_S}),
+step AS (SELECT *, coalesce(sqrt(pow((lat - lag(lat) OVER w) * 111132.0::DOUBLE, 2) + pow((lon - lag(lon) OVER w) * 111320.0::DOUBLE * cos(radians(55.75::DOUBLE)), 2)) / nullif(ts - lag(ts) OVER w, 0) < {_STILL_MPS}, false) AS low FROM win WINDOW w AS (PARTITION BY tr_id ORDER BY ts)),
+run AS (SELECT *, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY tr_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM step),
+still AS (SELECT tr_id, run, min(ts) AS since, max(ts) - min(ts) AS seconds, list({{'lat': lat, 'lon': lon}} ORDER BY ts)[count(*) // 2 + 1] AS mid FROM run GROUP BY 1, 2 HAVING max(ts) - min(ts) >= 120),
+longest AS (SELECT *, mid.lat AS lat, mid.lon AS lon FROM still QUALIFY row_number() OVER (PARTITION BY tr_id ORDER BY seconds DESC, since) = 1),
+street AS (SELECT p.tr_id, arg_min(n.name, round({_FLAT}, 6) * 10000 + n.node_id / 10000.0::DOUBLE) AS name FROM longest p, named n WHERE {_FLAT} <= 150 GROUP BY 1)"""
+
+
+@query(_sql("SELECT l.tr_id, l.since, l.seconds, s.name FROM longest l LEFT JOIN street s ON s.tr_id = l.tr_id", _NODES, _STUCK))
 def stuck_street(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each vehicle stood longest of late, and the named street there."""
     nodes, _, ways = _grid(spark)
-    t = _track(spark, sf_dir)
-    stood = t.groupBy("tr_id").agg(F.max(F.struct("ts", "lat", "lon")).alias("x")).select("tr_id", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("k"), "x").select("tr_id", (F.col("x.ts") + F.col("k") * 10).alias("ts"), "x.lat", "x.lon")
-    still = track.longest_stop(t.unionByName(stood).withColumn("ts", F.col("ts").cast("double")))
+    still = track.longest_stop(matching.valid_fixes(fixtures.traffic(spark, sf_dir)).withColumn("ts", F.col("ts").cast("double")), window_s=float(_STILL_S), slow=_STILL_MPS)
     named = graph.named_nodes(ways).join(nodes, "node_id").withColumnRenamed("node_id", "place_id")
     street = matching.nearest(still.select(F.col("tr_id").alias("point_id"), "lat", "lon"), named, 55.75, 150.0).join(named.select("place_id", "name"), "place_id")
     return still.join(street.select(F.col("point_id").alias("tr_id"), "name"), "tr_id", "left").select("tr_id", "since", "seconds", "name")
