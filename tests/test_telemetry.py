@@ -450,6 +450,25 @@ def test_model_round_trip(spark, tmp_path):
     assert len(model.importance(fitted)) == 5
 
 
+def test_ordered_encodings_and_early_stop(spark):
+    """Codes come from earlier rows only, and trees stop where the rows held back gain nothing."""
+    import hashlib
+
+    r = random.Random(3)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), None if r.random() < 0.1 else float(r.randrange(100))) for i in range(400)]
+    got = {x.id: x.ot_c for x in priors.ordered_encode(spark.createDataFrame(rows, "id long, c string, y double"), "c", "y", "id", 5.0).collect()}
+    mean, sums = np.mean([y for *_, y in rows if y is not None]), {}
+    for i, c, y in sorted(rows, key=lambda x: hashlib.md5(str(x[0]).encode()).hexdigest()):
+        n, s = sums.get(c, (0, 0.0))
+        assert got[i] == pytest.approx((s + 5 * mean) / (n + 5))
+        if y is not None:
+            sums[c] = (n + 1, s + y)
+    noise = [(i, str(i), str(i), str(i), r.random(), r.random() * 100) for i in range(300)]
+    df = spark.createDataFrame(noise, "sample_id long, tr_id string, target_stop_id string, stop_key string, a double, y double")
+    stopped = model.fit(df, ["a"], "y", trees=25, depth=2, key="sample_id", validation=F.col("sample_id") % 3 == 0)
+    assert stopped.pipeline.stages[-1].getNumTrees < 25
+
+
 def test_live_sources(spark):
     import socket
     import threading

@@ -258,7 +258,7 @@ def ml_gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features.full_table(p, f, s, priors.build_priors(known, P), P).join(s.select(F.col("tt_action_item_id").cast("string").alias("target_stop_id"), F.col("dev_s").cast("double").alias("target_delay_s")), "target_stop_id")
     df = graph._saved(df)
     vehicle = F.col("tr_id").cast("long")
-    fitted = model.fit(df.where(vehicle % 3 != 0), _NUMBERS, "target_delay_s", trees=5, depth=4)
+    fitted = model.fit(df.where(vehicle % 3 != 0), _NUMBERS, "target_delay_s", trees=5, depth=4, key="sample_id", validation=vehicle % 9 == 1)
     return model.score(fitted, df.where(vehicle % 3 == 0), P).select("sample_id", "tr_id", "target_stop_id", "target_delay_s", "pred_s")
 
 

@@ -368,6 +368,11 @@ def target_encode_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(priors.target_encode(fixtures.schedule(spark, sf_dir), "tr_id", "dev_s", leave_one_out=True).select("tt_action_item_id", "te_tr_id"), 6, "te_tr_id")
 
 
+@query(_sql("SELECT tt_action_item_id, round((coalesce(sum(dev_s) OVER w, 0) + 20 * m) / (count(dev_s) OVER w + 20), 9) AS ot_tr_id FROM schedule, tm WINDOW w AS (PARTITION BY tr_id ORDER BY md5(CAST(tt_action_item_id AS VARCHAR)), tt_action_item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", _TE))
+def target_encode_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(priors.ordered_encode(fixtures.schedule(spark, sf_dir), "tr_id", "dev_s", "tt_action_item_id").select("tt_action_item_id", "ot_tr_id"), 9, "ot_tr_id")
+
+
 @query(_sql("SELECT i / 20.0::DOUBLE AS w, round(avg(abs(dev_s - (40.0::DOUBLE * (i / 20.0::DOUBLE) + (tt_action_item_id % 200) * (1 - i / 20.0::DOUBLE)))), 6) AS mae FROM schedule, range(21) r(i) GROUP BY i"))
 def blend_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.schedule(spark, sf_dir).select(F.col("dev_s").alias("y"), F.lit(40.0).alias("a"), (F.col("tt_action_item_id") % 200).alias("b"))
