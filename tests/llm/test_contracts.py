@@ -190,6 +190,43 @@ def test_op8_query(spark):
     assert auc > 0.9 and right > 0.85
 
 
+def test_op8_fit_against_plain_loops(spark, texts):
+    """The same pairs, their loss brought to its minimum step by step, the quantile and the scores."""
+    import pyarrow as pa
+
+    from tramline.llm import kernel, quality_model
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality IS NOT NULL")
+    fitted = quality_model.fit(docs, labels)
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    ids = sorted(i for i in y if i in texts)
+    x = dict(zip(ids, quality_model.features(*kernel.text_bytes(pa.array([texts[i] for i in ids]))), strict=True))
+    least = min(sum(y[i] for i in ids), sum(1 - y[i] for i in ids))
+    deals = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(max(1, least // 2))).alias(f"b{k}") for k in range(4)]
+    dealt = {r.doc_id: r for r in labels.select(F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", *deals).collect()}
+    pairs = np.array([x[a] - x[b] for k in range(4) for a in ids if y[a] == 1 for b in ids if y[b] == 0 and dealt[a][f"b{k}"] == dealt[b][f"b{k}"]])
+    spread = pairs.std(axis=0, ddof=1)
+    used = spread > 0
+
+    def loss(w):
+        return np.mean(np.log1p(np.exp(-np.clip(pairs @ w, -500, 500)))) + 0.5e-3 * np.sum((w * 1.0)[used] ** 2 * _scale[used])
+
+    # Weights are regularised as if every feature had the same spread over the turned pairs.
+    turned = np.concatenate([pairs, -pairs])
+    _scale = turned.std(axis=0) ** 2
+    w = np.array(fitted.weights)
+    gradient = -(pairs * (1 / (1 + np.exp(np.clip(pairs @ w, -500, 500))))[:, None]).mean(axis=0) + 1e-3 * w * _scale
+    assert np.abs(gradient[used] / np.sqrt(_scale[used])).max() < 0.02  # at its minimum, but for the last steps
+    r = np.random.default_rng(1)
+    assert all(loss(w) <= loss(w + r.normal(0, 0.3, len(w)) * used / np.sqrt(np.maximum(_scale, 1e-12))) for _ in range(20))
+    raw = np.array([x[i] @ w for i in ids])
+    cut = np.percentile(raw, 100 * np.mean([1 - y[i] for i in ids]))
+    assert fitted.cut_at == pytest.approx(cut, abs=1e-6)
+    got = {r.doc_id: r.score for r in fitted.score(docs).collect()}
+    assert all(got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(x[i] @ w - cut, -30, 30))), abs=1e-6) for i in ids)
+
+
 def test_op9_query(spark, texts):
     lib = bpe.vocabulary(str(public_tokenizers.path("byte_bpe_50k.json"))).library()
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op9_token_shards"](spark, SF).collect()}
