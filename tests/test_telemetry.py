@@ -266,11 +266,50 @@ def test_unfinished_paths_are_an_error(spark):
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "u long, v long, length_m double")
     start = spark.createDataFrame([(0,)], "source long")
     with pytest.raises(ValueError, match="3 rounds"):
-        graph.shortest_paths(chain, start, rounds=3)
-    got = {r.node: r.dist_m for r in graph.shortest_paths(chain, start, rounds=7).collect()}
+        graph.shortest_paths(chain, start, delta_m=1.0, rounds=3)
+    got = {r.node: r.dist_m for r in graph.shortest_paths(chain, start, delta_m=1.0, rounds=8).collect()}
     assert got == {i: float(i) for i in range(7)}
 
 
+@pytest.mark.parametrize("delta", [None, 3.0, 40.0])
+def test_paths_against_dijkstra(spark, delta):
+    """Random graphs with parallels, loops, ends that don't meet and lengths of all sizes, from several sources, with and without a limit."""
+    import heapq
+
+    r = random.Random(5)
+    edges = [(r.randrange(60), r.randrange(70), r.choice([0.0, 1.0, 2.5, r.uniform(0, 30)])) for _ in range(150)]
+    near: dict[int, list] = {}
+    for u, v, d in edges:
+        near.setdefault(u, []).append((v, d))
+        near.setdefault(v, []).append((u, d))
+
+    def dijkstra(start, limit):
+        best, queue = {}, [(0.0, start)]
+        while queue:
+            d, i = heapq.heappop(queue)
+            if i not in best:
+                best[i] = d
+                for j, m in near.get(i, ()):
+                    if d + m <= limit:
+                        heapq.heappush(queue, (d + m, j))
+        return best
+
+    df = spark.createDataFrame(edges, "u long, v long, length_m double")
+    starts = [0, 7, 33, 99]
+    sources = spark.createDataFrame([(s,) for s in [*starts, 7]] + [(None,)], "source long")
+    for limit in ([math.inf, 20.0] if delta is None else [25.0]):
+        rows = graph.shortest_paths(df, sources, limit, delta).collect()
+        assert len(rows) == len({(x.source, x.node) for x in rows})
+        for s in starts:
+            want = dijkstra(s, limit)
+            got = {x.node: x for x in rows if x.source == s}
+            assert {n: x.dist_m for n, x in got.items()} == pytest.approx(want)
+            for n, x in got.items():
+                assert (x.prev is None) == (n == s) or want[n] == 0.0
+                if x.prev is not None:
+                    assert any(j == n and want[x.prev] + m == pytest.approx(want[n]) for j, m in near[x.prev])
+
+
 def moving(seed=11, stuck=0):
     """A drive along the avenue at 9 m/s, a fix every eight seconds, then perhaps a stop at its end."""
     r = np.random.default_rng(seed)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import LAT_M, LON_M, haversine_m, planar_m
-from tramline.session import shared_dir
+from tramline.operators.scan import saved
 
 
 def way_nodes(elements: DataFrame) -> DataFrame:
@@ -75,40 +75,54 @@ def corridors(nodes: DataFrame, edges: DataFrame, track: DataFrame, pad_m: float
     return begun.join(close, ends, "left_semi").select(F.col("b_tr").alias("tr_id"), "u", "v", "length_m")
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+_saved = saved
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, every: int = 4, rounds: int = 10_000) -> DataFrame:
-    """Distance and predecessor of every node reachable from each source (column source), by frontier relaxation.
+def shortest_paths(edges: DataFrame, sources: DataFrame, limit_m: float = math.inf, delta_m: float | None = None, rounds: int = 100_000) -> DataFrame:
+    """Distance and predecessor of every node within limit_m of each source (column source), by delta-stepping.
 
-    Returns (source, node, dist_m, prev).  Only nodes that came closer in the
-    last round are expanded; of equal distances the smaller predecessor is kept.
-    Each round is one join on the node and one aggregation by (source, node),
-    cut every few rounds.  Raises an error if nodes are left to expand after
-    `rounds` rounds: what is known then need not be whole or final.
+    Returns (source, node, dist_m, prev); of equal distances the smaller
+    predecessor is kept.  Distances go in steps of delta_m (by default eight of the
+    longest edges).  Within a step the nodes that came closer are expanded until
+    none does; then all that lies in it is final and is written, once.  A way to a
+    node that is final comes from within the longest edge of it, so what is
+    expanded is compared with the last steps' nodes only: a round joins and
+    shuffles the rim of what is known, not the whole.  Edges u-v are walked both
+    ways; their lengths aren't negative.  Raises an error if nodes are left to
+    expand after `rounds` rounds: what is known then need not be whole or final.
     """
     both = edges.select("u", "v", "length_m").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m"))
-    both = _saved(both)
-    known = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist_m"), F.lit(None).cast("long").alias("prev"), F.lit(0).alias("round")).distinct()
-    for r in range(1, rounds + 1):
-        front = known.where(F.col("round") == r - 1)
-        step = front.join(both, front.node == both.u).select("source", F.col("v").alias("node"), (F.col("dist_m") + F.col("length_m")).alias("dist_m"), F.col("u").alias("prev"), F.lit(r).alias("round"))
-        best = known.unionByName(step).groupBy("source", "node").agg(F.min(F.struct("dist_m", "round", "prev")).alias("x"))
-        known = best.select("source", "node", "x.dist_m", "x.prev", "x.round")
-        if r % every == 0:
-            known = _saved(known)
-            if known.where(F.col("round") == r).isEmpty():
+    both = saved(both.where("u <> v").groupBy("u", "v").agg(F.min("length_m").alias("length_m")))
+    longest = both.agg(F.max("length_m")).first()[0] or 0.0
+    step = delta_m or max(8 * longest, 1e-6)
+    columns = ["source", "node", "dist_m", "prev"]
+    # open: reached and not final; changed: not expanded since it came closer.  rim: final and within reach of what comes.
+    open_ = saved(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist_m"), F.lit(None).cast("long").alias("prev"), F.lit(True).alias("changed")).where("source IS NOT NULL").distinct())
+    rim, done = open_.select(*columns).limit(0), []
+    for _ in range(rounds):
+        nearest = open_.agg(F.min("dist_m")).first()[0]
+        if nearest is None:
+            break
+        end = (math.floor(nearest / step) + 1) * step
+        while True:
+            front = open_.where(F.col("changed") & (F.col("dist_m") < end))
+            if front.isEmpty():
                 break
+            reached = front.join(both, front["node"] == both["u"]).select("source", F.col("v").alias("node"), (F.col("dist_m") + F.col("length_m")).alias("dist_m"), F.col("u").alias("prev")).where(F.col("dist_m") <= limit_m)
+            reached = reached.groupBy("source", "node").agg(F.min(F.struct("dist_m", "prev")).alias("x")).select("source", "node", "x.*")
+            reached = reached.join(rim.select("source", "node"), ["source", "node"], "left_anti").withColumn("changed", F.lit(True))
+            expanded = open_.withColumn("changed", F.col("changed") & (F.col("dist_m") >= end))
+            # Of a node that is known at the same distance nothing changes, and it isn't expanded again.
+            best = expanded.unionByName(reached).groupBy("source", "node").agg(F.min(F.struct("dist_m", "changed", "prev")).alias("x"), F.min(F.struct("dist_m", F.coalesce("prev", F.lit(-(2**63))).alias("p"))).alias("y"))
+            open_ = saved(best.select("source", "node", "x.dist_m", F.when(F.col("y.p") != -(2**63), F.col("y.p")).alias("prev"), "x.changed"))
+        final = open_.where(F.col("dist_m") < end).select(*columns)
+        done.append(final)
+        rim = saved(rim.unionByName(final).where(F.col("dist_m") >= end - longest - 1e-6))
+        open_ = saved(open_.where(F.col("dist_m") >= end))
     else:
-        known = _saved(known)
-        if not known.where(F.col("round") == rounds).isEmpty():
+        if not open_.isEmpty():
             raise ValueError(f"nodes are left to expand after {rounds} rounds; allow more")
-    return known.select("source", "node", "dist_m", "prev")
+    return reduce(DataFrame.unionByName, done) if done else open_.select(*columns)
 
 
 def polylines(paths: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:

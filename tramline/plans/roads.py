@@ -48,9 +48,20 @@ def _grid(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, graph.edges_of(ways, nodes), ways
 
 
-@query(_sql("SELECT u, v, round(length_m, 3) AS length_m FROM edges", _NODES, _EDGES))
+def _roads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the road document that grows with the orders."""
+    e = fixtures.road_elements(spark, sf_dir)
+    nodes = graph.nodes_of(e)
+    return nodes, graph.edges_of(graph.way_nodes(e), nodes)
+
+
+def _roads_sql(body: str, *ctes: str, limit: int = 0) -> str:
+    return "WITH RECURSIVE " + ",\n".join([fixtures.SQL, fixtures.ROADS.replace("{limit}", str(limit)), *ctes]) + body
+
+
+@query(_roads_sql(" SELECT u, v, round(length_m, 3) AS length_m FROM redge"))
 def graph_edges_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_grid(spark)[1], 3, "length_m")
+    return _rounded(_roads(spark, sf_dir)[1], 3, "length_m")
 
 
 @query(_sql(f"SELECT p.event_id AS point_id, arg_min(n.node_id, round({_FLAT}, 6) * 10000 + n.node_id / 10000.0::DOUBLE) AS place_id, round(min({_FLAT}), 3) AS dist_m FROM traffic p, nodes n WHERE {_FLAT} <= 300 GROUP BY 1", _NODES))
@@ -88,35 +99,26 @@ def subgraph_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.corridors(nodes, edges, fixtures.traffic(spark, sf_dir), 120.0, 55.75), 3, "length_m")
 
 
-@query(
-    "WITH RECURSIVE " + ",\n".join([_NODES.strip(), _EDGES])
-    + ", walk(node, dist_m) AS (SELECT 1000, 0.0::DOUBLE UNION ALL SELECT e.v, w.dist_m + e.length_m FROM walk w JOIN edges e ON e.u = w.node) SELECT CAST(1000 AS BIGINT) AS source, CAST(node AS BIGINT) AS node, round(min(dist_m), 3) AS dist_m FROM walk GROUP BY 2"
-)
+@query(_roads_sql(" SELECT source, node, round(d, 3) AS dist_m FROM dist", limit=700))
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, _ = _grid(spark)
-    return graph.shortest_paths(edges, spark.range(1000, 1001).withColumnRenamed("id", "source")).select("source", "node", F.round("dist_m", 3).alias("dist_m"))
-
-
-# The grid's shortest ways never turn back, so all walks towards the target are looked at.
-_WALKS = "WITH RECURSIVE " + _NODES.strip() + f""",
-pairs(source, target) AS (VALUES (1000, 1063), (1007, 1056), (1010, 1010), (1000, 5)),
-ends AS (SELECT p.*, a.i AS si, a.j AS sj, t.i AS ti, t.j AS tj FROM pairs p JOIN nodes a ON a.node_id = p.source JOIN nodes t ON t.node_id = p.target),
-walk AS (
-  SELECT source, target, ti, tj, si AS i, sj AS j, 0.0::DOUBLE AS dist_m, [source] AS path FROM ends
-  UNION ALL
-  SELECT w.source, w.target, ti, tj, b.i, b.j, dist_m + {_METRES}, list_append(path, b.node_id) FROM walk w JOIN nodes a ON a.i = w.i AND a.j = w.j
-  JOIN nodes b ON (b.i = w.i + sign(ti - w.i) AND b.j = w.j AND ti <> w.i) OR (b.i = w.i AND b.j = w.j + sign(tj - w.j) AND tj <> w.j)),
-best AS (SELECT source, target, min(dist_m) AS dist_m, arg_min(path, dist_m) AS path FROM walk WHERE i = ti AND j = tj GROUP BY 1, 2),
-lines AS (SELECT p.source, p.target, dist_m, CASE WHEN len(path) > 1 THEN path ELSE [p.source, p.target] END AS path FROM pairs p LEFT JOIN best b ON b.source = p.source AND b.target = p.target),
-placed AS (SELECT source, target, dist_m, unnest(path) AS node, generate_subscripts(path, 1) AS pos FROM lines)
-SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, round(dist_m, 3) AS dist_m, list([round(lon, 6), round(lat, 6)] ORDER BY pos) AS vertices, CAST(count(*) AS INT) AS n FROM placed JOIN nodes ON node_id = node GROUP BY 1, 2, 3"""
-
-
-@query(_WALKS)
+    """All nodes within 700 metres of the first stop of each vehicle."""
+    sources = fixtures.vehicle_ends(spark, sf_dir).select("source").distinct()
+    return graph.shortest_paths(_roads(spark, sf_dir)[1], sources, limit_m=700.0).select("source", "node", F.round("dist_m", 3).alias("dist_m"))
+
+
+_LINES = """
+pairs AS (SELECT DISTINCT source, target FROM ends),
+lines AS (SELECT p.source, p.target, d, CASE WHEN len(path) > 1 THEN path ELSE [p.source, p.target] END AS path FROM pairs p LEFT JOIN dist b ON b.source = p.source AND b.node = p.target),
+placed AS (SELECT source, target, d, unnest(path) AS node, generate_subscripts(path, 1) AS pos FROM lines)
+SELECT source, target, round(d, 3) AS dist_m, list([round(lon, 6), round(lat, 6)] ORDER BY pos) AS vertices, CAST(count(*) AS INT) AS n FROM placed JOIN rnode ON node_id = node GROUP BY 1, 2, 3"""
+
+
+@query(_roads_sql("", _LINES, limit=1000))
 def route_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, _ = _grid(spark)
-    pairs = spark.createDataFrame([(1000, 1063), (1007, 1056), (1010, 1010), (1000, 5)], "source long, target long")
-    known = graph.shortest_paths(edges, pairs.select("source"))
+    """The way from the first to the last stop of each vehicle, of a kilometre at most; straight lines for the others."""
+    nodes, edges = _roads(spark, sf_dir)
+    pairs = fixtures.vehicle_ends(spark, sf_dir).select("source", "target").distinct()
+    known = graph.shortest_paths(edges, pairs.select("source"), limit_m=1000.0)
     return _rounded(graph.polylines(known, nodes, pairs), 3, "dist_m")
 
 

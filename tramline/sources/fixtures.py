@@ -53,6 +53,51 @@ def points(traffic: DataFrame) -> DataFrame:
     )
 
 
+def road_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A road document that grows with the orders: a node per customer, a way per vehicle and day along its planned arrivals,
+    and named streets from each customer to the one forty on."""
+    o = table(spark, sf_dir, "orders")
+    c = o.select(F.col("o_custkey").alias("id")).distinct()
+    null = F.lit(None).cast("double")
+    nodes = c.select(
+        F.lit("node").alias("type"), "id", (F.lit(55.0) + F.lit(0.0015) * F.expr("id div 40") + ((F.col("id") * 7919) % 101 - 50) * F.lit(1e-6)).alias("lat"),
+        (F.lit(37.0) + F.lit(0.002) * (F.col("id") % 40) + ((F.col("id") * 104_729) % 103 - 51) * F.lit(1e-6)).alias("lon"), F.lit(None).cast("array<bigint>").alias("nodes"), F.lit(None).cast("map<string,string>").alias("tags"),
+    )
+    s = schedule(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("tt_action_item_id"), "o_custkey"), "tt_action_item_id")
+    day = F.floor(F.col("plan_s") / 86_400)
+    driven = s.groupBy((F.col("tr_id") * 100_000 + day).alias("id")).agg(F.array_sort(F.collect_list(F.struct("plan_s", "tt_action_item_id", "o_custkey"))).alias("stops"))  # a vehicle's day
+    driven = driven.select(F.lit("way").alias("type"), "id", null.alias("lat"), null.alias("lon"), F.transform("stops", lambda x: x["o_custkey"]).alias("nodes"), F.create_map(F.lit("highway"), F.lit("residential")).alias("tags"))
+    streets = c.select(
+        F.lit("way").alias("type"), (-F.col("id") - 1).alias("id"), null.alias("lat"), null.alias("lon"), F.array(F.col("id"), F.col("id") + 40).alias("nodes"),
+        F.create_map(F.lit("highway"), F.lit("primary"), F.lit("name"), F.concat(F.lit("street_"), (F.col("id") % 40).cast("string"))).alias("tags"),
+    )
+    return nodes.unionByName(driven).unionByName(streets)
+
+
+def vehicle_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of each vehicle's first and last planned arrival: tr_id, source, target."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tt_action_item_id"), "o_custkey")
+    s = schedule(spark, sf_dir).join(o, "tt_action_item_id")
+    at = F.struct("plan_s", "tt_action_item_id")
+    return s.groupBy("tr_id").agg(F.min_by("o_custkey", at).alias("source"), F.max_by("o_custkey", at).alias("target"))
+
+
+#: The road document's graph and the vehicles' ends for DuckDB, after SQL.
+ROADS = """
+cust AS (SELECT DISTINCT o_custkey AS id FROM orders),
+rnode AS (SELECT id AS node_id, 55.0::DOUBLE + 0.0015::DOUBLE * (id // 40) + ((id * 7919) % 101 - 50) * 1e-6::DOUBLE AS lat, 37.0::DOUBLE + 0.002::DOUBLE * (id % 40) + ((id * 104729) % 103 - 51) * 1e-6::DOUBLE AS lon FROM cust),
+stops AS (SELECT s.tr_id, s.plan_s, s.tt_action_item_id, o_custkey FROM schedule s JOIN orders ON o_orderkey = s.tt_action_item_id),
+hops AS (SELECT o_custkey AS a, lead(o_custkey) OVER (PARTITION BY tr_id, plan_s // 86400 ORDER BY plan_s, tt_action_item_id) AS b FROM stops UNION ALL SELECT c.id, d.id FROM cust c JOIN cust d ON d.id = c.id + 40),
+redge AS (SELECT u, v, 2 * 6371000.0::DOUBLE * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS length_m
+  FROM (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM hops WHERE a <> b) JOIN rnode a ON a.node_id = u JOIN rnode b ON b.node_id = v),
+rboth AS (SELECT u, v, length_m FROM redge UNION ALL SELECT v, u, length_m FROM redge),
+ends AS (SELECT DISTINCT tr_id, first_value(o_custkey) OVER w AS source, last_value(o_custkey) OVER w AS target FROM stops WINDOW w AS (PARTITION BY tr_id ORDER BY plan_s, tt_action_item_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+dist(source, node, d, path) USING KEY (source, node) AS (
+  SELECT source, source, 0.0::DOUBLE, [source] FROM (SELECT DISTINCT source FROM ends)
+  UNION
+  SELECT x.source, e.v, min(x.d + e.length_m), arg_min(list_append(x.path, e.v), x.d + e.length_m) FROM dist x JOIN rboth e ON e.u = x.node LEFT JOIN recurring.dist r ON r.source = x.source AND r.node = e.v
+  WHERE x.d + e.length_m <= {limit} AND (r.d IS NULL OR x.d + e.length_m < r.d) GROUP BY 1, 2)"""
+
 #: The same three relations for DuckDB, as common table expressions.
 SQL = """
 traffic AS (
