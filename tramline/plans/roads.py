@@ -108,9 +108,9 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINES = """
 pairs AS (SELECT DISTINCT source, target FROM ends),
-lines AS (SELECT p.source, p.target, d, CASE WHEN len(path) > 1 THEN path ELSE [p.source, p.target] END AS path FROM pairs p LEFT JOIN dist b ON b.source = p.source AND b.node = p.target),
-placed AS (SELECT source, target, d, unnest(path) AS node, generate_subscripts(path, 1) AS pos FROM lines)
-SELECT source, target, round(d, 3) AS dist_m, list([round(lon, 6), round(lat, 6)] ORDER BY pos) AS vertices, CAST(count(*) AS INT) AS n FROM placed JOIN rnode ON node_id = node GROUP BY 1, 2, 3"""
+lines AS (SELECT p.source, p.target, d, CASE WHEN len(path) > 1 THEN path ELSE [[round(a.lon, 6), round(a.lat, 6)], [round(z.lon, 6), round(z.lat, 6)]] END AS vertices
+  FROM pairs p JOIN rnode a ON a.node_id = p.source JOIN rnode z ON z.node_id = p.target LEFT JOIN dist b ON b.source = p.source AND b.node = p.target)
+SELECT source, target, round(d, 3) AS dist_m, vertices, CAST(len(vertices) AS INT) AS n FROM lines"""
 
 
 @query(_roads_sql("", _LINES, limit=1000))

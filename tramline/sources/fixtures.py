@@ -93,9 +93,9 @@ redge AS (SELECT u, v, 2 * 6371000.0::DOUBLE * asin(sqrt(least(1, pow(sin(radian
 rboth AS (SELECT u, v, length_m FROM redge UNION ALL SELECT v, u, length_m FROM redge),
 ends AS (SELECT DISTINCT tr_id, first_value(o_custkey) OVER w AS source, last_value(o_custkey) OVER w AS target FROM stops WINDOW w AS (PARTITION BY tr_id ORDER BY plan_s, tt_action_item_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 dist(source, node, d, path) USING KEY (source, node) AS (
-  SELECT source, source, 0.0::DOUBLE, [source] FROM (SELECT DISTINCT source FROM ends)
+  SELECT source, source, 0.0::DOUBLE, [[round(lon, 6), round(lat, 6)]] FROM (SELECT DISTINCT source FROM ends) JOIN rnode ON node_id = source
   UNION
-  SELECT x.source, e.v, min(x.d + e.length_m), arg_min(list_append(x.path, e.v), x.d + e.length_m) FROM dist x JOIN rboth e ON e.u = x.node LEFT JOIN recurring.dist r ON r.source = x.source AND r.node = e.v
+  SELECT x.source, e.v, min(x.d + e.length_m), arg_min(list_append(x.path, [round(n.lon, 6), round(n.lat, 6)]), x.d + e.length_m) FROM dist x JOIN rboth e ON e.u = x.node JOIN rnode n ON n.node_id = e.v LEFT JOIN recurring.dist r ON r.source = x.source AND r.node = e.v
   WHERE x.d + e.length_m <= {limit} AND (r.d IS NULL OR x.d + e.length_m < r.d) GROUP BY 1, 2)"""
 
 #: The same three relations for DuckDB, as common table expressions.
