@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import clean, features, graph, lattice, matching, model, priors, track
+from tramline.operators import clean, features, graph, lattice, matching, model, places, priors, track
 from tramline.plans.registry import query
 from tramline.plans.telemetry import _base, _rounded, _sql
 from tramline.profile import FIXTURE as P
@@ -86,6 +86,33 @@ def route_vertices_8nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("point_id").agg(F.count("*").alias("n_near"), F.round(F.max("dist_m"), 3).alias("farthest_m"))
 
 
+_TO_NODE = "sqrt(pow((p.lat - n.lat) * 111132.0::DOUBLE, 2) + pow((p.lon - n.lon) * 111320.0::DOUBLE * cos(radians(55.75::DOUBLE)), 2))"
+
+
+@query(_sql(f" SELECT p.event_id AS point_id, arg_min(n.node_id, {_TO_NODE}) AS shape_id, round(round(min({_TO_NODE}), 6), 3) AS dist_m FROM traffic p, (SELECT DISTINCT o_custkey AS node_id, 55.0::DOUBLE + 0.0015::DOUBLE * (o_custkey // 40) + ((o_custkey * 7919) % 101 - 50) * 1e-6::DOUBLE AS lat, 37.0::DOUBLE + 0.002::DOUBLE * (o_custkey % 40) + ((o_custkey * 104729) % 103 - 51) * 1e-6::DOUBLE AS lon FROM orders) n GROUP BY 1"))
+def nearest_node_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The road node nearest to each fix, however far."""
+    f = fixtures.traffic(spark, sf_dir).select(F.col("event_id").alias("point_id"), "lat", "lon")
+    nodes = graph.nodes_of(fixtures.road_elements(spark, sf_dir)).withColumnRenamed("node_id", "place_id")
+    return _rounded(places.nearest_shape(f, places.points_as_shapes(nodes), 55.75).select("point_id", "shape_id", "dist_m"), 3, "dist_m")
+
+
+_ALONG = """
+leg AS (SELECT tr_id, row_number() OVER w - 1 AS shape_id, stop_lat * 111132.0::DOUBLE AS y0, stop_lon * 111320.0::DOUBLE * cos(radians(55.75::DOUBLE)) AS x0, lead(stop_lat) OVER w * 111132.0::DOUBLE AS y1, lead(stop_lon) OVER w * 111320.0::DOUBLE * cos(radians(55.75::DOUBLE)) AS x1
+  FROM schedule WINDOW w AS (PARTITION BY tr_id ORDER BY plan_s, tt_action_item_id)),
+seen AS (SELECT event_id, tr_id, lat * 111132.0::DOUBLE AS y, lon * 111320.0::DOUBLE * cos(radians(55.75::DOUBLE)) AS x FROM traffic WHERE location_valid),
+shot AS (SELECT event_id, x, y, x0, y0, x1, y1, least(greatest(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / greatest(pow(x1 - x0, 2) + pow(y1 - y0, 2), 1e-9::DOUBLE), 0), 1) AS t FROM seen JOIN leg ON leg.tr_id = seen.tr_id WHERE x1 IS NOT NULL)"""
+
+
+@query(_sql("SELECT event_id AS point_id, round(round(min(sqrt(pow(x0 + t * (x1 - x0) - x, 2) + pow(y0 + t * (y1 - y0) - y, 2))), 6), 3) AS dist_m FROM shot GROUP BY 1 HAVING min(sqrt(pow(x0 + t * (x1 - x0) - x, 2) + pow(y0 + t * (y1 - y0) - y, 2))) <= 600", _ALONG))
+def route_line_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each fix is from the line through its vehicle's own stops, within 600 metres."""
+    f = matching.valid_fixes(fixtures.traffic(spark, sf_dir)).select(F.col("event_id").alias("point_id"), "tr_id", "lat", "lon")
+    stops = fixtures.schedule(spark, sf_dir).select("tr_id", "plan_s", "tt_action_item_id", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+    route = places.lines(stops, "tr_id", ["plan_s", "tt_action_item_id"])
+    return _rounded(places.nearest_shape(f, route, 55.75, "tr_id", 600.0).select("point_id", "dist_m"), 3, "dist_m")
+
+
 @query(_sql(f"SELECT u, v, round(length_m, 3) AS length_m FROM edges WHERE u IN (SELECT node_id FROM close) AND v IN (SELECT node_id FROM close)", _NODES, _EDGES, f"close AS (SELECT DISTINCT n.node_id FROM traffic p, nodes n WHERE {_FLAT} <= 12)"))
 def subgraph_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges between nodes that any fix comes within 12 metres of."""
