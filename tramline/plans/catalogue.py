@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tramline.plans import roads, service, telemetry  # noqa: F401
+from tramline.plans import roads, roundtrips, service, telemetry  # noqa: F401
 from tramline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -81,12 +81,22 @@ def newest(spark: SparkSession, folder: str, pattern: str = "roads_*.json") -> s
     return files.agg(F.max(F.struct("modificationTime", "path"))["path"]).first()[0]
 
 
-def read_roads(spark: SparkSession, *paths: str) -> DataFrame:
-    """Elements (nodes and ways) of road documents; an element that several documents have is kept once."""
-    docs = spark.read.schema(f"elements array<struct<{schemas.ELEMENTS.replace(' string', ':string').replace(' long', ':long').replace(' double', ':double').replace('nodes array', 'nodes:array').replace('tags map', 'tags:map')}>>").json(list(paths), multiLine=True)
+def read_roads(spark: SparkSession, *paths: str, by_line: bool = False) -> DataFrame:
+    """Elements (nodes and ways) of road documents; an element that several documents have is kept once.
+
+    A document is a file, or with by_line a line, so that a large file is read by many tasks.
+    """
+    docs = spark.read.schema(f"elements array<struct<{schemas.ELEMENTS.replace(' string', ':string').replace(' long', ':long').replace(' double', ':double').replace('nodes array', 'nodes:array').replace('tags map', 'tags:map')}>>").json(list(paths), multiLine=not by_line)
     return docs.select(F.explode("elements").alias("e")).select("e.*").dropDuplicates(["type", "id"])
 
 
+def write_roads(elements: DataFrame, path: str, most: int = 1000) -> None:
+    """Road documents of at most about `most` elements, one to a line."""
+    part = F.pmod(F.xxhash64("type", "id"), F.lit(max(1, -(-elements.count() // most))))
+    docs = elements.groupBy(part.alias("part")).agg(F.collect_list(F.struct(*elements.columns)).alias("elements"))
+    docs.select(F.to_json(F.struct("elements")).alias("value")).write.mode("overwrite").text(path)
+
+
 #: The classes of roads that vehicles use.
 HIGHWAYS = r"^(motorway|trunk|primary|secondary|tertiary|unclassified|residential|living_street|service)(_link)?$"
 
@@ -103,6 +113,13 @@ def read_routes(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.col("f.properties.tr_id").alias("tr_id"), F.posexplode("f.geometry.coordinates").alias("pos", "c")).select("tr_id", "pos", F.get("c", F.lit(1)).alias("lat"), F.get("c", F.lit(0)).alias("lon"))
 
 
+def read_route_lines(spark: SparkSession, path: str) -> DataFrame:
+    """read_routes() of files with a feature to a line, as write_routes() leaves them."""
+    schema = "geometry struct<type:string,coordinates:array<array<double>>>, properties struct<tr_id:long>"
+    f = spark.read.schema(schema).json(path).where("geometry.type = 'LineString' AND size(geometry.coordinates) >= 2")
+    return f.select(F.col("properties.tr_id").alias("tr_id"), F.posexplode("geometry.coordinates").alias("pos", "c")).select("tr_id", "pos", F.get("c", F.lit(1)).alias("lat"), F.get("c", F.lit(0)).alias("lon"))
+
+
 def write_routes(routes: DataFrame, path: str) -> None:
     """One GeoJSON feature a line."""
     routes.select("feature").write.mode("overwrite").text(path)
