@@ -17,7 +17,7 @@ from tramline.sources import fixtures, ndtp
 from tramline.sources.live import TcpPositions
 from tramline.streaming.history import histories, keyed_state
 from tramline.streaming.online import Counts, Ticks
-from tramline.streaming.positions import publish
+from tramline.streaming.positions import publish, vehicle_state
 
 SF = "/root/testdata/sf0.001"
 
@@ -145,3 +145,88 @@ def test_frames_sent_over_tcp(spark):
     sent = [r for data in got for r in ndtp.records(ndtp.split_stream(data)[0])]
     want = ndtp.decode(ndtp.frames_of(f)).collect()
     assert sorted(sent) == sorted(map(tuple, want)) and len(want) > 0
+
+
+def test_relays_are_read_again_after_a_failure(spark, tmp_path):
+    """Two relays that send a part at each connection, cut within frames; a run fails between reading and commit, and nothing is lost or doubled."""
+    frames = [bytes(r.frame) for r in ndtp.frames_of(fixtures.traffic(spark, SF).where("tr_id < 6")).select("frame").collect()]
+    halves = [b"".join(frames[::2]), b"".join(frames[1::2])]
+
+    def relay(data):
+        server = socket.create_server(("127.0.0.1", 0))
+        parts = [data[i : i + len(data) // 3 + 1] for i in range(0, len(data), len(data) // 3 + 1)]
+
+        def serve():
+            for part in parts:
+                peer = server.accept()[0]
+                peer.sendall(part)
+                peer.close()
+            server.close()
+
+        threading.Thread(target=serve, daemon=True).start()
+        return f"127.0.0.1:{server.getsockname()[1]}"
+
+    at = [relay(h) for h in halves]
+    spark.dataSource.register(TcpPositions)
+    got, failed = {}, []
+
+    def sink(batch, number):
+        got[number] = sorted(map(tuple, batch.collect()))
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("lost between reading and commit")
+
+    def run(until):
+        stream = spark.readStream.format("ndtp-tcp").options(endpoints=",".join(at), log=f"file://{tmp_path}/log", wait=2).load()
+        q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="0 seconds").start()
+        for _ in range(300):
+            if not q.isActive or until():
+                break
+            threading.Event().wait(0.2)
+        q.stop()
+
+    run(lambda: False)
+    assert failed
+    first = got[1]
+    total = len(frames)
+    run(lambda: sum(map(len, got.values())) >= total and max(got) > 2)
+    assert got[1] == first  # the batch that failed came again as it was
+    want = sorted(map(tuple, ndtp.decode(fixtures_frames(spark, frames)).collect()))
+    assert sorted(x for rows in got.values() for x in rows) == want and len(want) == total
+
+
+def fixtures_frames(spark, frames):
+    return spark.createDataFrame([(bytearray(f),) for f in frames], "frame binary")
+
+
+def test_vehicle_state_expires(spark, tmp_path):
+    """A vehicle whose time ran out at a batch without it starts anew; one that comes with the batch that passes its time goes on."""
+    schema = "tr_id long, ts long, lat double, lon double, location_valid boolean"
+    seen = []
+    files = [[(1, t, 1.0, 1.0, True) for t in (10, 20, 30)], [(2, 100_000, 1.0, 1.0, True)], [(2, 200_000, 1.0, 1.0, True)], [(1, 200_001, 1.0, 1.0, True), (2, 200_002, 1.0, 1.0, True)]]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withColumn("event_time", F.timestamp_seconds("ts"))
+        state = vehicle_state(stream, "10 seconds", 3600)
+        q = state.writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert [(x[0], x[1], x[4]) for x in sorted(seen, key=lambda x: (x[1], x[0]))] == [(1, 30, 3), (2, 100_000, 1), (2, 200_000, 2), (1, 200_001, 1), (2, 200_002, 3)]
+
+
+def test_ticks_with_a_loaded_model(spark, tmp_path):
+    """A model that was saved and loaded scores the tick's features as it scores a batch's."""
+    from tramline.operators import app, features, model
+
+    f = fixtures.traffic(spark, SF)
+    s = fixtures.schedule(spark, SF).withColumns({c: F.col(c) + 172_800 for c in ("plan_s", "fact_s")})
+    p = priors.build_priors(s, P)
+    now = f.agg(F.max("ts")).first()[0]
+    points = app.active_vehicles(f, now, P).select(F.col("tr_id").alias("sample_id"), "tr_id", F.lit(now).cast("long").alias("t"), F.lit(None).cast("double").alias("cur_dev_s"))
+    keep = P.windows[-1] + P.match_window
+    table = features.full_table(points, f.where(F.col("ts") > now - keep), s, p, P).withColumn("y", F.col("horizon_s") / 60.0).cache()
+    model.save(model.fit(table, ["horizon_s", "hour", "stop_lat"], "y", trees=3, depth=2), f"{tmp_path}/model")
+    loaded = model.load(spark, f"{tmp_path}/model")
+    want = {r.tr_id: r.pred_s for r in app.snapshot(model.score(loaded, table, P).withColumns({c: F.col(c).cast("long") for c in ("tr_id", "target_stop_id", "stops_left_in_trip")}), F.col("pred_s"), P).collect()}
+    ticks = Ticks(s, p, P, lambda t: model.score(loaded, t, P), keep, f"{tmp_path}/ticks")
+    ticks(f.select(*ticks.columns), 0)
+    assert want and {r.tr_id: r.pred_s for r in ticks.published(0).collect()} == want

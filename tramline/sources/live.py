@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import socket
+import time
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyarrow import fs as pafs
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from tramline.schemas import ELEMENTS, NAV
@@ -19,8 +21,10 @@ class TcpPositions(DataSource):
     """spark.readStream.format("ndtp-tcp") with host and port: what a relay sends, frame by frame.
 
     df.write.format("ndtp-tcp").mode("append") sends the column frame to such a
-    place, each task over a connection of its own.  A socket can't be read again, so delivery is at most once, as in the
-    protocol itself; for replayable input let the relay write files.
+    place, each task over a connection of its own.  With log, a folder that all
+    executors share, and endpoints (host:port, comma-joined) the relays are read on
+    executors, a task each, and what was read can be read again (_LoggedReader).
+    Without, the driver reads one relay and delivery is at most once.
     """
 
     @classmethod
@@ -30,6 +34,9 @@ class TcpPositions(DataSource):
     def schema(self) -> str:
         return NAV
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return _LoggedReader(self.options) if "log" in self.options else super().streamReader(schema)
+
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:  # noqa: N802
         return _TcpReader(self.options)
 
@@ -70,7 +77,11 @@ class _TcpReader(SimpleDataSourceStreamReader):
             self.socket.settimeout(0.2)
         data = b""
         try:
-            while len(data) < self.most and (got := self.socket.recv(1 << 16)):
+            while len(data) < self.most:
+                if not (got := self.socket.recv(1 << 16)):  # the relay has closed; the next read connects again
+                    self.socket.close()
+                    self.socket = None
+                    break
                 data += got
         except TimeoutError:
             pass
@@ -84,6 +95,93 @@ class _TcpReader(SimpleDataSourceStreamReader):
         pass
 
 
+class _Piece(InputPartition):
+    """What one relay sends for one batch."""
+
+    def __init__(self, endpoint: str, batch: int) -> None:
+        self.endpoint, self.batch = endpoint, batch
+
+
+class _LoggedReader(DataSourceStreamReader):
+    """Batches of what relays send, each written to the log before its rows are given out.
+
+    An offset is the number of the last batch.  A task takes one relay's batch
+    from the log if it is there, else it connects, receives for `wait` seconds or
+    maxBytes and writes what came, with the incomplete frame that the batch before
+    left.  So a batch that runs again after a failure, a restart or on another
+    executor gives the same rows.  A relay that is away gives nothing and is tried
+    again with the next batch.  What a task had received but not written when it
+    was lost is lost, unless the relay sends it again: the protocol has no acknowledgement.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.endpoints = [e.strip() for e in (options.get("endpoints") or f"{options.get('host')}:{options.get('port')}").split(",")]
+        self.log, self.wait, self.most = options["log"].rstrip("/"), float(options.get("wait", 1)), int(options.get("maxBytes", 4 << 20))
+
+    def _at(self, endpoint: str, name: str) -> tuple[pafs.FileSystem, str]:
+        store, root = pafs.FileSystem.from_uri(self.log) if ":" in self.log else (pafs.LocalFileSystem(), self.log)
+        return store, f"{root}/{endpoint.replace(':', '_')}/{name}"
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"batch": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        """One batch more than the log has."""
+        last = 0
+        for e in self.endpoints:
+            store, folder = self._at(e, "")
+            found = store.get_file_info(pafs.FileSelector(folder.rstrip("/"), allow_not_found=True))
+            last = max([last, *(int(f.base_name) for f in found if f.base_name.isdigit())])
+        return {"batch": last + 1}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Piece(e, b) for b in range(start["batch"] + 1, end["batch"] + 1) for e in self.endpoints]
+
+    def _load(self, endpoint: str, name: str) -> bytes | None:
+        store, path = self._at(endpoint, name)
+        if store.get_file_info(path).type == pafs.FileType.NotFound:
+            return None
+        with store.open_input_stream(path) as f:
+            return f.read()
+
+    def _save(self, endpoint: str, name: str, data: bytes) -> None:
+        store, path = self._at(endpoint, name)
+        store.create_dir(path.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(f"{path}.tmp") as f:
+            f.write(data)
+        store.move(f"{path}.tmp", path)
+
+    def _receive(self, endpoint: str) -> bytes:
+        host, _, port = endpoint.rpartition(":")
+        data, until = b"", time.monotonic() + self.wait
+        try:
+            with socket.create_connection((host, int(port)), timeout=self.wait) as peer:
+                while len(data) < self.most and (left := until - time.monotonic()) > 0:
+                    peer.settimeout(left)
+                    if not (got := peer.recv(1 << 16)):
+                        break
+                    data += got
+        except OSError:  # away, or silent for the rest of the time
+            pass
+        return data
+
+    def read(self, partition: _Piece) -> Iterator[tuple]:
+        name = f"{partition.batch:010d}"
+        data = self._load(partition.endpoint, name)
+        if data is None:
+            before = self._load(partition.endpoint, f"{partition.batch - 1:010d}.rest") or b""
+            data = before + self._receive(partition.endpoint)
+            self._save(partition.endpoint, f"{name}.rest", ndtp.split_stream(data)[1])
+            self._save(partition.endpoint, name, data)  # from here on the batch is what it is
+        return iter(ndtp.records(ndtp.split_stream(data)[0]))
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def stop(self) -> None:
+        pass
+
+
 class _Box(InputPartition):
     def __init__(self, box: tuple[float, float, float, float]) -> None:
         self.box = box
