@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.geo import local_xy, planar_m
 from tramline.functions.scalars import calendar
-from tramline.operators.matching import FIX, before_bucket, match_pairs, target_stop, valid_fixes, with_origin
+from tramline.operators.matching import FIX, before_bucket, match_pairs, same_bucket, target_stop, valid_fixes, with_origin
 from tramline.operators.priors import attach_priors
 from tramline.operators.track import passages
 from tramline.operators.trips import with_trips
@@ -46,7 +46,7 @@ def window_features(points: DataFrame, traffic: DataFrame, origin: DataFrame, p:
     nothing = [null("double").alias(c) for c in ("speed", "x", "y", "path")]
     bad = seen.where("ok = 0").select("tr_id", "bucket", "k", F.lit(0).alias("kind"), null("long").alias("sample_id"), *nothing, "fix", "ok")
     asked = points.select("tr_id", bucket("t").alias("bucket"), F.col("t").alias("k"), F.lit(1).alias("kind"), "sample_id", *nothing, null(FIX).alias("fix"), null("int").alias("ok"))
-    both = track.unionByName(bad).unionByName(asked)
+    both = track.unionByName(bad).unionByName(asked).repartition("tr_id", "bucket")  # once, for the windows and for what the buckets say
     by_time = Window.partitionBy("tr_id", "bucket").orderBy("k")
     so_far = by_time.rangeBetween(Window.unboundedPreceding, 0)
     last = F.last("fix", ignorenulls=True).over(Window.partitionBy("tr_id", "bucket").orderBy("k", "kind", "fix.lat", "fix.lon").rowsBetween(Window.unboundedPreceding, 0))
@@ -64,7 +64,9 @@ def window_features(points: DataFrame, traffic: DataFrame, origin: DataFrame, p:
             f"_a_{name}": F.min_by(F.struct("x", "y"), "path").over(f),
             f"_b_{name}": F.max_by(F.struct("x", "y"), "path").over(f),
         }
-    out = both.withColumns(cols).where("kind = 1").join(before_bucket(seen, asked, {"n": F.count("*"), "ok": F.sum("ok")}), ["tr_id", "bucket"])
+    own = F.when(F.col("ok") == 1, F.col("fix"))  # a fix in its own bucket, not its copy in the next
+    before = before_bucket(both, own, {"n": F.count("ok"), "ok": F.coalesce(F.sum("ok"), F.lit(0))})
+    out = both.withColumns(cols).where("kind = 1").join(before, same_bucket())
     rate = (F.col("before_ok") + F.col("ok_here")) / F.nullif(F.col("before_n") + F.col("n_here"), F.lit(0))
     out = out.withColumns({"fix": F.coalesce("fix", "before_fix"), "valid_rate_all": rate})
     more = {}
@@ -73,7 +75,7 @@ def window_features(points: DataFrame, traffic: DataFrame, origin: DataFrame, p:
         more[f"disp_m_{name}"] = F.when(F.col(f"npts_{name}") > 1, F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
         more[f"avg_v_{name}"] = F.col(f"travel_m_{name}") / w
     out = out.withColumns(more | {"age_last_s": (F.col("k") - F.col("fix.ts")).cast("double"), "speed_last": F.col("fix.speed")})
-    inner = ("n_here", "ok_here", "before_fix", "before_n", "before_ok")
+    inner = ("n_here", "ok_here", "before_fix", "before_n", "before_ok", "b_tr", "b_bucket")
     return out.drop("kind", "speed", "x", "y", "path", "ok", "k", "tr_id", "bucket", *inner, *(f"_{e}_{n}" for e in "ab" for n in p.window_names))
 
 

@@ -79,22 +79,25 @@ def match_stops(traffic: DataFrame, schedule: DataFrame, p: Profile) -> DataFram
 FIX = "struct<ts:bigint,lat:double,lon:double,speed:double>"
 
 
-def before_bucket(fixes: DataFrame, points: DataFrame, sums: dict[str, Column]) -> DataFrame:
+def before_bucket(rows: DataFrame, fix: Column, sums: dict[str, Column]) -> DataFrame:
     """What is known of each vehicle before each of its buckets: before_fix, its last fix, and the sums over earlier buckets.
 
-    fixes have tr_id, bucket, fix (null if invalid) and what sums need, points
-    tr_id and bucket.  Fixes are aggregated by bucket first, so the window over a
-    vehicle has a row per bucket, however many fixes there are.
+    rows have tr_id, bucket, what fix (null where a row is none) and the sums need,
+    and are dealt by (tr_id, bucket) already, so they are aggregated where they
+    are; the window over a vehicle has a row per bucket, however many fixes there are.
     """
-    some = fixes.groupBy("tr_id", "bucket").agg(F.max("fix").alias("fix"), *(c.alias(n) for n, c in sums.items()))
-    asked = points.select("tr_id", "bucket").distinct().select("tr_id", "bucket", F.lit(None).cast(FIX).alias("fix"), *(F.lit(0).alias(n) for n in sums))
-    each = some.unionByName(asked).groupBy("tr_id", "bucket").agg(F.max("fix").alias("fix"), *(F.sum(n).alias(n) for n in sums))
+    each = rows.groupBy("tr_id", "bucket").agg(F.max(fix).alias("fix"), *(c.alias(n) for n, c in sums.items()))
     earlier = Window.partitionBy("tr_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return each.select(
-        "tr_id", "bucket", F.last("fix", ignorenulls=True).over(earlier).alias("before_fix"), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"before_{n}") for n in sums)
+        F.col("tr_id").alias("b_tr"), F.col("bucket").alias("b_bucket"), F.last("fix", ignorenulls=True).over(earlier).alias("before_fix"),
+        *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"before_{n}") for n in sums),
     )
 
 
+def same_bucket() -> Column:
+    return F.col("tr_id").eqNullSafe(F.col("b_tr")) & (F.col("bucket") == F.col("b_bucket"))
+
+
 def last_fix(points: DataFrame, traffic: DataFrame, width: int = 86_400) -> DataFrame:
     """The last valid fix at or before each point: sample_id, t and the fix as a struct, null if there is none.
 
@@ -105,9 +108,10 @@ def last_fix(points: DataFrame, traffic: DataFrame, width: int = 86_400) -> Data
     fixes = valid_fixes(traffic).select("tr_id", F.col("ts").alias("k"), bucket("ts"), F.struct("ts", "lat", "lon", "speed").alias("fix"))
     asks = points.select("tr_id", F.col("t").alias("k"), bucket("t"), "sample_id")
     both = asks.withColumns({"kind": F.lit(1), "fix": F.lit(None).cast(FIX)}).unionByName(fixes.withColumns({"kind": F.lit(0), "sample_id": F.lit(None).cast("long")}))
+    both = both.repartition("tr_id", "bucket")  # once, for the windows and for what the buckets say
     past = Window.partitionBy("tr_id", "bucket").orderBy("k", "kind", "fix.lat", "fix.lon").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("fix", F.last("fix", ignorenulls=True).over(past)).where("kind = 1")
-    return found.join(before_bucket(fixes, asks, {}), ["tr_id", "bucket"]).select("sample_id", "tr_id", F.col("k").alias("t"), F.coalesce("fix", "before_fix").alias("fix"))
+    return found.join(before_bucket(both, F.col("fix"), {}), same_bucket()).select("sample_id", "tr_id", F.col("k").alias("t"), F.coalesce("fix", "before_fix").alias("fix"))
 
 
 def nearest(points: DataFrame, places: DataFrame, lat0: float, cutoff: float, k: int = 1) -> DataFrame:
