@@ -90,7 +90,7 @@ def judged(
     are replaced, other names are free.  An empty table gives an empty one.
     """
     results = ("m_words", "m_word_chars", "m_symbols", "m_dup_lines", "m_repeat_words", "base_failed", "removed_words", "clean_text", "kept")
-    rows, columns = packed(documents, results, q_id=id_col, q_t=text_col, q_host=host_col)
+    rows, columns = packed(documents, results, shared=True, q_id=id_col, q_t=text_col, q_host=host_col)
     rows = rows.withColumn("q_text", F.xxhash64(F.coalesce(F.col("q_t"), F.lit(""))))
     lines = rows.select(
         "q_id", "q_host", "q_text", F.posexplode(F.filter(F.split(F.coalesce(F.col("q_t"), F.lit("")), "\n", -1), lambda x: x.rlike(_WORD))).alias("q_at", "q_line")

@@ -26,14 +26,16 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
     return F.transform(F.array(value), body)[0]
 
 
-def packed(df: DataFrame, replaced: tuple[str, ...], **columns: str) -> tuple[DataFrame, list[Column]]:
+def packed(df: DataFrame, replaced: tuple[str, ...], shared: bool = False, **columns: str) -> tuple[DataFrame, list[Column]]:
     """df with the columns named by keyword, and all of its columns apart from these in a struct `row_`.
 
     Whatever a user's columns are called, they don't meet those of an operator;
     the second result takes them out of row_ again.  Columns that are called as
-    one of an operator's results (`replaced`) are left out.
+    one of an operator's results (`replaced`) are left out.  With shared, a column
+    that is named by keyword isn't in row_ as well, so the operator must leave it as it is.
     """
     kept = [c for c in df.columns if c not in replaced]
-    row = F.struct(F.lit(0).alias("n"), *(df[c].alias(f"c{i}") for i, c in enumerate(kept)))
+    named = {c: name for name, c in columns.items()} if shared else {}
+    row = F.struct(F.lit(0).alias("n"), *(df[c].alias(f"c{i}") for i, c in enumerate(kept) if c not in named))
     out = df.select(row.alias("row_"), *(df[c].alias(name) for name, c in columns.items()))
-    return out, [F.col("row_")[f"c{i}"].alias(c) for i, c in enumerate(kept)]
+    return out, [F.col(named[c]).alias(c) if c in named else F.col("row_")[f"c{i}"].alias(c) for i, c in enumerate(kept)]
