@@ -35,3 +35,17 @@ def test_lateral_meets_only_its_buckets(spark):
     plan = catalogue.QUERIES["target_stop_lateral"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan  # no sort of all stops of a vehicle for each point
     assert all("b#" in line for line in plan.splitlines() if "HashJoin" in line or "SortMergeJoin" in line)
+
+
+def test_two_points_in_one_second_are_apart(spark):
+    labels = spark.createDataFrame([(1, 7, 100, 9, 0.0, 10), (2, 7, 100, 9, 0.0, 20)], "sample_id long, tr_id long, t long, target_stop_id long, cur_dev_s double, target_delay_s long")
+    said = spark.createDataFrame([(2, 9, 30.0)], "sample_id long, target_stop_id long, pred_s double")
+    r = app.evaluation(said, labels, ("sample_id",)).first()
+    assert (r.labels, r.no_prediction, r.scored, r.mae_pred) == (2, 1, 1, 10.0)
+
+
+def test_evaluation_with_points_of_one_second(spark, tmp_path):
+    e = pq.read_table(f"{SF}/events.parquet").to_pylist()
+    rows = [tuple(r.values()) for r in e]
+    rows += [(100_000 + r[0] * 5, *r[1:]) for r in rows[:200]]  # the same seconds again, without a prediction
+    same(spark, _tables(tmp_path, events=_events(rows)), catalogue.QUERIES["eval_mae_baselines"], catalogue.ORACLES["eval_mae_baselines"])

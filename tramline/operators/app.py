@@ -76,12 +76,13 @@ def routes(schedule: DataFrame) -> DataFrame:
     return schedule.groupBy("tr_id").agg(stops.alias("s")).where(F.size("s") >= 2).withColumn("line", line).select("tr_id", F.size("s").alias("n_stops"), "line", geo.alias("feature"))
 
 
-def evaluation(predictions: DataFrame, labels: DataFrame) -> DataFrame:
+def evaluation(predictions: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("tr_id", "t")) -> DataFrame:
     """MAE of predictions and of the two baselines where predicted and labelled stop agree, and how many don't.
 
-    predictions: tr_id, t, target_stop_id, pred_s.  labels: tr_id, t, target_stop_id, cur_dev_s, target_delay_s.
+    predictions: keys, target_stop_id, pred_s.  labels: keys, target_stop_id, cur_dev_s, target_delay_s.  keys tell
+    points apart; a vehicle with two points in one second needs their sample_id.
     """
-    both = labels.withColumnRenamed("target_stop_id", "label_stop").join(predictions, ["tr_id", "t"], "left")
+    both = labels.withColumnRenamed("target_stop_id", "label_stop").join(predictions, list(keys), "left")
     same = F.col("target_stop_id") == F.col("label_stop")
     y = F.col("target_delay_s")
     mae = lambda e: F.avg(F.when(same, F.abs(e)))
