@@ -49,3 +49,9 @@ def test_evaluation_with_points_of_one_second(spark, tmp_path):
     rows = [tuple(r.values()) for r in e]
     rows += [(100_000 + r[0] * 5, *r[1:]) for r in rows[:200]]  # the same seconds again, without a prediction
     same(spark, _tables(tmp_path, events=_events(rows)), catalogue.QUERIES["eval_mae_baselines"], catalogue.ORACLES["eval_mae_baselines"])
+
+
+def test_session_gap_in_whole_seconds(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(i, at(s), 1, "view", 1.0, '{"k": 5}') for i, s in enumerate((0.9, 108_000.2, 216_000.0))]
+    same(spark, _tables(tmp_path, events=_events(rows)), catalogue.QUERIES["stream_session"], catalogue.ORACLES["stream_session"])

@@ -36,8 +36,10 @@ def tumbling(stream: DataFrame, width: str, late: str, slide: str | None = None)
 
 def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
     """Sessions of a vehicle: its fixes with pauses shorter than gap."""
-    g = stream.withWatermark("event_time", late).groupBy(F.session_window("event_time", gap), "tr_id").agg(F.count("*").alias("n"))
-    return g.select("tr_id", F.unix_seconds("session_window.start").alias("start_s"), F.unix_seconds("session_window.end").alias("end_s"), "n")
+    # Session windows that touch are merged, so a window ends a microsecond before the gap does.
+    g = stream.withWatermark("event_time", late).groupBy(F.session_window("event_time", f"{gap} -1 microseconds"), "tr_id").agg(F.count("*").alias("n"))
+    end = F.unix_seconds(F.col("session_window.end") + F.expr("INTERVAL 1 MICROSECOND"))
+    return g.select("tr_id", F.unix_seconds("session_window.start").alias("start_s"), end.alias("end_s"), "n")
 
 
 _STATE = "last_ts long, last_lat double, last_lon double, total long, valid long"
