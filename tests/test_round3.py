@@ -55,3 +55,16 @@ def test_session_gap_in_whole_seconds(spark, tmp_path):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     rows = [(i, at(s), 1, "view", 1.0, '{"k": 5}') for i, s in enumerate((0.9, 108_000.2, 216_000.0))]
     same(spark, _tables(tmp_path, events=_events(rows)), catalogue.QUERIES["stream_session"], catalogue.ORACLES["stream_session"])
+
+
+def test_ids_of_foot_paths_are_their_own(spark, tmp_path):
+    """Vehicle 10000 on day 19723 had the id of customer 19723's foot path."""
+    o = pq.read_table(f"{SF}/orders.parquet")
+    some = o.slice(0, 4)
+    keys = {"o_orderkey": [0, 1, 2, 3], "o_custkey": [100_000, 100_001, 19_723, 19_764]}
+    small = pa.table({c: pa.array(keys[c], o.schema.field(c).type) if c in keys else some.column(c) for c in o.column_names})
+    d = _tables(tmp_path, orders=small)
+    e = fixtures.road_elements(spark, d)
+    ids = [r.id for r in e.unionByName(roundtrips.foot_paths(e)).where("type = 'way'").collect()]
+    assert len(ids) == len(set(ids))
+    same(spark, d, catalogue.QUERIES["roads_document"], catalogue.ORACLES["roads_document"])

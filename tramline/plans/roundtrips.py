@@ -63,14 +63,18 @@ def routes_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(files.read_route_lines(spark, at), 6, "lat", "lon")
 
 
+def foot_paths(e: DataFrame) -> DataFrame:
+    """A foot path from each node, with ids that no way of fixtures.road_elements has: those of days are not negative, those of streets are small."""
+    return e.where("type = 'node'").select(F.lit("way").alias("type"), (-F.col("id") - 10**15).alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array(F.col("id"), F.col("id") + 41).alias("nodes"), F.create_map(F.lit("highway"), F.lit("footway")).alias("tags"))
+
+
 @query(_roads_sql(" SELECT u, v, round(length_m, 3) AS length_m FROM redge"))
 def roads_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Road documents with foot paths, written in a folder named by the box around them, read, cut to drivable ways."""
     e = fixtures.road_elements(spark, sf_dir)
-    paths = e.where("type = 'node'").select(F.lit("way").alias("type"), (F.col("id") + 10**9).alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array(F.col("id"), F.col("id") + 41).alias("nodes"), F.create_map(F.lit("highway"), F.lit("footway")).alias("tags"))
     box = e.agg(F.coalesce(geo.bbox_key(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")), F.lit("none"))).first()[0]
     at = f"{_folder(spark, 'roads')}/roads_{box}"
-    files.write_roads(e.unionByName(paths), at)
+    files.write_roads(e.unionByName(foot_paths(e)), at)
     found = files.drivable(files.read_roads(spark, at, by_line=True))
     nodes = graph.nodes_of(found)
     return _rounded(graph.edges_of(graph.way_nodes(found), nodes), 3, "length_m")
