@@ -68,3 +68,14 @@ def test_ids_of_foot_paths_are_their_own(spark, tmp_path):
     ids = [r.id for r in e.unionByName(roundtrips.foot_paths(e)).where("type = 'way'").collect()]
     assert len(ids) == len(set(ids))
     same(spark, d, catalogue.QUERIES["roads_document"], catalogue.ORACLES["roads_document"])
+
+
+def test_board_asks_for_one_point_a_vehicle(spark, monkeypatch):
+    asked, whole = [], features.full_table
+
+    def counted(points, *rest, **more):
+        asked.append((points.count(), points.select("tr_id").distinct().count()))
+        return whole(points, *rest, **more)
+
+    monkeypatch.setattr(features, "full_table", counted)
+    assert telemetry._board(spark, SF).count() == asked[0][0] == asked[0][1]
