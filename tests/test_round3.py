@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tests.oracle import TABLES, same
-from tramline.operators import app, features
+from tramline.operators import app, features, lattice
 from tramline.plans import catalogue, roundtrips, telemetry
 from tramline.sources import fixtures
 
@@ -79,3 +79,18 @@ def test_board_asks_for_one_point_a_vehicle(spark, monkeypatch):
 
     monkeypatch.setattr(features, "full_table", counted)
     assert telemetry._board(spark, SF).count() == asked[0][0] == asked[0][1]
+
+
+def test_fixes_of_one_place_share_their_net(monkeypatch):
+    """A net was built, and its ways searched, for each fix anew."""
+    rule, built = lattice.Rule(), []
+    whole = lattice.Net
+    monkeypatch.setattr(lattice, "Net", lambda edges: built.append(1) or whole(edges))
+    here = lattice._edges([{"u": i, "v": i + 1, "ulat": 55.75, "ulon": 37.6 + i * 1e-3, "vlat": 55.75, "vlon": 37.601 + i * 1e-3} for i in range(5)], rule)
+    nets, rows = lattice.Nets(), []
+    for v in range(3):
+        one = lattice.Lattice(rule, nets=nets)
+        for k in range(20):
+            rows += one.push(20 * k, 55.7501, 37.6 + 1e-4 * (k + v), here)
+        rows += one.finish()
+    assert len(rows) == 60 and len(built) == 1

@@ -87,6 +87,7 @@ class Net:
         far, found = self.known.get(start, (-1.0, {}))
         if far >= limit:
             return found
+        limit *= 1.25  # what lies within a limit is the same in a wider search, and the next limit may be a little larger
         best, queue, found = {start: 0.0}, [(0.0, start, start)], {}
         while queue:
             d, i, before = heapq.heappop(queue)
@@ -104,19 +105,49 @@ class Net:
         """Length of the way from one candidate to another and the nodes on it; infinite without a way."""
         if a[:2] == b[:2]:
             return abs(a[2] - b[2]) * self.length.get(a[:2], 0.0), []
-        best: tuple[float, list[int]] = (math.inf, [])
-        for start, before in ((a[0], a[2]), (a[1], 1 - a[2])):
-            reach = self.ways(start, limit)
-            for end, after in ((b[0], b[2]), (b[1], 1 - b[2])):
+        whole, start, end = self.shortest(self.leaving(a, limit), b, limit)
+        return (whole, self.passed(start, end, limit)) if start is not None else (whole, [])
+
+    def leaving(self, a: tuple, limit: float) -> list[tuple]:
+        """For both ends of a candidate's edge: the end, how far it is, and what is within limit of it."""
+        m = self.length[a[:2]]
+        return [(a[0], a[2] * m, self.ways(a[0], limit)), (a[1], (1 - a[2]) * m, self.ways(a[1], limit))]
+
+    def shortest(self, leaving: list[tuple], b: tuple, limit: float) -> tuple[float, int | None, int | None]:
+        """Length of the way to a candidate on another edge, and the nodes where it leaves and enters."""
+        m, best = self.length[b[:2]], (math.inf, None, None)
+        for end, after in ((b[0], b[2] * m), (b[1], (1 - b[2]) * m)):
+            for start, before, reach in leaving:
                 if end in reach:
-                    whole = before * self.length[a[:2]] + reach[end][0] + after * self.length[b[:2]]
-                    if whole < best[0] and whole <= limit:
-                        nodes = [end]
-                        while nodes[-1] != start:
-                            nodes.append(reach[nodes[-1]][1])
-                        best = (whole, nodes[::-1])
+                    whole = before + reach[end][0] + after
+                    if whole <= limit and (whole < best[0] or (whole == best[0] and start == leaving[0][0] != best[1])):
+                        best = (whole, start, end)
         return best
 
+    def passed(self, start: int, end: int, limit: float) -> list[int]:
+        """The nodes of the way from one node to another."""
+        reach, nodes = self.ways(start, limit), [end]
+        while nodes[-1] != start:
+            nodes.append(reach[nodes[-1]][1])
+        return nodes[::-1]
+
+
+class Nets:
+    """The nets of a task's fixes: what is known of one place serves all fixes there.  The last `most` are kept."""
+
+    def __init__(self, most: int = 256) -> None:
+        self.most = most
+        self.kept: dict[tuple[int, int], tuple[dict, dict, Net]] = {}
+
+    def of(self, before: dict, here: dict) -> Net:
+        """The net of the edges around one fix (before is here) or two."""
+        key = (id(before), id(here))  # both are held, so no other edges get their ids
+        if key not in self.kept:
+            if len(self.kept) >= self.most:
+                del self.kept[next(iter(self.kept))]
+            self.kept[key] = (before, here, Net(here if before is here else {**before, **here}))
+        return self.kept[key][2]
+
 
 def _edges(roads: list | None, rule: Rule) -> dict[tuple[int, int], tuple[float, float, float, float]]:
     """The edges of a fix by their ends, the smaller first, with the places of both in metres."""
@@ -139,9 +170,10 @@ class Lattice:
     resume: int | None = None  # no fix is looked at before
     wait: int = 0
     edges: dict = field(default_factory=dict)  # around the last fix
+    nets: Nets = field(default_factory=lambda: Nets(2), repr=False, compare=False)
 
-    def push(self, ts: int, lat: float, lon: float, roads: list | None) -> list[tuple]:
-        """Goes on by one fix, not earlier than the one before; what is settled by it."""
+    def push(self, ts: int, lat: float, lon: float, roads: list | dict | None) -> list[tuple]:
+        """Goes on by one fix, not earlier than the one before; what is settled by it.  roads may be what _edges() makes of them."""
         r, out = self.rule, []
         if self.seen_ts is not None and ts - self.seen_ts > r.gap:
             out, self.last_ts, self.resume, self.wait = self.finish(), None, None, 0
@@ -150,9 +182,9 @@ class Lattice:
             return out
         out += self.finish() if self.last_ts is not None and ts - self.last_ts > r.gap else []
         self.last_ts = ts
-        here = _edges(roads, r)
+        here = roads if isinstance(roads, dict) else _edges(roads, r)
         x, y = lon * r.lon_m, lat * LAT_M
-        found = Net(here).candidates(x, y, r)
+        found = self.nets.of(here, here).candidates(x, y, r)
         if not found:
             out += self.finish()
             self.wait = min(max(2 * self.wait, r.wait), r.wait_most)
@@ -162,7 +194,7 @@ class Lattice:
         emit = [-(s[3] ** 2) / (2 * r.noise**2) for s in found]
         fix = [ts, lat, lon]
         if self.columns:
-            score, back, via = self._steps(found, Net({**self.edges, **here}), x, y)
+            score, back, via = self._steps(found, self.nets.of(self.edges, here), x, y)
             if max(score) > -math.inf:
                 self.columns.append([fix, [list(s) for s in found], back, via, False])
                 self.score = [a + b for a, b in zip(score, emit, strict=True)]
@@ -177,19 +209,22 @@ class Lattice:
         (_, lat, lon), states, *_ = self.columns[-1]
         straight = math.hypot(x - lon * self.rule.lon_m, y - lat * LAT_M)
         limit = 2 * straight + 4 * self.rule.radius
+        beta = self.rule.beta
+        live = [(i, tuple(p[:2]), p[2], net.leaving(tuple(p), limit)) for i, p in enumerate(states) if self.score[i] > -math.inf]
         score, back, via = [], [], []
         for s in found:
-            best, k, nodes = -math.inf, 0, []
-            for i, p in enumerate(states):
-                if self.score[i] == -math.inf:
-                    continue
-                length, passed = net.route(tuple(p), s, limit)
-                value = round(self.score[i] - abs(length - straight) / self.rule.beta, 9)
+            best, k, way, edge = -math.inf, 0, None, s[:2]
+            for i, name, along, leaving in live:
+                if name == edge:
+                    length, start, end = abs(along - s[2]) * net.length[edge], None, None
+                else:
+                    length, start, end = net.shortest(leaving, s, limit)
+                value = round(self.score[i] - abs(length - straight) / beta, 9) if length < math.inf else -math.inf
                 if value > best:
-                    best, k, nodes = value, i, passed
+                    best, k, way = value, i, (start, end)
             score.append(best)
             back.append(k)
-            via.append(nodes)
+            via.append(net.passed(*way, limit) if way and way[0] is not None else [])
         return score, back, via
 
     def _settled(self) -> list[tuple]:
@@ -251,7 +286,7 @@ class Lattice:
 
 
 def with_roads(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule) -> DataFrame:
-    """fixes with roads, the edges that touch the cells around each; null far from any road.
+    """fixes with their cell (ci, cj) and roads, the edges that touch the cells around it; null far from any road.
 
     Cells are as wide as the radius.  An edge is in every cell of the box around
     it; the edges around a cell are gathered once for each cell that has any, so
@@ -266,7 +301,7 @@ def with_roads(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule)
     spread = full.select("*", F.explode(span(F.col("ulat"), F.col("vlat"), LAT_M)).alias("ci")).select("*", F.explode(span(F.col("ulon"), F.col("vlon"), rule.lon_m)).alias("cj"))
     around = spread.groupBy("ci", "cj").agg(F.collect_set(F.struct("u", "v", "ulat", "ulon", "vlat", "vlon")).alias("roads"))
     placed = fixes.withColumns({"ci": cell(F.col("lat"), LAT_M), "cj": cell(F.col("lon"), rule.lon_m)})
-    return placed.join(around, ["ci", "cj"], "left").drop("ci", "cj")
+    return placed.join(around, ["ci", "cj"], "left")
 
 
 def match_tracks(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -284,14 +319,21 @@ def match_tracks(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rul
     ready = with_roads(parts, nodes, edges, rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lattice = None, Lattice(rule)
+        nets, places = Nets(), {}
+        key, lattice = None, Lattice(rule, nets=nets)
         for batch in batches:
             rows: list[tuple] = []
-            for x in batch.to_pylist():
-                if (x["tr_id"], x["part"]) != key:
+            roads, columns = batch.column("roads"), (batch.column(c).to_pylist() for c in ("tr_id", "part", "ts", "lat", "lon", "ci", "cj"))
+            for i, (tr_id, part, ts, lat, lon, *cell) in enumerate(zip(*columns, strict=True)):
+                if (tr_id, part) != key:
                     rows += [(key[0], *r) for r in lattice.finish()] if key else []
-                    key, lattice = (x["tr_id"], x["part"]), Lattice(rule)
-                rows += [(x["tr_id"], *r) for r in lattice.push(x["ts"], x["lat"], x["lon"], x["roads"])]
+                    key, lattice = (tr_id, part), Lattice(rule, nets=nets)
+                cell = tuple(cell)
+                if cell not in places:  # fixes of one cell have the same roads
+                    if len(places) >= 1024:
+                        del places[next(iter(places))]
+                    places[cell] = _edges(roads[i].as_py(), rule)
+                rows += [(tr_id, *r) for r in lattice.push(ts, lat, lon, places[cell])]
             yield matched_batch(rows)
         if key:
             yield matched_batch([(key[0], *r) for r in lattice.finish()])
