@@ -94,3 +94,9 @@ def test_fixes_of_one_place_share_their_net(monkeypatch):
             rows += one.push(20 * k, 55.7501, 37.6 + 1e-4 * (k + v), here)
         rows += one.finish()
     assert len(rows) == 60 and len(built) == 1
+
+
+def test_refined_features_match_tracks_once(spark):
+    """What is read has no matching left in it, so it isn't done anew for each use."""
+    plan = catalogue.QUERIES["refined_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
