@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tests.oracle import TABLES, same
-from tramline.operators import app, features, lattice
+from tramline.operators import app, features, lattice, scan, track
 from tramline.plans import catalogue, roundtrips, telemetry
 from tramline.sources import fixtures
 
@@ -100,3 +100,19 @@ def test_refined_features_match_tracks_once(spark):
     """What is read has no matching left in it, so it isn't done anew for each use."""
     plan = catalogue.QUERIES["refined_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_three_passes_take_short_keys_whole(spark, monkeypatch):
+    """A key of few rows is one group, not one for each of its days; both ways give the same."""
+    f = fixtures.traffic(spark, SF).select("event_id", "tr_id", "ts", "speed")
+    found = {}
+    for most in (scan.WHOLE, 0):
+        monkeypatch.setattr(scan, "WHOLE", most)
+        made = scan.three_passes(
+            f, "tr_id", "ts", 86_400, lambda t: pa.table({"tr_id": t.column("tr_id").slice(0, 1), "_b": t.column("_b").slice(0, 1), "n": [len(t)]}), "n long", lambda t: t.select(["tr_id", "_b", "n"]), "n long",
+            lambda t: pa.table({"b": t.column("_b").slice(0, 1), "n": t.column("n").slice(0, 1)}), "b long, n long",
+        )
+        groups = made.count()
+        assert (groups == f.select("tr_id").distinct().count()) == (most > 0)
+        found[most] = sorted(map(tuple, track.smoothed(f, "tr_id", "ts", "speed", 0.0, 300.0).select("event_id", "smooth").collect()))
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(*found.values(), strict=True))
