@@ -7,10 +7,12 @@ import os
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from tests.oracle import TABLES, same
-from tramline.operators import app, features, lattice, scan, track
+from tramline.operators import app, features, lattice, model, scan, track
 from tramline.plans import catalogue, roundtrips, telemetry
+from tramline.profile import FIXTURE as P
 from tramline.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -116,3 +118,14 @@ def test_three_passes_take_short_keys_whole(spark, monkeypatch):
         assert (groups == f.select("tr_id").distinct().count()) == (most > 0)
         found[most] = sorted(map(tuple, track.smoothed(f, "tr_id", "ts", "speed", 0.0, 300.0).select("event_id", "smooth").collect()))
     assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(*found.values(), strict=True))
+
+
+def test_model_encodings_carry_no_numbers(spark, monkeypatch):
+    """The model's numbers went through the windows of each category's encoding."""
+    rows = [(i, i % 7, i % 5, f"k{i % 3}", float(i % 11), float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id long, tr_id long, target_stop_id long, stop_key string, speed double, y double")
+    seen, whole = [], model.ordered_encode
+    monkeypatch.setattr(model, "ordered_encode", lambda d, *a: seen.append(set(d.columns)) or whole(d, *a))
+    fitted = model.fit(df, ["speed"], "y", trees=2, depth=2, key="sample_id", validation=F.col("tr_id") == 1)
+    assert len(seen) == 3 and not any("speed" in c or "n_speed" in c for c in seen)
+    assert model.score(fitted, df, P).count() == 60
