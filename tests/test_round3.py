@@ -63,7 +63,7 @@ def test_ids_of_foot_paths_are_their_own(spark, tmp_path):
     """Vehicle 10000 on day 19723 had the id of customer 19723's foot path."""
     o = pq.read_table(f"{SF}/orders.parquet")
     some = o.slice(0, 4)
-    keys = {"o_orderkey": [0, 1, 2, 3], "o_custkey": [100_000, 100_001, 19_723, 19_764]}
+    keys = {"o_orderkey": [0, 26, 1, 2], "o_custkey": [100_000, 100_001, 19_723, 19_764]}
     small = pa.table({c: pa.array(keys[c], o.schema.field(c).type) if c in keys else some.column(c) for c in o.column_names})
     d = _tables(tmp_path, orders=small)
     e = fixtures.road_elements(spark, d)
