@@ -52,3 +52,28 @@ def test_nothing_near(spark):
     one = places.lines(spark.createDataFrame([(1, 1, 55.0, 37.1), (2, 1, 55.0, 37.2), (2, 2, 55.1, 37.2)], "line long, k long, lat double, lon double"), "line", ["k"])
     assert [(x.line, x.shape_id) for x in one.orderBy("line").collect()] == [(1, 0), (2, 0)]
     assert places.nearest_shape(p.limit(0), one.drop("line"), 55.75).collect() == []
+
+
+def test_keys_of_few_rows_are_one_group(spark, monkeypatch):
+    """Both ways, the pyramid for keys beyond WHOLE and all distances of the others, give the same; an id given twice is one row."""
+    r = random.Random(5)
+    points = [(i, r.randrange(3), 55.75 + r.uniform(-0.01, 0.01), 37.6 + r.uniform(-0.01, 0.01)) for i in range(80)] + [(5, 1, 55.76, 37.6), (90, None, 55.75, 37.6)]
+    shapes = [(i % 3 if i % 40 else None, i % 25, 55.75 + r.uniform(-0.01, 0.01), 37.6 + r.uniform(-0.01, 0.01)) for i in range(120)]
+    p = spark.createDataFrame(points, "point_id long, line long, lat double, lon double")
+    s = spark.createDataFrame(shapes, "line long, shape_id long, alat double, alon double").selectExpr("*", "alat + 0.001 AS blat", "alon + 0.002 AS blon")
+    found = {}
+    for most in (0, 60, 65, 10_000):
+        monkeypatch.setattr(places, "WHOLE", most)
+        found[most] = sorted(map(tuple, places.nearest_shape(p, s, 55.75, "line", 700.0).select("point_id", "shape_id", "dist_m").collect()))
+    assert len(found[0]) == 80 and all(rows == found[0] for rows in found.values())
+    plan = places.nearest_shape(p, s, 55.75, "line", 700.0)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
+
+
+def test_points_of_one_place_are_asked_for_once(spark):
+    p = spark.createDataFrame([(i, 55.75 + 1e-3 * (i % 4), 37.6) for i in range(200)], "point_id long, lat double, lon double")
+    s = places.points_as_shapes(spark.createDataFrame([(i, 55.7 + 1e-3 * i, 37.5) for i in range(90)], "place_id long, lat double, lon double"))
+    near = places.nearest_shape(p, s, 55.75)
+    assert sorted((x.point_id, x.shape_id) for x in near.collect()) == [(i, 50 + i % 4) for i in range(200)]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[x" in plan  # distinct places
