@@ -14,6 +14,7 @@ from tramline.operators import app, features, lattice, model, scan, track
 from tramline.plans import catalogue, roundtrips, telemetry
 from tramline.profile import FIXTURE as P
 from tramline.sources import fixtures
+from tramline.streaming import snapping
 
 SF = "/root/testdata/sf0.001"
 
@@ -129,3 +130,16 @@ def test_model_encodings_carry_no_numbers(spark, monkeypatch):
     fitted = model.fit(df, ["speed"], "y", trees=2, depth=2, key="sample_id", validation=F.col("tr_id") == 1)
     assert len(seen) == 3 and not any("speed" in c or "n_speed" in c for c in seen)
     assert model.score(fitted, df, P).count() == 60
+
+
+def test_waiting_fixes_hold_no_roads(spark, tmp_path):
+    """Each waiting fix had all roads around it in the state; now a vehicle holds those of a cell once."""
+    schema = "tr_id long, ts long, lat double, lon double"
+    spark.createDataFrame([(1, 20 * k, 55.7501, 37.6 + 1e-6 * k) for k in range(300)], schema).write.parquet(f"{tmp_path}/in")
+    nodes = spark.createDataFrame([(i, 55.75, 37.6 + 5e-5 * i) for i in range(60)], "node_id long, lat double, lon double")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(59)], "u long, v long")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withColumn("event_time", F.timestamp_seconds("ts"))
+    live = snapping.match_stream(stream, nodes, edges, late="5 days")
+    q = live.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 0 < max(o.memoryUsedBytes for x in q.recentProgress for o in x.stateOperators) < 300_000

@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import LAT_M, LON_M
-from tramline.operators.scan import Buckets, sessions
+from tramline.operators.scan import Buckets, saved, sessions
 
 #: A matched fix: where it lies on the edge u-v (u < v), at which share of it, and the nodes passed since the fix before.
 MATCHED = "tr_id long, ts long, lat double, lon double, raw_lat double, raw_lon double, u long, v long, along double, via array<long>, starts boolean"
@@ -285,8 +286,27 @@ class Lattice:
         return Lattice(rule, columns, [-math.inf if s is None else s for s in score], seen_ts, last_ts, resume, wait, {(e[0], e[1]): tuple(e[2:]) for e in edges})
 
 
-def with_roads(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule) -> DataFrame:
-    """fixes with their cell (ci, cj) and roads, the edges that touch the cells around it; null far from any road.
+def packed(roads: DataFrame) -> DataFrame:
+    """The roads of cells (ci, cj) as bytes, each cell's packed once: a fix then carries a few kilobytes and no nested rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, fields = b.column("roads").offsets.to_numpy(), [f.to_numpy() for f in b.column("roads").values.flatten()]
+            made = [zlib.compress(b"".join(f[i:j].tobytes() for f in fields), 1) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("ci"), b.column("cj"), pa.array(made, pa.binary())], names=["ci", "cj", "roads"])
+
+    return roads.mapInArrow(run, "ci long, cj long, roads binary")
+
+
+def unpacked(data: bytes, rule: Rule) -> dict[tuple[int, int], tuple[float, float, float, float]]:
+    """What _edges() makes of the roads that packed() made these bytes of, decompressed."""
+    n = len(data) // 48
+    columns = [*np.frombuffer(data[: 16 * n], np.int64).reshape(2, n).tolist(), *np.frombuffer(data[16 * n :]).reshape(4, n).tolist()]
+    return _edges([dict(zip(("u", "v", "ulat", "ulon", "vlat", "vlon"), r, strict=True)) for r in zip(*columns, strict=True)], rule)
+
+
+def with_roads(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule, pack: bool = False) -> DataFrame:
+    """fixes with their cell (ci, cj) and roads, the edges that touch the cells around it (packed() on demand); null far from any road.
 
     Cells are as wide as the radius.  An edge is in every cell of the box around
     it; the edges around a cell are gathered once for each cell that has any, so
@@ -301,7 +321,7 @@ def with_roads(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule)
     spread = full.select("*", F.explode(span(F.col("ulat"), F.col("vlat"), LAT_M)).alias("ci")).select("*", F.explode(span(F.col("ulon"), F.col("vlon"), rule.lon_m)).alias("cj"))
     around = spread.groupBy("ci", "cj").agg(F.collect_set(F.struct("u", "v", "ulat", "ulon", "vlat", "vlon")).alias("roads"))
     placed = fixes.withColumns({"ci": cell(F.col("lat"), LAT_M), "cj": cell(F.col("lon"), rule.lon_m)})
-    return placed.join(around, ["ci", "cj"], "left")
+    return placed.join(saved(packed(around)) if pack else around, ["ci", "cj"], "left")
 
 
 def match_tracks(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule | None = None) -> DataFrame:
