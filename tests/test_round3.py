@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import TABLES, same
+from tramline.llm import quality_model
 from tramline.operators import app, features, lattice, model, scan, track
 from tramline.plans import catalogue, roundtrips, telemetry
 from tramline.profile import FIXTURE as P
@@ -153,3 +154,15 @@ def test_target_stops_of_far_ids(spark, tmp_path, query):
     keys = pa.array([k * 300_000_007 % 9_000_000_011 for k in o.column("o_orderkey").to_pylist()], o.schema.field("o_orderkey").type)
     d = _tables(tmp_path, orders=o.set_column(o.column_names.index("o_orderkey"), "o_orderkey", keys))
     same(spark, d, catalogue.QUERIES[query], catalogue.ORACLES[query])
+
+
+def test_quality_model_takes_all_labels(spark, monkeypatch):
+    """Beyond 20,000 labelled rows the model was fitted on a sample."""
+    kept, whole = [], quality_model.Scratch.keep
+    monkeypatch.setattr(quality_model.Scratch, "keep", lambda self, df: kept.append(whole(self, df)) or kept[-1])
+    docs = spark.range(0, 21_000, 1, 4).selectExpr("id AS doc_id", "'a b' AS text")
+    quality_model.fit(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    assert kept[0].count() == 21_000
+    scores = spark.range(0, 5_000, 1, 4).selectExpr("cast(pmod(xxhash64(id), 1000) AS double) / 7 AS s")
+    for share in (0.0, 0.31, 0.5, 0.977, 1.0):
+        assert quality_model._quantile(scores, share, 5_000) == pytest.approx(scores.agg(F.percentile("s", F.lit(share))).first()[0], abs=1e-9)

@@ -104,8 +104,8 @@ class Ranker:
         return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, rounds: int = 4) -> Ranker:
-    """Fit on a sample of at most about `sample` labelled rows, drawn by a hash of the identifier.
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int | None = None, rounds: int = 4) -> Ranker:
+    """Fit on all labelled rows, or with `sample` on at most about so many, drawn by a hash of the identifier.
 
     Each of `rounds` rounds deals both labels into buckets by another hash, with
     two rows of the rarer label on average, and pairs each bucket's rows.
@@ -114,10 +114,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     """
     work = Scratch(documents.sparkSession)
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").distinct()
-    count = marks.count()
-    if count > sample:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(count)) < sample)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id")  # `sample` rows
+    if sample is not None:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(marks.count(), sample))) < sample)
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(marks, "doc_id")
     rows = work.keep(docs.mapInArrow(lambda it: _batches(it, ["doc_id", "y"], None, 0.0), "doc_id long, y int, x array<double>"))
     ones, zeros = rows.where("y = 1"), rows.where("y = 0")
     least = min(ones.count(), zeros.count())
@@ -135,7 +134,16 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     model = LogisticRegression(fitIntercept=False, regParam=1e-3, maxIter=40).fit(train)
     w = model.coefficients.toArray()
     score = F.aggregate(F.zip_with("x", F.array(*(F.lit(float(v)) for v in w)), lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    share = rows.agg(F.avg(1 - F.col("y"))).first()[0]
-    cut_at = rows.select(score.alias("s")).agg(F.percentile("s", F.lit(float(share)))).first()[0]
+    share, count = rows.agg(F.avg(1 - F.col("y")), F.count("*")).first()
+    cut_at = _quantile(rows.select(score.alias("s")), share, count)
     work.drop(rows, train)
-    return Ranker(tuple(float(v) for v in w), float(cut_at))
+    return Ranker(tuple(float(v) for v in w), cut_at)
+
+
+def _quantile(scores: DataFrame, share: float, count: int) -> float:
+    """The exact quantile of s in all rows: bounds around it first, then the few rows between them."""
+    wide = max(1e-3, 4 / count)
+    low, high = scores.agg(F.percentile_approx("s", [max(share - wide, 0.0), min(share + wide, 1.0)], 10_000)).first()[0]
+    below, inner = scores.agg(F.count_if(F.col("s") < low), F.count_if(F.col("s").between(low, high))).first()
+    at = min(max((share * (count - 1) - below) / max(inner - 1, 1), 0.0), 1.0)
+    return float(scores.where(F.col("s").between(low, high)).agg(F.percentile("s", F.lit(at))).first()[0])
