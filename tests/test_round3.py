@@ -166,3 +166,16 @@ def test_quality_model_takes_all_labels(spark, monkeypatch):
     scores = spark.range(0, 5_000, 1, 4).selectExpr("cast(pmod(xxhash64(id), 1000) AS double) / 7 AS s")
     for share in (0.0, 0.31, 0.5, 0.977, 1.0):
         assert quality_model._quantile(scores, share, 5_000) == pytest.approx(scores.agg(F.percentile("s", F.lit(share))).first()[0], abs=1e-9)
+
+
+def test_quality_model_shuffles_no_text(spark, monkeypatch):
+    """Texts went to their labels, and small tables by another join than large ones."""
+    plans, whole = [], quality_model.Scratch.keep
+    monkeypatch.setattr(quality_model.Scratch, "keep", lambda self, df: plans.append(df._jdf.queryExecution()) or whole(self, df))
+    docs = spark.range(0, 40, 1, 4).selectExpr("id AS doc_id", "repeat(concat('a', id, ' '), 3) AS text")
+    quality_model.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality"), rounds=2)
+    assert len(plans) == 2
+    for p in plans:
+        assert "SortMergeJoin" in p.executedPlan().toString() and "BroadcastHashJoin" not in p.executedPlan().toString()
+    joined = plans[0].optimizedPlan().toString().split("MapInArrow")[0]
+    assert "Join" in joined and "text" not in joined

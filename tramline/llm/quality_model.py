@@ -116,8 +116,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").distinct()
     if sample is not None:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(marks.count(), sample))) < sample)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(marks, "doc_id")
-    rows = work.keep(docs.mapInArrow(lambda it: _batches(it, ["doc_id", "y"], None, 0.0), "doc_id long, y int, x array<double>"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Features are shuffled to their labels, never texts, by the same join at any size.
+    made = docs.mapInArrow(lambda it: _batches(it, ["doc_id"], None, 0.0), "doc_id long, x array<double>")
+    rows = work.keep(made.join(marks.hint("merge"), "doc_id").select("doc_id", "y", "x"))
     ones, zeros = rows.where("y = 1"), rows.where("y = 0")
     least = min(ones.count(), zeros.count())
     if not least:
@@ -127,7 +129,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", id_col:
         bucket = F.pmod(F.xxhash64("doc_id", F.lit(r)), F.lit(max(1, least // 2)))
         a = ones.select(F.col("x").alias("a"), bucket.alias("b"), "doc_id")
         b = zeros.select(F.col("x").alias("z"), bucket.alias("b"), F.col("doc_id").alias("other"))
-        made = a.join(b, "b").select("doc_id", "other", F.zip_with("a", "z", lambda p, q: p - q).alias("d"))
+        made = a.join(b.hint("merge"), "b").select("doc_id", "other", F.zip_with("a", "z", lambda p, q: p - q).alias("d"))
         pairs = made if pairs is None else pairs.unionByName(made)
     turned = F.pmod(F.xxhash64("doc_id", "other"), F.lit(2))
     train = work.keep(pairs.select(turned.cast("double").alias("label"), array_to_vector(F.transform("d", lambda v: v * (2 * turned - 1))).alias("features")))
