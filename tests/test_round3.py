@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import os
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import TABLES, same
-from tramline.llm import quality_model
+from tramline.llm import quality_model, toxicity
 from tramline.operators import app, features, lattice, model, scan, track
 from tramline.plans import catalogue, roundtrips, telemetry
 from tramline.profile import FIXTURE as P
@@ -179,3 +180,41 @@ def test_quality_model_shuffles_no_text(spark, monkeypatch):
         assert "SortMergeJoin" in p.executedPlan().toString() and "BroadcastHashJoin" not in p.executedPlan().toString()
     joined = plans[0].optimizedPlan().toString().split("MapInArrow")[0]
     assert "Join" in joined and "text" not in joined
+
+
+def test_toxicity_takes_all_labels(spark, monkeypatch):
+    """Beyond 12,000 labelled rows the model and its thresholds came from a sample."""
+    kept, whole = [], toxicity.Scratch.keep
+    monkeypatch.setattr(toxicity.Scratch, "keep", lambda self, df: kept.append(whole(self, df)) or kept[-1])
+    monkeypatch.setattr(toxicity.Scratch, "drop", lambda self, *tables: None)
+    docs = spark.range(0, 14_000, 1, 4).selectExpr("id AS doc_id", "concat(if(id % 2 = 1, 'vile ', 'kind '), id) AS text")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic"), rounds=1, part_rows=2_000)
+    chosen, rows, _, seen = kept
+    assert chosen.count() == 14_000 == rows.count() + seen.count()
+    assert rows.select("part").distinct().count() == 6
+    assert model.score(docs).where("predicted <> doc_id % 2").count() == 0
+
+
+def test_toxicity_averages_copies(spark):
+    """Copies are averaged in pieces, as whole nets would be."""
+    nets = [toxicity.Net.new(k) for k in range(3)]
+    whole = np.mean(np.stack([n.flat() for n in nets]), axis=0)
+    rows = [(i, k, x.tobytes()) for k, n in enumerate(nets) for i, x in enumerate(np.array_split(n.flat(), 5))]
+    got = spark.createDataFrame(rows, "piece int, part int, numbers binary").groupBy("piece").applyInArrow(toxicity._mean, "piece int, numbers binary").collect()
+    net = toxicity.Net.of(np.concatenate([np.frombuffer(x, np.float32) for _, x in sorted(map(tuple, got))]))
+    assert np.allclose(net.flat(), whole, atol=1e-6) and [p.shape for p in net.arrays()] == [p.shape for p in nets[0].arrays()]
+
+
+def test_toxicity_thresholds(spark):
+    """Thresholds by windows are those of all rows in one array."""
+    r = np.random.default_rng(4)
+    for n, weight in ((1, 1.0), (40, 1.0), (700, 2.5)):
+        logit, y, lang = np.round(r.normal(0, 3, n), 2) * np.where(r.random(n) < 0.02, 20, 1), r.integers(0, 2, n), r.integers(-1, 4, n)
+        seen = spark.createDataFrame(list(zip(y.tolist(), logit.tolist(), lang.tolist(), strict=True)), "y int, logit double, language int")
+        want = {-1: toxicity.threshold(logit, y, weight)}
+        for k in range(4):
+            own = lang == k
+            if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= 5:
+                want[k] = toxicity.threshold(logit[own], y[own], weight)
+        assert toxicity.thresholds(seen, weight, 5) == pytest.approx(want, abs=1e-9)
+    assert toxicity.thresholds(seen.limit(0), 1.0, 5) == {}

@@ -4,21 +4,22 @@ A word's vector is the sum of hashed embeddings of the word and of its
 beginnings, so that inflected forms of a stem share what is learnt.  Filters of
 several widths pass over the words, the largest response of each filter in the
 whole text goes through a rectifier, and one linear layer gives the logit.
-Training mixes parameters: every round each part of the sample trains a copy on
-its own rows, and the copies are averaged.  Rows held back from training give
-each language its own threshold; the language is read off the text.
+Training mixes parameters: every round each part of the labelled rows trains a
+copy on its own rows, and the copies are averaged.  The number of parts grows with
+the rows, and the copies are averaged in as many pieces.  Rows held back from
+training give each language its own threshold; the language is read off the text.
 """
 
 from __future__ import annotations
 
-import pickle
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.llm import kernel as K
@@ -112,12 +113,19 @@ class Net:
     def arrays(self) -> list[np.ndarray]:
         return [self.embed, *self.filters, self.bias, self.out, self.shift]
 
+    def flat(self) -> np.ndarray:
+        """All numbers in a row."""
+        return np.concatenate([p.ravel() for p in [*self.arrays(), *self.seen]])
+
     @staticmethod
-    def mean(nets: list[Net]) -> Net:
-        arrays = [np.mean(np.stack(p), axis=0) for p in zip(*(n.arrays() for n in nets), strict=True)]
-        seen = [np.mean(np.stack(p), axis=0) for p in zip(*(n.seen for n in nets), strict=True)]
-        k = len(WIDTHS)
-        return Net(arrays[0], arrays[1 : 1 + k], *arrays[1 + k :], seen=seen)
+    def of(flat: np.ndarray) -> Net:
+        """The net of such a row."""
+        like = Net.new(0)
+        shapes = [p.shape for p in [*like.arrays(), *like.seen]]
+        ends = np.cumsum([math.prod(x) for x in shapes])
+        p = [part.reshape(x).copy() for part, x in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+        k, n = len(WIDTHS), len(like.arrays())
+        return Net(p[0], p[1 : 1 + k], *p[1 + k : n], seen=p[n:])
 
     def responses(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word vectors, and each filter's response at each position from which all widths have room (PAD - 1 fewer)."""
@@ -216,6 +224,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(whole, most=1 << 18):
             words = Words(batch.column("text"))
             units, _ = words.units(0, len(words.starts))
+            units = units.astype(np.uint16)
             made = [units[a:b].tobytes() for a, b in zip(words.rows[:-1].tolist(), words.rows[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("part"), pa.array(made, pa.binary())], names=["doc_id", "y", "part", "units"])
 
@@ -244,21 +253,44 @@ def _train(net: Net, table: pa.Table, seed: int, batch: int, rate: float) -> Net
     order = draws.permutation(len(y))
     for a in range(0, len(order), batch):
         rows = order[a : a + batch]
-        docs = [np.frombuffer(units[int(i)].as_py(), np.int32).reshape(-1, UNITS) for i in rows]
+        docs = [np.frombuffer(units[int(i)].as_py(), np.uint16).astype(np.int32).reshape(-1, UNITS) for i in rows]
         net.step([d * (draws.random((len(d), 1)) >= _DROPPED) for d in docs], y[rows], rate, weight[rows])
     return net
 
 
-def _pass(start: Broadcast, seed: int, batch: int, rate: float) -> Callable[[pa.Table], pa.Table]:
-    """A part's copy of the net, trained on its rows."""
-
-    def run(table: pa.Table) -> pa.Table:
-        own = pickle.loads(pickle.dumps(start.value))
-        return pa.table({"net": pa.array([pickle.dumps(_train(own, table, seed, batch, rate))], pa.binary())})
+def _pass(start: Broadcast, seed: int, batch: int, rate: float, pieces: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each part's copy of the net, trained on its rows, in pieces; a part's rows follow each other."""
+
+    def trained(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = held[0].column("part")[0].as_py()
+        flat = _train(Net.of(start.value), pa.Table.from_batches(held), seed, batch, rate).flat()
+        made = pa.array([x.tobytes() for x in np.array_split(flat, pieces)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(pieces, dtype=np.int32)), pa.array(np.full(pieces, part, np.int32)), made], names=["piece", "part", "numbers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for whole in batches:
+            part = whole.column("part").to_numpy()
+            at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                if b > a:
+                    if held and held[0].column("part")[0].as_py() != part[a]:
+                        yield trained(held)
+                        held = []
+                    held.append(whole.slice(a, b - a))
+        if held:
+            yield trained(held)
 
     return run
 
 
+def _mean(table: pa.Table) -> pa.Table:
+    """The mean of one piece over all copies."""
+    table = table.sort_by("part")
+    total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table.column("numbers"))
+    return pa.table({"piece": table.column("piece").slice(0, 1), "numbers": pa.array([(total / len(table)).astype(np.float32).tobytes()], pa.binary())})
+
+
 def threshold(logits: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
     """The cut with the least weighted errors; of equally good ones the middle of the widest gap."""
     order = np.argsort(logits, kind="stable")
@@ -273,6 +305,31 @@ def threshold(logits: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
+def thresholds(seen: DataFrame, clean_weight: float, least: int) -> dict[int, float]:
+    """threshold() of all rows (-1), and of each language with at least `least` rows of either label.
+
+    seen has y, logit and language.  Equal logits are one row; the running counts
+    are windows within bins of logits, and each bin's row carries what lies below it.
+    """
+    owner = F.explode(F.when(F.col("language") < 0, F.array(F.lit(-1))).otherwise(F.array(F.lit(-1), F.col("language")))).alias("k")
+    spots = seen.select(owner, "logit", "y").groupBy("k", "logit").agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
+    spots = spots.withColumn("bin", F.floor(F.greatest(F.least(F.col("logit"), F.lit(32.0)), F.lit(-32.0)) * 64))
+    bins = spots.groupBy("k", "bin").agg(F.sum("ones").alias("own_ones"), F.sum("zeros").alias("own_zeros"), F.min("logit").alias("first"))  # 4,097 of each k at most
+    over, every = Window.partitionBy("k").orderBy("bin"), Window.partitionBy("k")
+    bins = bins.select(
+        "k", "bin", "first", F.lead("first").over(over).alias("next"), (F.sum("own_ones").over(over) - F.col("own_ones")).alias("ones_below"), (F.sum("own_zeros").over(over) - F.col("own_zeros")).alias("zeros_below"),
+        F.sum("own_ones").over(every).alias("all_ones"), F.sum("own_zeros").over(every).alias("all_zeros"),
+    )
+    within = Window.partitionBy("k", "bin").orderBy("logit")
+    missed, spared = F.col("ones_below") + F.sum("ones").over(within), F.col("zeros_below") + F.sum("zeros").over(within)
+    high = F.coalesce(F.lead("logit").over(within), F.col("next"), F.col("logit") + 2)
+    above = spots.join(bins.hint("merge"), ["k", "bin"]).select("k", F.col("logit").alias("low"), high.alias("high"), (missed + clean_weight * (F.col("all_zeros") - spared)).alias("errors"), "all_ones", "all_zeros")
+    lowest = bins.where("ones_below + zeros_below = 0").select("k", (F.col("first") - 2).alias("low"), F.col("first").alias("high"), (clean_weight * F.col("all_zeros")).alias("errors"), "all_ones", "all_zeros")
+    best = F.min(F.struct(F.round("errors", 6), F.col("low") - F.col("high"), "low", "high")).alias("best")
+    found = above.unionByName(lowest).groupBy("k", "all_ones", "all_zeros").agg(best).where((F.col("k") == -1) | (F.least("all_ones", "all_zeros") >= least))
+    return {r["k"]: (r["best"]["low"] + r["best"]["high"]) / 2 for r in found.collect()}
+
+
 @dataclass(frozen=True)
 class Classifier:
     """The trained net and the logits that divide the labels, by language and for texts of none."""
@@ -289,46 +346,49 @@ class Classifier:
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 12_000, rounds: int = 8, parts: int = 4, batch: int = 16, rate: float = 0.1, least: int = 20
+    documents: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int | None = None, rounds: int = 8, parts: int = 4, batch: int = 16, rate: float = 0.1, least: int = 20,
+    part_rows: int = 5_000,
 ) -> Classifier:
-    """Fit on at most about `sample` labelled rows, half of them of each label where there are as many, drawn by a hash of the identifier.
+    """Fit on all labelled rows, or with `sample` on at most about so many, half of them of each label where there are as many, drawn by a hash of the identifier.
 
-    A fifth of them is held back for the thresholds; a language with fewer than
+    The rows are dealt into parts of about `part_rows`, `parts` of them at least.
+    A fifth of all is held back for the thresholds; a language with fewer than
     `least` held-back rows of either label takes the threshold of all.  Of rows
     with the same id and label one text is taken, the smallest.  Rows with a null
     label or identifier are left out; with only one label, or none, every score is
     0.5.  Further columns are not read.
     """
-    work = Scratch(documents.sparkSession)
-    marks = work.keep(labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").distinct())
-    count = {r["y"]: r["n"] for r in marks.where("y IN (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    spark = documents.sparkSession
+    work = Scratch(spark)
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").distinct()
+    count = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(count) < 2:
         net = Net.new(1)
         net.out[:] = 0
-        work.drop(marks)
         return Classifier(net, (0.0,) * (len(STOP_WORDS) + 1))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.when(F.col("y") == 1, F.lit(count[1])).otherwise(F.lit(count[0]))) < sample // 2
+    taken = {y: n if sample is None else min(n, sample / 2) for y, n in count.items()}
+    parts = max(parts, math.ceil(0.8 * sum(taken.values()) / part_rows))
     part = F.when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0, -1).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts))).cast("int")
-    marks = marks.where("y IN (0, 1)").where(drawn).withColumn("part", part)
+    if sample is not None:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.when(F.col("y") == 1, F.lit(count[1])).otherwise(F.lit(count[0]))) < sample // 2)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = docs.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "y", "part").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # `sample` rows
-    chosen = work.keep(chosen)
-    rows = work.keep(chosen.where("part >= 0").mapInArrow(_tokens, "doc_id long, y int, part int, units binary"))
-    net = Net.new(1)
+    chosen = docs.join(marks.hint("merge"), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    chosen = work.keep(chosen.withColumn("part", part))
+    # A part's rows lie in one file and follow each other there, so that no round shuffles rows.
+    rows = chosen.where("part >= 0").repartitionByRange(parts, "part").sortWithinPartitions("part")
+    rows = work.keep(rows.mapInArrow(_tokens, "doc_id long, y int, part int, units binary"))
+    flat, pieces = Net.new(1).flat(), min(parts, 256)
     for r in range(rounds):
-        start = documents.sparkSession.sparkContext.broadcast(net)
-        made = [pickle.loads(x["net"]) for x in rows.groupBy("part").applyInArrow(_pass(start, r, batch, rate), "net binary").collect()]  # `parts` nets
-        if made:
-            net = Net.mean(made)
+        start = spark.sparkContext.broadcast(flat)
+        copies = rows.mapInArrow(_pass(start, r, batch, rate, pieces), "piece int, part int, numbers binary")
+        made = work.keep(copies.groupBy("piece").applyInArrow(_mean, "piece int, numbers binary"))
+        if got := sorted(map(tuple, made.collect())):  # one net
+            flat = np.concatenate([np.frombuffer(x, np.float32) for _, x in got])
+        work.drop(made)
         start.unpersist()
-    seen = chosen.where("part = -1").mapInArrow(lambda it: _scored(it, ["y"], net, None), "y int, logit double, language int").toPandas()  # a fifth of the sample
-    clean = count[0] / min(count[0], sample / 2) / (count[1] / min(count[1], sample / 2))
-    logit, y, lang = (seen[c].to_numpy() for c in ("logit", "y", "language"))
-    overall = threshold(logit, y, clean) if len(y) else 0.0
-
-    def cut(k: int) -> float:
-        own = lang == k
-        return threshold(logit[own], y[own], clean) if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= least else overall
-
-    work.drop(chosen, rows)
-    return Classifier(net, (*(cut(k) for k in range(len(STOP_WORDS))), overall))
+    net = Net.of(flat)
+    seen = work.keep(chosen.where("part = -1").mapInArrow(lambda it: _scored(it, ["y"], net, None), "y int, logit double, language int"))
+    cuts = thresholds(seen, count[0] / taken[0] / (count[1] / taken[1]), least)
+    overall = cuts.get(-1, 0.0)
+    work.drop(chosen, rows, seen)
+    return Classifier(net, (*(cuts.get(k, overall) for k in range(len(STOP_WORDS))), overall))
