@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import TABLES, same
 from tramline.llm import quality_model, toxicity
-from tramline.operators import app, features, lattice, model, scan, track
+from tramline.operators import app, features, graph, lattice, model, scan, track
 from tramline.plans import catalogue, roundtrips, telemetry
 from tramline.profile import FIXTURE as P
 from tramline.sources import fixtures
@@ -218,3 +218,35 @@ def test_toxicity_thresholds(spark):
                 want[k] = toxicity.threshold(logit[own], y[own], weight)
         assert toxicity.thresholds(seen, weight, 5) == pytest.approx(want, abs=1e-9)
     assert toxicity.thresholds(seen.limit(0), 1.0, 5) == {}
+
+
+def _exchanges(df) -> int:
+    """Shuffles that a plan makes itself, not those by which a kept table was dealt."""
+    count, inside = 0, None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if inside is not None and depth > inside:
+            continue
+        inside = depth if "InMemoryRelation" in line else None
+        count += "Exchange hashpartitioning" in line
+    return count
+
+
+def test_rounds_on_graphs_shuffle_no_edges(spark, monkeypatch):
+    """Each round shuffled all edges and, along the predecessors, all paths."""
+    counts = []
+    for name in ("saved", "_saved"):
+        whole = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda df, name=name, whole=whole: counts.append((name, _exchanges(df))) or whole(df))
+    edges = spark.createDataFrame([(i, i + 1, 10.0) for i in range(6)] + [(0, 6, 500.0)], "u long, v long, length_m double")
+    nodes = spark.createDataFrame([(i, 55.0, 37.0 + i) for i in range(7)], "node_id long, lat double, lon double")
+    pairs = spark.createDataFrame([(0, 4), (2, 6), (0, 6)], "source long, target long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        paths = graph.shortest_paths(edges, pairs.select("source").distinct(), limit_m=100.0)
+        assert {(r.source, r.node): r.dist_m for r in paths.collect()} == {(s, n): 10.0 * abs(s - n) for s in (0, 2) for n in range(7)}
+        rounds = [n for name, n in counts if name == "saved"][2:]  # after the edges and the sources
+        assert len(rounds) > 5 and max(rounds) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
