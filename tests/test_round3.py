@@ -248,5 +248,9 @@ def test_rounds_on_graphs_shuffle_no_edges(spark, monkeypatch):
         assert {(r.source, r.node): r.dist_m for r in paths.collect()} == {(s, n): 10.0 * abs(s - n) for s in (0, 2) for n in range(7)}
         rounds = [n for name, n in counts if name == "saved"][2:]  # after the edges and the sources
         assert len(rounds) > 5 and max(rounds) == 2
+        counts.clear()
+        lines = {(r.source, r.target): r.n for r in graph.polylines(paths, nodes, pairs).collect()}
+        assert lines == {(0, 4): 5, (2, 6): 5, (0, 6): 7}
+        assert len(counts) > 5 and max(n for _, n in counts[1:]) == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
