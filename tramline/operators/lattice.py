@@ -11,10 +11,11 @@ later fix can change it.  So a track gives the same result however it is cut.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -305,61 +306,109 @@ def unpacked(data: bytes, rule: Rule) -> dict[tuple[int, int], tuple[float, floa
     return _edges([dict(zip(("u", "v", "ulat", "ulon", "vlat", "vlon"), r, strict=True)) for r in zip(*columns, strict=True)], rule)
 
 
-def with_roads(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule, pack: bool = False) -> DataFrame:
-    """fixes with their cell (ci, cj) and roads, the edges that touch the cells around it (packed() on demand); null far from any road.
+def roads_around(nodes: DataFrame, edges: DataFrame, rule: Rule) -> DataFrame:
+    """For each cell (ci, cj) that has any the roads, the edges that touch the cells around it.
 
     Cells are as wide as the radius.  An edge is in every cell of the box around
-    it; the edges around a cell are gathered once for each cell that has any, so
-    what a fix is joined with is bounded by the density of roads.
+    it; the edges around a cell are gathered once, so what a fix needs is bounded
+    by the density of roads.
     """
-    size = rule.radius
     a = nodes.select(F.col("node_id").alias("u"), F.col("lat").alias("ulat"), F.col("lon").alias("ulon"))
     b = nodes.select(F.col("node_id").alias("v"), F.col("lat").alias("vlat"), F.col("lon").alias("vlon"))
-    cell = lambda c, m: F.floor(c * m / size)
+    cell = lambda c, m: F.floor(c * m / rule.radius)
     span = lambda x, y, m: F.sequence(cell(F.least(x, y), m) - 1, cell(F.greatest(x, y), m) + 1)
     full = edges.select("u", "v").join(a, "u").join(b, "v")
     spread = full.select("*", F.explode(span(F.col("ulat"), F.col("vlat"), LAT_M)).alias("ci")).select("*", F.explode(span(F.col("ulon"), F.col("vlon"), rule.lon_m)).alias("cj"))
-    around = spread.groupBy("ci", "cj").agg(F.collect_set(F.struct("u", "v", "ulat", "ulon", "vlat", "vlon")).alias("roads"))
-    placed = fixes.withColumns({"ci": cell(F.col("lat"), LAT_M), "cj": cell(F.col("lon"), rule.lon_m)})
-    return placed.join(saved(packed(around)) if pack else around, ["ci", "cj"], "left")
+    return spread.groupBy("ci", "cj").agg(F.collect_set(F.struct("u", "v", "ulat", "ulon", "vlat", "vlon")).alias("roads"))
 
 
-def match_tracks(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """Every vehicle's whole track on the roads: MATCHED, a row per matched fix.
+def in_cells(fixes: DataFrame, rule: Rule) -> DataFrame:
+    """fixes with their cell (ci, cj)."""
+    cell = lambda c, m: F.floor(F.col(c) * m / rule.radius)
+    return fixes.withColumns({"ci": cell("lat", LAT_M), "cj": cell("lon", rule.lon_m)})
+
+
+def with_roads(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule, pack: bool = False) -> DataFrame:
+    """fixes with their cell (ci, cj) and its roads (packed() on demand); null far from any road."""
+    around = roads_around(nodes, edges, rule)
+    return in_cells(fixes, rule).join(saved(packed(around)) if pack else around, ["ci", "cj"], "left")
+
+
+def _dealt(parts: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule) -> DataFrame:
+    """parts (tr_id, part, ts, lat, lon) spread over tasks, each part in order, after the packed roads of the task's cells.
+
+    A fix is shuffled without its roads; those of a cell come once to each task
+    that has a fix there.
+    """
+    # The work on a row is much, so adaptive execution mustn't gather parts.
+    count = 2 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = in_cells(parts, rule).withColumn("task", F.pmod(F.hash("tr_id", "part"), F.lit(count)))
+    cells = placed.select("task", "ci", "cj").distinct().join(packed(roads_around(nodes, edges, rule)), ["ci", "cj"])
+    kinds = dict(placed.dtypes)
+    none = {c: F.lit(None).cast(kinds[c]) for c in parts.columns}
+    both = cells.withColumns(none | {"fix": F.lit(False)}).unionByName(placed.withColumns({"fix": F.lit(True), "roads": F.lit(None).cast("binary")}))
+    return both.repartitionById(count, "task").drop("task").sortWithinPartitions("fix", "tr_id", "part", "ts")
+
+
+def _match(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule, of_part: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, out: str) -> DataFrame:
+    """Every vehicle's whole track on the roads, as the rows that of_part makes of each part's matched fixes.
 
     fixes have tr_id, ts (whole seconds), lat and lon; of fixes of one second the
     one with the smaller place counts.  A vehicle's track is parted at pauses of
     more than rule.gap seconds, and the parts are spread over tasks, so a busy
     vehicle is too.  A task passes its parts fix by fix and holds the open columns
-    of one, rule.lag at most.  Fixes without a place are left out.
+    of one, rule.lag at most, and the packed roads of its cells.  Fixes without a
+    place are left out.
     """
-    rule = rule or Rule()
     one = fixes.where("lat IS NOT NULL AND lon IS NOT NULL AND ts IS NOT NULL").groupBy("tr_id", F.col("ts").cast("long").alias("ts")).agg(F.min(F.struct("lat", "lon")).alias("p")).select("tr_id", "ts", "p.lat", "p.lon")
     parts = sessions(one, "tr_id", "ts", [], rule.gap).select("tr_id", "ts", "lat", "lon", F.col("session").alias("part"))
-    ready = with_roads(parts, nodes, edges, rule)
+    names = ("fix", "tr_id", "part", "ts", "lat", "lon", "ci", "cj", "roads")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nets, places = Nets(), {}
-        key, lattice = None, Lattice(rule, nets=nets)
-        for batch in batches:
-            rows: list[tuple] = []
-            roads, columns = batch.column("roads"), (batch.column(c).to_pylist() for c in ("tr_id", "part", "ts", "lat", "lon", "ci", "cj"))
-            for i, (tr_id, part, ts, lat, lon, *cell) in enumerate(zip(*columns, strict=True)):
-                if (tr_id, part) != key:
-                    rows += [(key[0], *r) for r in lattice.finish()] if key else []
-                    key, lattice = (tr_id, part), Lattice(rule, nets=nets)
-                cell = tuple(cell)
-                if cell not in places:  # fixes of one cell have the same roads
-                    if len(places) >= 1024:
-                        del places[next(iter(places))]
-                    places[cell] = _edges(roads[i].as_py(), rule)
-                rows += [(tr_id, *r) for r in lattice.push(ts, lat, lon, places[cell])]
-            yield matched_batch(rows)
-        if key:
-            yield matched_batch([(key[0], *r) for r in lattice.finish()])
-
-    count = 2 * int(fixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work on a row is much, so adaptive execution mustn't gather parts
-    return ready.repartition(count, "tr_id", "part").sortWithinPartitions("tr_id", "part", "ts").mapInArrow(run, MATCHED)
+        nets, known, places = Nets(), {}, {}
+
+        def around(cell: tuple[int, int]) -> dict:
+            if cell not in places:  # fixes of one cell have the same roads
+                if len(places) >= 1024:
+                    del places[next(iter(places))]
+                places[cell] = unpacked(zlib.decompress(known[cell]), rule) if cell in known else {}
+            return places[cell]
+
+        def told() -> Iterator[tuple]:
+            """The fixes, after the roads were taken in."""
+            for batch in batches:
+                for fix, *row, ci, cj, roads in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                    if fix:
+                        yield (*row, (ci, cj))
+                    else:
+                        known[ci, cj] = roads
+
+        def matched(rows: Iterator[tuple]) -> Iterator[tuple]:
+            lattice = Lattice(rule, nets=nets)
+            for tr_id, _, ts, lat, lon, cell in rows:
+                yield from ((tr_id, *r) for r in lattice.push(ts, lat, lon, around(cell)))
+            yield from ((tr_id, *r) for r in lattice.finish())
+
+        found = (r for _, rows in itertools.groupby(told(), key=lambda x: x[:2]) for r in of_part(matched(rows)))
+        while rows := list(itertools.islice(found, 10_000)):
+            yield _batch(rows, schema)
+
+    return _dealt(parts, nodes, edges, rule).mapInArrow(run, out)
+
+
+def match_tracks(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """Every vehicle's whole track on the roads (_match()): MATCHED, a row per matched fix."""
+    return _match(fixes, nodes, edges, rule or Rule(), lambda rows: rows, _ARROW, MATCHED)
+
+
+def match_segments(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """segments() of match_tracks(), made where a part is matched: what follows a part's last fix always starts anew."""
+
+    def steps(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for here, after in itertools.pairwise(itertools.chain(rows, (None,))):
+            yield (*here[:4], *(here if after is None or after[-1] else after)[1:4])
+
+    return _match(fixes, nodes, edges, rule or Rule(), steps, _STEPS, SEGMENTS)
 
 
 _ARROW = pa.schema(
@@ -367,8 +416,13 @@ _ARROW = pa.schema(
 )
 
 
-def matched_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_ARROW.types)], schema=_ARROW)
+#: A step of a matched track: a fix and the next one.
+SEGMENTS = "tr_id long, ts long, lat double, lon double, n_ts long, n_lat double, n_lon double"
+_STEPS = pa.schema([("tr_id", pa.int64()), *((f"{n}{c}", pa.int64() if c == "ts" else pa.float64()) for n in ("", "n_") for c in ("ts", "lat", "lon"))])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
 
 def segments(matched: DataFrame) -> DataFrame:
