@@ -59,3 +59,8 @@ def test_steps_of_tracks_that_break(spark):
 def test_stop_delays_shuffle_narrow_rows(spark):
     """hmm_stop_delays matched all tracks twice, each time with the roads in the shuffled rows."""
     assert _shuffled(spark, lambda: catalogue.QUERIES["hmm_stop_delays"](spark, SF).write.format("noop").mode("overwrite").save()) < 600_000
+
+
+def test_refined_features_shuffle_narrow_rows(spark):
+    """So did refined_features."""
+    assert _shuffled(spark, lambda: catalogue.QUERIES["refined_features"](spark, SF)) < 800_000
