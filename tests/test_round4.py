@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tramline.operators import lattice
 from tramline.plans import catalogue
+from tramline.streaming import history
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +67,57 @@ def test_stop_delays_shuffle_narrow_rows(spark):
 def test_refined_features_shuffle_narrow_rows(spark):
     """So did refined_features."""
     assert _shuffled(spark, lambda: catalogue.QUERIES["refined_features"](spark, SF)) < 800_000
+
+
+class _Handle:
+    """What a stateful processor is given, with one vehicle's state; counts what is asked of it."""
+
+    def __init__(self) -> None:
+        self.rows, self.timers, self.asked = [], set(), 0
+
+    def getListState(self, *_):  # noqa: ANN202, N802
+        return self
+
+    def exists(self) -> bool:
+        return bool(self.rows)
+
+    def get(self) -> list:
+        return list(self.rows)
+
+    def put(self, rows: list) -> None:
+        self.rows = list(rows)
+
+    def appendList(self, rows: list) -> None:  # noqa: N802
+        self.rows += rows
+
+    def clear(self) -> None:
+        self.rows = []
+
+    def listTimers(self) -> list:  # noqa: N802
+        self.asked += 1
+        return sorted(self.timers)
+
+    def deleteTimer(self, at: int) -> None:  # noqa: N802
+        self.timers.remove(at)
+
+    def registerTimer(self, at: int) -> None:  # noqa: N802
+        self.timers.add(at)
+
+
+def test_state_holds_what_ticks_can_use():
+    """The first batch of a stream, whose watermark is at nothing, left whole histories in the state and gave them out."""
+    columns = ["event_id", "tr_id", "ts", "speed"]
+    recent, handle = history.Recent(columns, None, 100, 50), _Handle()
+    recent.init(handle)
+    mark = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    rows = pd.DataFrame({"event_id": range(200), "tr_id": 1, "ts": range(0, 2_000, 10), "speed": [None, 1.5] * 100})
+    (out,) = recent.handleInputRows((1,), iter([rows]), mark(0))
+    assert out["ts"].tolist() == list(range(1_900, 2_000, 10)) and handle.rows == list(out.astype(object).where(out.notna(), None).itertuples(index=False, name=None))
+    assert handle.asked == 0 and handle.timers == {1}
+    handle.timers.clear()  # it goes off
+    (out,) = recent.handleExpiredTimer((1,), mark(2_030_000), None)
+    assert out["ts"].tolist() == list(range(1_940, 2_000, 10)) == [r[2] for r in handle.rows] and handle.timers == {2_030_001}
+    (out,) = recent.handleInputRows((1,), iter([rows.tail(2).assign(event_id=[199, 200], ts=[1_990, 2_035])]), mark(2_030_000))
+    assert out["event_id"].tolist() == [*range(194, 200), 200] and handle.timers == {2_030_001}
+    handle.timers.clear()
+    assert list(recent.handleExpiredTimer((1,), mark(9_000_000), None)) == [] and handle.rows == [] and not handle.timers
