@@ -212,17 +212,24 @@ class Lattice:
         straight = math.hypot(x - lon * self.rule.lon_m, y - lat * LAT_M)
         limit = 2 * straight + 4 * self.rule.radius
         beta = self.rule.beta
-        live = [(i, tuple(p[:2]), p[2], net.leaving(tuple(p), limit)) for i, p in enumerate(states) if self.score[i] > -math.inf]
+        # The best survivors first: a step only takes from a score, so those behind one that does better need not be looked at.
+        live = sorted((i for i, s in enumerate(self.score) if s > -math.inf), key=lambda i: -self.score[i])
+        most, leaving = {i: round(self.score[i], 9) for i in live}, {}
         score, back, via = [], [], []
         for s in found:
             best, k, way, edge = -math.inf, 0, None, s[:2]
-            for i, name, along, leaving in live:
-                if name == edge:
-                    length, start, end = abs(along - s[2]) * net.length[edge], None, None
+            for i in live:
+                if most[i] < best:
+                    break
+                p = states[i]
+                if p[0] == edge[0] and p[1] == edge[1]:
+                    length, start, end = abs(p[2] - s[2]) * net.length[edge], None, None
                 else:
-                    length, start, end = net.shortest(leaving, s, limit)
+                    if i not in leaving:
+                        leaving[i] = net.leaving(tuple(p), limit)
+                    length, start, end = net.shortest(leaving[i], s, limit)
                 value = round(self.score[i] - abs(length - straight) / beta, 9) if length < math.inf else -math.inf
-                if value > best:
+                if value > best or (value == best > -math.inf and i < k):
                     best, k, way = value, i, (start, end)
             score.append(best)
             back.append(k)
