@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import lattice
+from tramline.operators import features, lattice, matching, model
 from tramline.plans import catalogue
+from tramline.profile import FIXTURE as P
 from tramline.streaming import history
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +122,41 @@ def test_state_holds_what_ticks_can_use():
     assert out["event_id"].tolist() == [*range(194, 200), 200] and handle.timers == {2_030_001}
     handle.timers.clear()
     assert list(recent.handleExpiredTimer((1,), mark(9_000_000), None)) == [] and handle.rows == [] and not handle.timers
+
+
+def test_windows_are_not_dealt_anew_for_what_was_before(spark):
+    """The join that took missing vehicles as equal dealt the windows' wide rows a second time."""
+    traffic = spark.createDataFrame([(1, 7, 10, 55.0, 37.0, 1.0, True), (2, None, 20, 55.0, 37.1, 2.0, True), (3, None, 90_000, 55.0, 37.2, 3.0, True), (4, 0, 30, 55.0, 37.3, 4.0, True)], "event_id long, tr_id long, ts long, lat double, lon double, speed double, location_valid boolean")
+    points = traffic.selectExpr("event_id AS sample_id", "tr_id", "ts + 86400 * 3 AS t")
+    origin = spark.createDataFrame([(7, 55.0, 37.0)], "tr_id long, lat0 double, lon0 double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (matching.last_fix(points, traffic), features.window_features(points, traffic, origin, P)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning(coalesce" in line]
+            assert {r.sample_id: r.fix.speed for r in df.collect()} == {1: 1.0, 2: 3.0, 3: 3.0, 4: 4.0}
+        assert {(r.sample_id, r.tr_id) for r in matching.last_fix(points, traffic).collect()} == {(1, 7), (2, None), (3, None), (4, 0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_codes_meet_narrow_rows(spark):
+    """Each category's codes were joined to rows with all numbers; both ways give the same."""
+    rows = spark.createDataFrame([(i, str(i % 3), str(i % 4), f"k{i % 2}", i / 2) for i in range(20)], "sample_id long, tr_id string, target_stop_id string, stop_key string, speed double")
+    codes = {c: rows.select(c, F.length(c).cast("double").alias(f"e_{c}")).distinct().where(F.col(c) != "1") for c in model.CATEGORIES}
+    got = model.prepared(rows, ["speed"], codes, 0.5, "sample_id")
+    assert sorted(map(tuple, got.select(sorted(got.columns)).collect())) == sorted(map(tuple, model.prepared(rows, ["speed"], codes, 0.5).select(sorted(got.columns)).collect()))
+
+
+def test_fewer_ways_are_looked_at(monkeypatch):
+    """Each of a fix's states was reached from all states before it."""
+    rule, asked, whole = lattice.Rule(), [], lattice.Net.shortest
+    monkeypatch.setattr(lattice.Net, "shortest", lambda self, *a: asked.append(1) or whole(self, *a))
+    grid = [(8 * i + j, 8 * i + j + d) for i in range(8) for j in range(8) for d in (1, 8) if (j < 7 if d == 1 else i < 7)]
+    at = lambda n: (55.745 + 0.0015 * (n // 8), 37.594 + 0.002 * (n % 8))
+    here = lattice._edges([{"u": u, "v": v, "ulat": at(u)[0], "ulon": at(u)[1], "vlat": at(v)[0], "vlon": at(v)[1]} for u, v in grid], rule)
+    one, rows = lattice.Lattice(rule), []
+    for k in range(40):
+        rows += one.push(20 * k, 55.7451 + 1e-4 * (k * 37 % 100), 37.5941 + 1e-4 * (k * 53 % 130), here)
+    assert len(rows + one.finish()) == 40 and len(asked) < 39 * 60
